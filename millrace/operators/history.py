@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 #: Children of a node and levels below the root: FANOUT ** DEPTH leaves.
 FANOUT, DEPTH = 16, 3
 
@@ -64,8 +66,8 @@ def appended_by_snapshot(rows: DataFrame, keys: list[str], values: list[str], sn
     for each snapshot in which something below it arrived.
     """
     columns = list(dict.fromkeys(keys + values))
-    rows = rows.groupBy(*columns).agg(F.min(snapshot).alias("_s")).withColumn("_leaf", leaf_of(keys, fanout, depth))
-    arrived = rows.groupBy("_s", F.col("_leaf").alias("node")).agg(F.bit_xor(row_hash(columns)).alias("hash"))
+    rows = cut(rows.groupBy(*columns).agg(F.min(snapshot).alias("_s")).withColumn("_leaf", leaf_of(keys, fanout, depth)))
+    arrived = cut(rows.groupBy("_s", F.col("_leaf").alias("node")).agg(F.bit_xor(row_hash(columns)).alias("hash")))  # at most a row a leaf and snapshot
     levels = {depth: arrived}
     for level in range(depth - 1, -1, -1):
         levels[level] = levels[level + 1].groupBy("_s", F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(F.bit_xor(F.xxhash64("node", "hash")).alias("hash"))
@@ -108,8 +110,8 @@ def versions(statements: DataFrame, keys: list[str], value: str, at: str) -> Dat
     for k in keys:
         known = known.where(F.col(k).isNotNull())
     known = known.withColumn("_day", F.to_date(at))
-    turns = neighbour(known, keys, "_day", at, value, "_before").where(~F.col(value).eqNullSafe(F.col("_before")))
-    return neighbour(turns, keys, "_day", at, at, "valid_to", ahead=True).withColumnRenamed(at, "valid_from").drop("_before", "_day")
+    turns = neighbour(cut(known), keys, "_day", at, value, "_before").where(~F.col(value).eqNullSafe(F.col("_before")))
+    return neighbour(cut(turns), keys, "_day", at, at, "valid_to", ahead=True).withColumnRenamed(at, "valid_from").drop("_before", "_day")
 
 
 def remote_key(remote: Column) -> Column:
