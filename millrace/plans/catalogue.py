@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import lifecycle, texts
+from millrace.plans import lifecycle, search, texts
 
-FLAGSHIP = "p2_found"
+FLAGSHIP = "rrf_hybrid_topk"
 
-_MODULES = (lifecycle, texts)
+_MODULES = (lifecycle, texts, search)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
