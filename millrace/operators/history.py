@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import cut
+from millrace.sources.tables import only
 
 #: Children of a node and levels below the root: FANOUT ** DEPTH leaves.
 FANOUT, DEPTH = 16, 3
@@ -133,6 +134,7 @@ def commit_statements(repos: DataFrame, staleness: DataFrame) -> DataFrame:
     full one of the same (remote, ref); one that fits none or several says nothing. Checks of repos that are gone
     say nothing.
     """
+    repos, staleness = only(repos, "id", "remote", "ref_name", "commit_sha", "indexed_at", "seen_at"), only(staleness, "repo_id", "checked_at", "newer_commit", "newer_indexed_at")
     commit = lambda c: F.lower(F.trim(c))
     log = repos.select("id", remote_key(F.col("remote")).alias("remote"), "ref_name", commit(F.col("commit_sha")).alias("c"), F.col("indexed_at").alias("at"), F.col("seen_at").alias("seen"))
     log = log.where(F.col("remote").isNotNull() & F.col("ref_name").isNotNull()).distinct()

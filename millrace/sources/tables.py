@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """Just the named columns, found by exact name and first place, so that other columns may clash with them or with
+    each other in any way. A column that is missing in this spelling is taken in another case."""
+    columns = df.columns
+    folded = [c.lower() for c in columns]
+    at = [columns.index(n) if n in columns else folded.index(n.lower()) for n in names]
+    return df.toDF(*[f"_{i}" for i in range(len(columns))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names)])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``folder/name.parquet`` (a file or a folder of parts).
 
