@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.skew import hot_keys
+from millrace.session import cut
+from millrace.sources.tables import only
 
 #: Most clusters of a digest are about COMPRESSION / 2.
 COMPRESSION = 200.0
 QUANTILES = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+#: Columns by which repeated rows are told.
+OUTCOMES = ("case_id", "repo_id", "arm_name", "top_score", "hits", "vector_ran", "gold_rank", "answer_has_gold", "scoreable", "recorded_at", "arrived_at")
 #: The rank error promised for every estimate, as a share of the group's values (or one value, where that is more).
 PROMISED = 0.02
 
@@ -75,11 +79,11 @@ def grouped_percentiles(values: DataFrame, keys: list[str], part: str, value: st
     """
     quantiles = quantiles or QUANTILES
     code = F.struct(*(F.coalesce(F.col(k).cast("string"), F.lit("\0null")).alias(k) for k in keys))
-    rows = values.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, part, F.col(value).cast("double").alias("_value"), F.to_json(code).alias("_g"), F.xxhash64(*spread).alias("_spread"))
+    rows = cut(values.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, part, F.col(value).cast("double").alias("_value"), F.to_json(code).alias("_g"), F.xxhash64(*spread).alias("_spread")))
     hot = F.broadcast(hot_keys(rows.select("_g", part), ["_g", part], least_hot))
     rows = rows.join(hot, ["_g", part], "left").withColumn("_salt", F.pmod("_spread", F.coalesce("_salts", F.lit(1))).cast("int")).drop("_spread", "_salts")
     by_salt = digest(rows, ["_g", part, "_salt"], "_value", compression)
-    by_part = recluster(by_salt.drop("_salt"), ["_g", part], compression)
+    by_part = cut(recluster(by_salt.drop("_salt"), ["_g", part], compression))
     whole = recluster(by_part.drop(part), ["_g"], compression)
     each = estimates(by_part, ["_g", part], quantiles)
     over = estimates(whole, ["_g"], quantiles)
@@ -114,5 +118,6 @@ def score_percentiles(outcomes: DataFrame, least_hot: int = 100_000) -> DataFram
 
     Valid are numbers from -1 to 1; repeated rows count once; rows without ``recorded_at`` belong to no day and are left out.
     """
-    rows = outcomes.distinct().where(F.col("top_score").between(-1.0, 1.0) & F.col("recorded_at").isNotNull()).withColumn("day", F.to_date("recorded_at"))
+    names = [c for c in OUTCOMES if c.lower() in {x.lower() for x in outcomes.columns}]
+    rows = only(outcomes, *names).distinct().where(F.col("top_score").between(-1.0, 1.0) & F.col("recorded_at").isNotNull()).withColumn("day", F.to_date("recorded_at"))
     return grouped_percentiles(rows, ["repo_id", "arm_name"], "day", "top_score", ["case_id", "recorded_at", "top_score"], least_hot=least_hot)
