@@ -5,8 +5,8 @@ inverted files of those pivots. Two vectors are candidates where they meet in a
 the footrule distance of their pivot orders and compares only the best by cosine. Equal vectors are one class, so
 copies cost nothing and appear in the result through the class.
 
-Scale: the pivots are a bounded sample (at most ``MAX_PIVOTS`` rows, the only thing collected); their number grows
-with the collection so that a file keeps about ``FILE_ROWS`` rows, and a file beyond ``BLOCK_ROWS`` is compared
+Scale: the pivots are centres of a bounded sample (at most ``MAX_SAMPLE`` rows, the only vectors collected); their number
+grows with the collection up to ``MAX_PIVOTS`` so that a file keeps about ``FILE_ROWS`` rows, and a file beyond ``BLOCK_ROWS`` is compared
 block against block in tasks of bounded size. Every vector is posted, none is dropped.
 """
 
@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 
 from millrace.operators.skew import salted_join
 from millrace.session import cut
+from millrace.sources.tables import only
 
 #: Pivots in a vector's permutation, which are also the files it is posted in.
-PREFIX = 14
+PREFIX = 13
 FILE_ROWS = 700
 LEAST_PIVOTS, MAX_PIVOTS = 48, 16_384
+#: Rows sampled for a pivot, the most rows sampled, and the rounds in which pivots move to the centre of theirs.
+SAMPLE_A_PIVOT, MAX_SAMPLE, ROUNDS = 12, 65_536, 3
 BLOCK_ROWS = 4_096
 #: Candidates that a file compares for each vector, best by footrule first.
-RERANK = 320
+RERANK = 600
 MAX_MODELS = 1000
 
 
@@ -37,6 +40,7 @@ def usable_vectors(spans: DataFrame, configs: DataFrame) -> DataFrame:
 
     Repeated rows count once. Models without a configuration, null ids and null vectors give nothing.
     """
+    spans, configs = only(spans, "id", "embed_model", "embedding"), only(configs, "embed_model", "embed_dim", "nearest_k")
     wanted = configs.where(F.col("embed_model").isNotNull() & (F.col("embed_dim") > 0) & (F.col("nearest_k") > 0)).groupBy("embed_model").agg(F.max("embed_dim").alias("_dim"), F.max("nearest_k").alias("nearest_k")).limit(MAX_MODELS)
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -75,6 +79,19 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.n
     return out
 
 
+def centres(sample: np.ndarray, wanted: int, rounds: int = ROUNDS) -> np.ndarray:
+    """``wanted`` pivots: the first rows of the sample, moved to the centres of the rows nearest to them."""
+    pivots = sample[:wanted]
+    for _ in range(rounds if len(sample) > wanted else 0):
+        total = np.zeros_like(pivots)
+        for lo in range(0, len(sample), 2048):
+            part = sample[lo : lo + 2048]
+            np.add.at(total, (part @ pivots.T).argmax(axis=1), part)
+        length = np.sqrt((total * total).sum(axis=1, keepdims=True))
+        pivots = np.where(length > 1e-9, total / np.maximum(length, 1e-9), pivots)
+    return pivots
+
+
 def footrule_affinity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each row of ``a`` and of ``b``, how near their pivot orders are.
 
@@ -136,8 +153,9 @@ def nearest_vectors(vectors: DataFrame, prefix: int = PREFIX, file_rows: int = F
     pivots: list[np.ndarray] = []
     for model, k in models:
         wanted = int(min(max_pivots, max(LEAST_PIVOTS, count[model, k] * prefix // file_rows)))
-        rows = classes.where(F.col("embed_model") == model).orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("embedding").collect()
-        pivots.append(_unit(np.array([r.embedding for r in rows], np.float64)).astype(np.float32))
+        rows = classes.where(F.col("embed_model") == model).orderBy(F.xxhash64("rep"), "rep").limit(min(max(wanted, MAX_SAMPLE), wanted * SAMPLE_A_PIVOT)).select("embedding").toArrow()
+        sample = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        pivots.append(centres(_unit(sample).astype(np.float32), wanted))
     ks = [k for _, k in models]
     model_no = F.lit(None).cast("int")
     for i, (model, _) in enumerate(models):
@@ -163,13 +181,20 @@ def nearest_vectors(vectors: DataFrame, prefix: int = PREFIX, file_rows: int = F
                         ["model", "pivot", "number", "pivot_order", "vector"],
                     )
 
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that a batch posts in each file."""
+        for batch in batches:
+            which = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in np.unique(which):
+                at = np.flatnonzero(which == i)
+                unit = _unit(batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)).astype(np.float32)
+                pivot, n = np.unique(nearest_pivots(unit, pivots[i], prefix), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pivot), i, np.int32)), pa.array(pivot.astype(np.int32)), pa.array(n.astype(np.int64))], ["model", "pivot", "n"])
+
     posted = classes.select(model_no.alias("model"), "number", "embedding").mapInArrow(post, "model int, pivot int, number long, pivot_order binary, vector binary")
     # Files beyond BLOCK_ROWS: each pair of blocks is a task. Their sizes are at most models x max_pivots rows.
-    sizes = posted.groupBy("model", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")) if max(count.values(), default=0) * prefix > BLOCK_ROWS * LEAST_PIVOTS else None
-    if sizes is not None:
-        big = {(r.model, r.pivot): r.blocks for r in sizes.where("blocks > 1").collect()}
-    else:
-        big = {}
+    sizes = classes.select(model_no.alias("model"), "embedding").mapInArrow(counts, "model int, pivot int, n long").groupBy("model", "pivot").agg(F.ceil(F.sum("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    big = {(r.model, r.pivot): r.blocks for r in sizes.where("blocks > 1").collect()}
     if big:
         table = posted.sparkSession.createDataFrame([(m, p, b) for (m, p), b in big.items()], "model int, pivot int, blocks int")
         posted = posted.join(F.broadcast(table), ["model", "pivot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
