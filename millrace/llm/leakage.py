@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import only
+
 #: Words in a row that count, least words of an item, and the least share of it.
 RUN, LEAST_WORDS, LEAST_SHARE = 6, 20, 0.5
 #: Foreign words between two runs, beside those the item itself has there.
@@ -140,7 +142,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, least_w
     under one id the longest holds. The items are a stated set: they go to every task in tables of ``items_a_table``
     items, one pass over the documents for each. Documents are searched whole.
     """
-    numbers = items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).groupBy("item_id").agg(F.max_by("passage", F.struct(F.length("passage"), "passage")).alias("passage"))
+    documents = only(documents, "doc_id", "text")
+    numbers = only(items, "item_id", "passage").where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).groupBy("item_id").agg(F.max_by("passage", F.struct(F.length("passage"), "passage")).alias("passage"))
     n = numbers.count()
     out = None
     for block in range(max(1, -(-n // items_a_table))):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import cut
+from millrace.sources.tables import only
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splitting pattern of the byte-level vocabularies (fixed value).
@@ -49,7 +50,8 @@ def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
     return (
-        documents.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S"))
+        only(documents, id_col, text_col)
+        .where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S"))
         .select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .mapInArrow(count, "doc_id long, n_tokens long")
         .groupBy("doc_id")
@@ -175,7 +177,8 @@ def pack(sizes: DataFrame, packs: DataFrame, group_items: int = GROUP_ITEMS, kee
     ``capacity_tokens`` tokens. ``part_no`` counts from 1, ``token_to`` is excluded. Rows without a capacity above 0,
     a name or a size above 0 give nothing. Groups hold about ``group_items`` parts each, whatever the number of rows.
     """
-    rows = packs.where((F.col("capacity_tokens") > 0) & F.col("pack_name").isNotNull()).select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity")).distinct().limit(MAX_PACKS + 1).collect()
+    sizes = only(sizes, "doc_id", "n_tokens")
+    rows = only(packs, "pack_name", "capacity_tokens").where((F.col("capacity_tokens") > 0) & F.col("pack_name").isNotNull()).select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity")).distinct().limit(MAX_PACKS + 1).collect()
     if len(rows) > MAX_PACKS:
         raise ValueError(f"more than {MAX_PACKS} container sizes")
     wanted = sorted((r.pack_name, r.capacity) for r in rows)

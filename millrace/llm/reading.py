@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.prose import sentences
+from millrace.sources.tables import only
 
 LEVELS = 4
 #: Bounds of the labelled sample: documents, and sentences taken (evenly) from each.
@@ -137,14 +138,14 @@ def fit_calibration(inputs: np.ndarray, targets: np.ndarray, rounds: int = 1500)
     return weights
 
 
-def fit(samples: list[tuple[list[str], np.ndarray]]) -> ReadingModel:
-    """The model for ``(sentences, level distribution of the raters)`` of labelled documents, in a fixed order."""
+def fit(samples: list[tuple[list[str], np.ndarray]]) -> ReadingModel | None:
+    """The model, None for fewer than eight documents, for ``(sentences, level distribution of the raters)`` of labelled documents, in a fixed order."""
     seen = Counter(s for own, _ in samples for s in set(own))
     least = max(3, BOILERPLATE_SHARE * len(samples))
     boilerplate = frozenset(s for s, n in seen.items() if n >= least and s.count(" ") >= 5)
     samples = [(kept, t) for own, t in samples if (kept := [s for s in own if s not in boilerplate])]
     if len(samples) < 8:
-        raise ValueError("too few labelled documents with prose")
+        return None
     first = [x for i, x in enumerate(samples) if i % 3]
     held = [x for i, x in enumerate(samples) if not i % 3]
     batch = [s for own, _ in first for s in own]
@@ -175,6 +176,7 @@ def levels_of(model: ReadingModel, documents: list[list[str]]) -> list[tuple[int
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_sentences: int = MAX_SENTENCES) -> list[tuple[list[str], np.ndarray]]:
     """Sentences and raters' level distribution of at most ``most`` labelled documents, chosen by the hash of their id."""
+    documents, labels = only(documents, "doc_id", "text"), only(labels, "doc_id", "level_no", "rater", "labelled_at")
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("level_no").between(0, LEVELS - 1)).distinct()
     by_doc = clean.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.avg((F.col("level_no") == k).cast("double")).alias(f"l{k}") for k in range(LEVELS)))
     chosen = F.broadcast(by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # `most` rows at most
@@ -198,8 +200,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most: int = MAX_LABE
     """Level, calibrated distribution and counts of every document with English prose; others have a null level.
 
     Null ids and null texts give nothing; of rows with the same id and different texts, each gives a row; repeated
-    rows count once. The model is fitted on a bounded sample of the labels, texts are read whole.
+    rows count once. With fewer than eight labelled documents of prose no level is given. The model is fitted on a bounded sample of the labels, texts are read whole.
     """
+    documents = only(documents, "doc_id", "text")
     model = documents.sparkSession.sparkContext.broadcast(fit(labelled_sample(documents, labels, most)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +210,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most: int = MAX_LABE
         for batch in batches:
             rows = []
             texts = batch.column(1).to_pylist()
-            for key, got in zip(batch.column(0).to_pylist(), levels_of(own, [sentences(t) for t in texts])):
+            for key, got in zip(batch.column(0).to_pylist(), levels_of(own, [sentences(t) for t in texts]) if own else [None] * len(texts)):
                 rows.append((key, got[0], got[1], *map(float, got[2]), got[3], got[4]) if got else (key, None, None, None, None, None, None, 0, None))
             if rows:
                 kinds = [pa.int64(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.float64()]

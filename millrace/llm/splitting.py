@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import only
+
 MAX_RULES = 1000
 UNIT = re.compile(r"(?:func|type|var|const|import|package|class|def|async def|@\w|#{1,6}\s|---\s*$|\S[^:\n]*:\s*(?:$|[^/\s]))")
 COMMENT = re.compile(r"\s*(?://|/\*|\*/|\*\s|#(?!#*\s))")
@@ -102,14 +104,21 @@ PIECE_SCHEMA = "arm_name string, span_id string, piece_no int, start_line int, e
 def split_oversized(items: DataFrame, rules: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Pieces of every text with more lines than a rule's ``max_decl_lines``; ``rules`` has the columns of arm_configs.
 
-    Rules without a ``max_decl_lines`` or name, null texts and null ids give nothing; repeated rows count once;
+    A rule without a window has one of ``max_decl_lines`` lines, without an overlap none; an overlap as long as the window is
+    one line shorter. Rules without a ``max_decl_lines`` or name, null texts and null ids give nothing; repeated rows count once;
     lines are 1-based and both ends included; joining a text's pieces without their overlaps gives the text back,
     byte for byte. ``rules`` is configuration: more than ``MAX_RULES`` rows are refused.
     """
-    rows = rules.where(F.col("max_decl_lines").isNotNull() & F.col("arm_name").isNotNull()).select("arm_name", "window_lines", "window_overlap", "max_decl_lines").distinct().limit(MAX_RULES + 1).collect()
+    items = only(items, id_col, text_col)
+    rules = only(rules, "arm_name", "window_lines", "window_overlap", "max_decl_lines")
+    rows = rules.where(F.col("max_decl_lines").isNotNull() & F.col("arm_name").isNotNull()).distinct().limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
-    arms = sorted((r.arm_name, r.window_lines, r.window_overlap, r.max_decl_lines) for r in rows)
+    arms = set()
+    for r in rows:
+        window = max(1, r.max_decl_lines if r.window_lines is None else r.window_lines)
+        arms.add((r.arm_name, window, min(max(0, r.window_overlap or 0), window - 1), r.max_decl_lines))
+    arms = sorted(arms)
     spark = items.sparkSession
     if not arms:
         return spark.createDataFrame([], PIECE_SCHEMA)
