@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.functions import text as T
 
@@ -112,6 +113,7 @@ def _vector_pass(corpus: DataFrame, questions: DataFrame, asked: list[tuple], li
     matrices = {g: ([q for q, _ in rows], np.array([v for _, v in rows], np.float64)) for g, rows in groups.items()}
     kinds = dict(corpus.dtypes)
     query_kind = dict(questions.dtypes)["query_id"]
+    query_type = to_arrow_type(questions.schema["query_id"].dataType)
     schema = f"query_id {query_kind}, id {kinds['id']}, path string, start_line int, similarity double"
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,7 @@ def _vector_pass(corpus: DataFrame, questions: DataFrame, asked: list[tuple], li
                     row, col = (x.ravel() for x in np.indices(far.shape))
                 where = pa.array(np.array(at)[col])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[r] for r in row]), batch.column(1).take(where), batch.column(2).take(where), batch.column(3).take(where), pa.array(sim[row, col])],
+                    [pa.array([ids[r] for r in row], query_type), batch.column(1).take(where), batch.column(2).take(where), batch.column(3).take(where), pa.array(sim[row, col])],
                     ["query_id", "id", "path", "start_line", "similarity"],
                 )
 
