@@ -144,7 +144,7 @@ def nearest_vectors(vectors: DataFrame, prefix: int = PREFIX, file_rows: int = F
     Ranks go by cosine, equal similarities to the smaller id. Each of equal vectors has its copies as neighbours
     first, the smallest ids ``nearest_k`` at most. A model with one vector gives no row.
     """
-    members = vectors.select("embed_model", "id", "nearest_k", "embedding", F.xxhash64("embed_model", "embedding").alias("c1"), F.hash(F.reverse("embedding"), "embed_model").alias("c2"))
+    members = cut(vectors.select("embed_model", "id", "nearest_k", "embedding", F.xxhash64("embed_model", "embedding").alias("c1"), F.hash(F.reverse("embedding"), "embed_model").alias("c2")))
     classes = members.groupBy("embed_model", "c1", "c2", "nearest_k").agg(F.min("id").alias("rep"), F.min("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"))
     # Numbers that order as the ids do, so that ties can be decided on them.
     classes = cut(classes.repartitionByRange("embed_model", "rep").sortWithinPartitions("embed_model", "rep").withColumn("number", F.monotonically_increasing_id()))
