@@ -62,8 +62,7 @@ class Engine:
         vector = R.vector_topk(spans, questions, self.candidates) if mode != "lexical" else empty_v
         lexical = empty_l
         if mode != "vector":
-            index = R.postings(spans, ["tenant", "id", "path", "start_line"], "symbol", "text")
-            lexical = R.lexical_topk(index, R.question_terms(questions), self.candidates)
+            lexical = R.lexical_scan(spans, R.question_terms(questions), self.candidates)
         return R.fuse(vector, lexical, spans.select("id", "path", "start_line"), self.fusion, limit)
 
     def ask(self, questions: DataFrame, limit: int = 10, mode: str = "hybrid") -> DataFrame:

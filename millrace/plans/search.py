@@ -42,7 +42,7 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf: str, limit: int = DEPTH) -> DataFrame:
-    return R.lexical_topk(_index(spark, sf), R.question_terms(questions(spark, sf)), limit)
+    return R.lexical_scan(corpus(spark, sf), R.question_terms(questions(spark, sf)), limit)
 
 
 def _hybrid(spark: SparkSession, sf: str, fusion: R.Fusion = R.Fusion(), limit: int = LIMIT) -> DataFrame:
@@ -68,6 +68,11 @@ def lexical_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _lexical(spark, sf, LIMIT)
 
 
+def lexical_topk_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from postings, as a stored index would answer it."""
+    return R.lexical_topk(_index(spark, sf), R.question_terms(questions(spark, sf)), LIMIT)
+
+
 def rrf_hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _hybrid(spark, sf).select("query_id", "rank", "id", F.round("score", 9).alias("score"))
 
@@ -97,7 +102,7 @@ def assemble_budget(spark: SparkSession, sf: str) -> DataFrame:
     return R.assemble(_lexical(spark, sf, LIMIT), spans, R.Budget()).select("query_id", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), "cited", "dropped")
 
 
-_Q = (postings_tf, vector_topk_batch, vector_topk_questions, lexical_topk_batch, rrf_hybrid_topk, rrf_weighted_sweep, arm_rank_audit, decide_floor, assemble_budget)
+_Q = (postings_tf, vector_topk_batch, vector_topk_questions, lexical_topk_batch, lexical_topk_index, rrf_hybrid_topk, rrf_weighted_sweep, arm_rank_audit, decide_floor, assemble_budget)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _Q}
 
 _CORPUS = """
@@ -133,6 +138,7 @@ SQL: dict[str, str] = {
     """,
     "vector_topk_questions": f"WITH {_CORPUS} SELECT query_id, rank::INTEGER AS rank, id, round(similarity, 5) AS similarity FROM vec WHERE rank <= 10",
     "lexical_topk_batch": f"WITH {_CORPUS}, {_LEX} SELECT query_id, rank::INTEGER AS rank, id, score FROM lex WHERE rank <= 10",
+    "lexical_topk_index": f"WITH {_CORPUS}, {_LEX} SELECT query_id, rank::INTEGER AS rank, id, score FROM lex WHERE rank <= 10",
     "rrf_hybrid_topk": f"WITH {_CORPUS}, {_LEX} SELECT query_id, rank::INTEGER AS rank, id, round(score, 9) AS score FROM {_fused(60, 1, 1)} WHERE rank <= 10",
     "rrf_weighted_sweep": f"WITH {_CORPUS}, {_LEX} "
     + " UNION ALL ".join(f"SELECT {i} AS setting, query_id, rank::INTEGER AS rank, id, round(score, 9) AS score FROM {_fused(*x)} WHERE rank <= 10" for i, x in enumerate(((60, 1, 1), (60, 2, 1), (60, 1, 2), (60, 0, 1), (10, 1, 1)))),

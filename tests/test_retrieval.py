@@ -27,7 +27,10 @@ def test_lexical(spark):
 
     def ask(q, split=True):
         terms = R.question_terms(spark.createDataFrame([(1, "t", q)], "query_id int, tenant string, q string"), split)
-        return [(r.id, r.score) for r in R.lexical_topk(index, terms, 10).orderBy("rank").collect()]
+        by_index = [(r.id, r.score) for r in R.lexical_topk(index, terms, 10).orderBy("rank").collect()]
+        assert by_index == [(r.id, r.score) for r in R.lexical_scan(spans, terms, 10).orderBy("rank").collect()]
+        assert by_index[:1] == [(r.id, r.score) for r in R.lexical_scan(spans, terms, 1).collect()]
+        return by_index
 
     assert ask("alpha beta", False) == [(5, 2.4), (4, 0.8)]
     assert ask("get") == [(3, 1.0)]
