@@ -112,6 +112,41 @@ def declarations(source: Source) -> list[tuple[str, str, int, int, int, int]]:
     return out
 
 
+def documented(source: Source) -> list[tuple[str, str, str, str, int, int, int, bool]]:
+    """(kind, symbol, ``decl`` or ``spec``, text of the comment, first line with it, first line without, last line, grouped).
+
+    Declarations with a comment above them, and the members of bracketed groups that have one of their own.
+    """
+    out = []
+    for kind, symbol, first, last, at, end in declarations(source):
+        bracket = re.match(r"\s*\(", source.mask[at + len(kind) : end]) if kind != "func" else None
+        if doc := source.comment_above(at):
+            out.append((kind, symbol, "decl", comment_text(source, doc), first, source.line(at), last, bool(bracket)))
+        if not bracket:
+            continue
+        begin = at + len(kind) + bracket.end()
+        depth = source.depth(begin)
+        for m in re.finditer(r"^[ \t]*([^\W\d]\w*)", source.mask[begin:end], re.M):
+            s = begin + m.start(1)
+            if source.depth(s) == depth and (doc := source.comment_above(s)):
+                last_line = source.line(max(s, len(source.mask[: source.statement_end(s)].rstrip()) - 1))
+                out.append((kind, m.group(1), "spec", comment_text(source, doc), source.line(doc[0][0]), source.line(s), last_line, True))
+    return out
+
+
+def comment_text(source: Source, comments: list[tuple[int, int]]) -> str:
+    """What comments say: without marks and tool directives, in one line."""
+    parts = []
+    for s, e in comments:
+        raw = source.text[s:e]
+        if raw.startswith("//"):
+            if not DIRECTIVE.match(raw):
+                parts.append(raw[2:])
+        else:
+            parts.append(re.sub(r"(?m)^\s*\*", "", raw[2:-2]))
+    return " ".join(" ".join(parts).split())
+
+
 def _func_name(source: Source, at: int) -> str | None:
     """``Type.Name`` or ``Name`` of the function whose keyword ends at ``at``; None for a literal."""
     bracket = source.mask.find("(", at)

@@ -58,6 +58,9 @@ def absent(events: DataFrame, expected: list[str], label: str, ts: str, width: s
 
 def rolling_spend(events: DataFrame, key: str, ts: str, amount: str, seconds: int = 3600) -> DataFrame:
     """Each event with what its key spent in the ``seconds`` up to it."""
+    # Each event also stands in the next stretch of time, so that a stretch of a key is all its window needs.
     second = (F.unix_micros(ts) / 1_000_000).cast("long")
-    frame = Window.partitionBy(key).orderBy("_s").rangeBetween(-seconds, 0)
-    return events.withColumn("_s", second).withColumn("spent", F.sum(amount).over(frame)).drop("_s")
+    own = F.floor(F.col("_s") / (seconds + 1)).cast("long")
+    both = events.withColumn("_s", second).withColumn("_own", own).withColumn("_stretch", F.explode(F.array("_own", F.col("_own") + 1)))
+    frame = Window.partitionBy(key, "_stretch").orderBy("_s").rangeBetween(-seconds, 0)
+    return both.withColumn("spent", F.sum(amount).over(frame)).where(F.col("_own") == F.col("_stretch")).drop("_s", "_own", "_stretch")

@@ -85,6 +85,24 @@ def declaration_chunks(sources: DataFrame, key: str, width: int = 40, overlap: i
     return _over_sources(sources, key, f"{key} string, kind string, symbol string, start_line int, end_line int, text string", each)
 
 
+def golden_cases(sources: DataFrame, key: str) -> DataFrame:
+    """Questions with known answers: the comments of exported declarations and group members of Go sources that parse.
+
+    ``symbol, kind, doc_of, question, start_line, end_line, raw_start, raw_end, grouped``; lines without and with the comment,
+    which takes no lines away. Comments without a word give no case.
+    """
+
+    def each(path: str, text: str) -> Iterator[tuple]:
+        if not path.endswith(".go"):
+            return
+        source = golang.Source(text)
+        for kind, symbol, of, question, raw, first, last, grouped in golang.documented(source) if source.whole else ():
+            if symbol and all(p[:1].isupper() for p in symbol.split(".")) and any(c.isalpha() for c in question):
+                yield symbol, kind, of, question, first, last, raw, last, grouped
+
+    return _over_sources(sources, key, f"{key} string, symbol string, kind string, doc_of string, question string, start_line int, end_line int, raw_start int, raw_end int, grouped boolean", each)
+
+
 def go_calls(sources: DataFrame, key: str) -> DataFrame:
     """``caller, callee, line, offset`` of the calls in Go sources that parse."""
 

@@ -78,6 +78,28 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), None).otherwise(F.coalesce(F.try_divide(dot(a, b), norm), F.lit(float("nan"))))
 
 
+def check_width(vectors: DataFrame, dim: int) -> DataFrame:
+    """The vectors; raises, on use, for one of another width. Missing ones pass."""
+    wrong = F.col("embedding").isNotNull() & (F.size("embedding") != dim)
+    message = F.concat(F.lit(f"not {dim} wide: "), F.col("id").cast("string"))
+    return vectors.withColumn("embedding", F.when(wrong, F.raise_error(message)).otherwise(F.col("embedding")))
+
+
+def vector_from_text(text: Column) -> Column:
+    """``[1,-0.5]`` as a vector, null for anything else."""
+    return F.from_json(text, "array<float>")
+
+
+def vector_to_text(vector: Column) -> Column:
+    return F.to_json(vector)
+
+
+def clipped(rows: DataFrame, limit: int) -> tuple[list, bool]:
+    """At most ``limit`` rows in their order, and whether there are more."""
+    found = rows.limit(limit + 1).collect()
+    return found[:limit], len(found) > limit
+
+
 def embedder_of(corpus: DataFrame) -> tuple[str, int]:
     """Model and width of a corpus; refuses one without vectors and one that mixes them."""
     found = corpus.where(F.col("embedding").isNotNull()).select("embed_model", "embed_dim").distinct().limit(2).collect()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import alerts, evaluate, queue
+from millrace.operators import retrieval as R
+from millrace.operators.graph import overlapping
 from millrace.plans.graphs import _cases, _ranges
 from millrace.sources.tables import table
 
@@ -47,6 +49,21 @@ def gold_lenient_strict(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.gold(_cases(spark, sf), _ranges(spark, sf), ["repo_id", "path"])
 
 
+def case_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every case's question asked of its repository's spans by terms: hits, place of the first span that meets the case's
+    lines (0: none among the first ten), and what share of the spans that do were found."""
+    spans = table(spark, sf, "spans").where("start_line BETWEEN 1 AND end_line AND text IS NOT NULL").select("repo_id", "id", "path", "symbol", "start_line", "end_line", "text").groupBy("id").agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "symbol", "start_line", "end_line", "text")])
+    cases = table(spark, sf, "cases").where("raw_start BETWEEN 1 AND raw_end AND question IS NOT NULL").groupBy("id").agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "question", "raw_start", "raw_end")])
+    asked = R.question_terms(cases.select(F.col("id").alias("query_id"), F.col("repo_id").alias("tenant"), F.col("question").alias("q")))
+    hits = R.lexical_scan(spans.withColumn("tenant", F.col("repo_id")), asked, 10)
+    met = overlapping(cases.select("repo_id", "path", F.col("id").alias("query_id"), F.col("raw_start").alias("start_line"), F.col("raw_end").alias("end_line")), spans.select("repo_id", "path", "id", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end")), ["repo_id", "path"])
+    gold = met.select("query_id", "id").distinct()
+    n_gold = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold"))
+    found = hits.join(gold.withColumn("_g", F.lit(1)), ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.coalesce(F.min(F.when(F.col("_g") == 1, F.col("rank"))), F.lit(0)).alias("gold_rank"), F.count("_g").alias("gold_found"))
+    out = cases.select(F.col("id").alias("query_id")).join(found, "query_id", "left").join(n_gold, "query_id", "left")
+    return out.na.fill(0, ["hits", "gold_rank", "gold_found", "gold"]).withColumn("scoreable", F.col("gold") > 0)
+
+
 def leak_probe(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "eval_items").where("passage IS NOT NULL").select(F.col("item_id").alias("needle_id"), F.col("passage").alias("phrase"))
     docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("text_id"), F.col("text").alias("body")).distinct()
@@ -157,7 +174,7 @@ def queue_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _Q = (
-    arm_summary, hit_at_k, mrr_all_cases, floor_sweep_201, score_quantiles, gold_lenient_strict, leak_probe, bootstrap_mrr_diff, golden_ledger, shared_ids, metric_counts_seeded, score_histogram,
+    arm_summary, hit_at_k, mrr_all_cases, floor_sweep_201, score_quantiles, gold_lenient_strict, case_records, leak_probe, bootstrap_mrr_diff, golden_ledger, shared_ids, metric_counts_seeded, score_histogram,
     error_rate_windows, alert_hold, absent_services, p95_by_type, rolling_spend_1h, tumbling_counts, user_sessions, queue_active_dedupe, queue_claimable, queue_lease, queue_fail_backoff, queue_sweep,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _Q}
@@ -198,6 +215,20 @@ SQL: dict[str, str] = {
         k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY shared DESC, s, e, id) AS n, count(*) OVER (PARTITION BY case_id) AS lenient FROM (SELECT DISTINCT * FROM m))
         SELECT case_id, (SELECT count(DISTINCT id) FROM m WHERE m.case_id = k.case_id) AS lenient, id AS strict, shared::INTEGER AS shared_lines FROM k WHERE n = 1
     """,
+    "case_records": r"""
+        WITH s AS (SELECT id, min(repo_id) AS repo_id, min(path) AS path, min(symbol) AS symbol, min(start_line) AS a, min(end_line) AS b, min(text) AS text FROM spans WHERE start_line BETWEEN 1 AND end_line AND text IS NOT NULL GROUP BY 1),
+        c AS (SELECT id, min(repo_id) AS repo_id, min(path) AS path, min(question) AS question, min(raw_start) AS a, min(raw_end) AS b FROM cases WHERE raw_start BETWEEN 1 AND raw_end AND question IS NOT NULL GROUP BY 1),
+        pt AS (SELECT id, lower(unnest(regexp_extract_all(symbol, '[\p{L}\p{Nd}]+'))) AS term, 10 AS w FROM s WHERE symbol IS NOT NULL UNION ALL SELECT id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{Nd}]+'))), 4 FROM s),
+        po AS (SELECT s.id, s.repo_id, term, sum(w) AS w FROM pt JOIN s ON s.id = pt.id GROUP BY ALL),
+        qt AS (SELECT id, repo_id, list_transform(flatten(list_transform(regexp_extract_all(question, '[\p{L}\p{Nd}]+'), lambda w: list_concat([w], string_split(regexp_replace(regexp_replace(w, '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '([^\p{Lu} ])(\p{Lu})', '\1 \2', 'g'), ' ')))), lambda x: lower(x)) AS t FROM c),
+        tm AS (SELECT id AS query_id, repo_id, unnest(list_transform(list_sort(list_transform(list_distinct(t), lambda x: struct_pack(p := list_position(t, x), x := x)))[1:32], lambda y: y.x)) AS term FROM qt),
+        sc AS (SELECT query_id, po.id, sum(w)::BIGINT AS v FROM tm JOIN po ON po.repo_id = tm.repo_id AND po.term = tm.term GROUP BY ALL),
+        h AS (SELECT * FROM (SELECT query_id, sc.id, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, path, a, s.id) AS rank FROM sc JOIN s ON s.id = sc.id) WHERE rank <= 10),
+        g AS (SELECT DISTINCT c.id AS query_id, s.id FROM c JOIN s ON s.repo_id = c.repo_id AND s.path = c.path AND c.a <= s.b AND c.b >= s.a),
+        f AS (SELECT h.query_id, count(*) AS hits, coalesce(min(CASE WHEN g.id IS NOT NULL THEN rank END), 0) AS gold_rank, count(g.id) AS gold_found FROM h LEFT JOIN g ON g.query_id = h.query_id AND g.id = h.id GROUP BY 1),
+        n AS (SELECT query_id, count(*) AS gold FROM g GROUP BY 1)
+        SELECT c.id AS query_id, coalesce(hits, 0) AS hits, coalesce(gold_rank, 0)::INTEGER AS gold_rank, coalesce(gold_found, 0) AS gold_found, coalesce(gold, 0) AS gold, coalesce(gold, 0) > 0 AS scoreable FROM c LEFT JOIN f ON f.query_id = c.id LEFT JOIN n ON n.query_id = c.id
+    """,
     "leak_probe": r"""
         WITH n AS (SELECT item_id, trim(regexp_replace(lower(passage), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS p FROM eval_items WHERE passage IS NOT NULL),
         t AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS b FROM documents WHERE text IS NOT NULL)

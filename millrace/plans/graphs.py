@@ -54,7 +54,9 @@ def callers_approximate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def definitions_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.definitions(symbols(spark, sf), "1-URGENT.17").select("id", "name", "path")
+    c = table(spark, sf, "customer")
+    named = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("pkg"), F.col("c_mktsegment").alias("path"), F.lit(1).alias("start_line"))
+    return graph.definitions(named, "Customer#000000017").select("id", "name", "path")
 
 
 def definitions_suffix(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,7 +129,7 @@ SQL: dict[str, str] = {
                  row_number() OVER (PARTITION BY l_partkey ORDER BY 'c' || o_custkey, o_orderkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS n
           FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 20 = 0)) WHERE n <= 5
     """,
-    "definitions_exact": "SELECT o_orderkey AS id, o_orderpriority || '.' || o_orderkey AS name, 'c' || o_custkey AS path FROM orders WHERE o_orderpriority || '.' || o_orderkey = '1-URGENT.17'",
+    "definitions_exact": "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS path FROM customer WHERE c_name = 'Customer#000000017'",
     "definitions_suffix": "SELECT id, symbol AS name, path, start_line FROM (SELECT DISTINCT id, path, symbol, start_line, repo_id FROM spans WHERE symbol = 'StoreSpan' OR ends_with(symbol, '.StoreSpan')) ORDER BY path, start_line, id LIMIT 50",
     "most_specific_span": f"WITH {_RANGED} SELECT case_id, id FROM (SELECT case_id, r.id, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, e, r.id) AS n FROM c JOIN r ON r.repo_id = c.repo_id AND r.path = c.path AND b BETWEEN s AND e) WHERE n = 1",
     "first_overlapping_span": f"WITH {_RANGED} SELECT case_id, id FROM (SELECT case_id, r.id, row_number() OVER (PARTITION BY case_id ORDER BY s, e, r.id) AS n FROM c JOIN r ON r.repo_id = c.repo_id AND r.path = c.path AND a <= e AND b >= s) WHERE n = 1",

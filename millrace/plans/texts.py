@@ -73,6 +73,11 @@ def chunk_declarations(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.declaration_chunks(s, "id").select("id", "kind", "symbol", "start_line", "end_line")
 
 
+def golden_cases(spark: SparkSession, sf: str) -> DataFrame:
+    s = _spans(spark, sf).where("text IS NOT NULL").select("id", "path", "text")
+    return chunking.golden_cases(s, "id")
+
+
 def go_calls(spark: SparkSession, sf: str) -> DataFrame:
     s = _spans(spark, sf).where("text IS NOT NULL").select("id", "path", "text")
     return chunking.go_calls(s, "id")
@@ -115,7 +120,7 @@ def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", queue.retry_delay(attempts).alias("delay_s"), queue.poll_interval(waited).alias("poll_s"))
 
 
-_Q = (ids_repo_file_span, blob_hash_git, lang_and_indexable, terms_plain, terms_camel, symbol_names, normalised_questions, chunk_windows_40_10, chunk_windows_10_3, chunk_declarations, go_calls, stripped_docs, hashed_bow_embed, citation_markers, permalinks, repo_age, retry_schedule)
+_Q = (ids_repo_file_span, blob_hash_git, lang_and_indexable, terms_plain, terms_camel, symbol_names, normalised_questions, chunk_windows_40_10, chunk_windows_10_3, chunk_declarations, golden_cases, go_calls, stripped_docs, hashed_bow_embed, citation_markers, permalinks, repo_age, retry_schedule)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _Q}
 
 _S = "(SELECT DISTINCT id, repo_id, file_id, path, kind, symbol, start_line, end_line, text, digest, embed_model, embed_dim FROM spans)"

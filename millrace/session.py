@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+from collections.abc import Callable
+from typing import TypeVar
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "millrace") -> SparkSession:
     """A single-machine session with the settings every plan here relies on (UTC, AQE, Arrow)."""
@@ -38,3 +44,30 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, with its lineage cut; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class TimedOut(RuntimeError):
+    """An action was cancelled at its deadline."""
+
+
+def bounded(spark: SparkSession, seconds: float, action: Callable[[], T]) -> T:
+    """What ``action`` returns; its Spark jobs are cancelled after ``seconds``."""
+    sc = spark.sparkContext
+    tag, late = f"bounded-{uuid4().hex}", threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    sc.addJobTag(tag)
+    timer = threading.Timer(seconds, cancel)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise TimedOut(f"cancelled after {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)

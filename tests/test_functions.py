@@ -132,3 +132,37 @@ def test_go_without_docs():
     for stays in ("//go:build linux", "//go:noinline", "// inside", "// trailing", '"// not a comment"'):
         assert stays in bare
     assert golang.without_docs("func a() {") is None and golang.without_docs("x := `") is None
+
+
+def test_golden_cases(spark):
+    from millrace.operators.chunking import golden_cases
+
+    go = "package a\n\n// Both are limits.\nconst (\n\t// Low is the floor.\n\tLow = 1\n\t// high is not exported.\n\thigh = 2\n)\n\n// Walk walks.\n// Twice.\nfunc (t *T) Walk() {\n}\n\n// hidden\nfunc walk() {}\n"
+    got = {(r.symbol, r.kind, r.doc_of, r.question, r.start_line, r.raw_start, r.end_line, r.grouped) for r in golden_cases(spark.createDataFrame([("1", "a.go", go)], "id string, path string, text string"), "id").collect()}
+    assert got == {("Low", "const", "decl", "Both are limits.", 4, 3, 9, True), ("Low", "const", "spec", "Low is the floor.", 6, 5, 6, True), ("T.Walk", "func", "decl", "Walk walks. Twice.", 13, 11, 14, False)}
+
+
+def test_config():
+    from millrace import config
+
+    env = {"A": " x ", "L": "a, ,b", "N": "7", "B": "True", "E": ",,"}
+    assert config.text(env, "A") == "x" and config.items(env, "L") == ["a", "b"] and config.integer(env, "N", least=7) == 7 and config.boolean(env, "B") is True
+    assert config.text(env, "Z", "d") == "d" and config.integer(env, "Z", 3) == 3 and config.boolean(env, "Z", False) is False
+    for bad in (lambda: config.text(env, "Z"), lambda: config.items(env, "E"), lambda: config.integer(env, "A"), lambda: config.integer(env, "N", least=8), lambda: config.boolean(env, "N")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_vectors_and_limits(spark):
+    from millrace.operators import retrieval as R
+    from millrace.session import TimedOut, bounded
+
+    assert one(spark, R.vector_from_text(F.col("t")), t="[1,-0.5]") == [1.0, -0.5] and one(spark, R.vector_from_text(F.col("t")), t="x") is None
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "id string, embedding array<float>")
+    assert R.check_width(df, 2).count() == 2
+    with pytest.raises(Exception, match="not 3 wide: a"):
+        R.check_width(df, 3).collect()
+    assert R.clipped(df.orderBy("id"), 1)[1] is True and R.clipped(df, 2)[1] is False
+    assert bounded(spark, 60, lambda: df.count()) == 2
+    with pytest.raises(TimedOut):
+        bounded(spark, 1, lambda: spark.range(10**12).selectExpr("sum(sqrt(id))").collect())

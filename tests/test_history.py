@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import history as H
 
-few = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+few = settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 T0 = datetime(2025, 1, 1)
 REPOS = "id string, remote string, ref_name string, commit_sha string, size_bytes long, file_count int, indexed_at timestamp, last_queried_at timestamp, seen_at timestamp"
 STALE = "repo_id string, state string, forge_checked boolean, checked_at timestamp, newer_commit string, newer_indexed_at timestamp, note string"

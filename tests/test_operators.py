@@ -11,7 +11,7 @@ from millrace.operators import admission, alerts, chunking, corpus, evaluate, gr
 from millrace.operators.skew import hot_keys, salted_join
 from millrace.functions.udfs import cited_markers
 
-few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+few = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 # ---- chunking ----
