@@ -48,7 +48,7 @@ class Engine:
         r = self.repos.select(F.col("id").alias("repo_id"), "remote_key", "commit_sha")
         part = F.split("remote_key", "/")
         link = cite.permalink(part[0], part[1], part[2], F.col("commit_sha"), F.col("path"), F.col("start_line"), F.col("end_line"))
-        return spans.join(F.broadcast(r.join(spans.select("repo_id").distinct().limit(100_000), "repo_id", "left_semi").limit(100_000)), "repo_id").withColumn("permalink", link)
+        return spans.join(r, "repo_id").withColumn("permalink", link)
 
     def _corpus(self) -> DataFrame:
         return self.spans.withColumn("tenant", F.col("repo_id"))

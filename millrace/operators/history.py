@@ -81,7 +81,7 @@ def appended_by_snapshot(rows: DataFrame, keys: list[str], values: list[str], sn
         now = F.bit_xor("hash").over(over.rowsBetween(Window.unboundedPreceding, 0))
         before = F.bit_xor("hash").over(over.rowsBetween(Window.unboundedPreceding, -1))
         differing = here.withColumns({"_now": now, "_before": before}).where(~F.col("_now").eqNullSafe(F.col("_before"))).select("_s", "node")
-    leaves = differing.withColumnRenamed("node", "_leaf")
+    leaves = F.broadcast(differing.withColumnRenamed("node", "_leaf"))  # at most a row a leaf and snapshot, however many rows
     return rows.join(leaves, ["_s", "_leaf"], "left_semi").drop("_leaf").withColumnRenamed("_s", snapshot)
 
 
@@ -155,7 +155,7 @@ def commit_statements(repos: DataFrame, staleness: DataFrame) -> DataFrame:
     return whole.unionByName(spelt_out).select("remote", "ref_name", "commit_sha", "at", "seen")
 
 
-def commit_history(repos: DataFrame, staleness: DataFrame, period: str = "month") -> DataFrame:
+def commit_history(repos: DataFrame, staleness: DataFrame, period: str = "month", fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
     """``remote, ref_name, commit_sha, valid_from, valid_to, known_in``: which commit was the indexed one from when to when.
 
     Snapshots are what had been seen up to the end of each ``period``; ``known_in`` is the one that brought the
@@ -164,7 +164,7 @@ def commit_history(repos: DataFrame, staleness: DataFrame, period: str = "month"
     """
     rows = commit_statements(repos, staleness).withColumn("known_in", F.date_trunc(period, F.coalesce("seen", "at")).cast("date"))
     keys = ["remote", "ref_name"]
-    added = appended_by_snapshot(rows, keys, ["at", "commit_sha", "seen"], "known_in")
+    added = appended_by_snapshot(rows, keys, ["at", "commit_sha", "seen"], "known_in", fanout, depth)
     holds = added.groupBy(*keys, "at").agg(F.max_by(F.struct("commit_sha", "known_in"), F.struct("seen", "commit_sha")).alias("_h"))
     stated = holds.select(*keys, "at", "_h.commit_sha", "_h.known_in")
     return versions(stated, keys, "commit_sha", "at")

@@ -16,11 +16,8 @@ def hot_keys(df: DataFrame, keys: list[str], least: int = 100_000) -> DataFrame:
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counted.agg(F.sum("_n").alias("_total"))
-    return (
-        counted.where(F.col("_n") >= least)
-        .join(F.broadcast(total), F.col("_n") * HOT_SHARE >= F.col("_total"))
-        .select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_salts"))
-    )
+    hot = (F.col("_n") >= least) & (F.col("_n") * HOT_SHARE >= total.scalar())
+    return counted.where(hot).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_salts"))
 
 
 def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], spread: Column, how: str = "inner", least: int = 100_000) -> DataFrame:

@@ -82,4 +82,25 @@ def stream_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 _Q = (bounded_loops, stream_error_windows, stream_queue)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _Q}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "stream_error_windows": """
+        WITH s AS (SELECT epoch_us(ts) // 3600000000 AS h, count(*) FILTER (event_type = 'error') AS b, count(*) AS n FROM events GROUP BY 1),
+        w AS (SELECT h + k AS e, sum(b)::BIGINT AS bad, sum(n)::BIGINT AS total FROM s, generate_series(1, 6) g(k) GROUP BY 1)
+        SELECT (e - 6) * 3600000000 AS starts, e * 3600000000 AS ends, bad, total, bad / total > 0.2 AND total > 8 AS firing FROM w WHERE e * 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000
+    """,
+    "bounded_loops": """
+        WITH e AS (SELECT user_id AS c, event_id, value > 150 AS fin, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+                     CASE event_type WHEN 'click' THEN 'search_code' WHEN 'view' THEN 'read_span' WHEN 'purchase' THEN 'definition_of' WHEN 'signup' THEN 'callers_of' END AS tool,
+                     CASE WHEN event_id % 11 = 0 THEN 'malformed' WHEN event_id % 23 = 0 THEN 'error' ELSE 'ok' END AS outcome FROM events),
+        r AS (SELECT *, row_number() OVER (PARTITION BY c, fin, coalesce(tool, ''), props ORDER BY step) - 1 AS rep, coalesce(sum((step - 1) * 100) OVER (PARTITION BY c ORDER BY step ROWS UNBOUNDED PRECEDING), 0) AS used FROM e),
+        x AS (SELECT *, sum(CASE WHEN NOT fin THEN 1 ELSE 0 END) OVER w AS calls, sum(CASE WHEN NOT fin AND (rep > 0 OR tool IS NULL OR outcome = 'malformed') THEN 1 ELSE 0 END) OVER w AS errs FROM r WINDOW w AS (PARTITION BY c ORDER BY step ROWS UNBOUNDED PRECEDING)),
+        y AS (SELECT *, CASE WHEN step > 6 THEN 'step_limit' WHEN step * 900 >= 60000 THEN 'deadline' WHEN used + step * 100 > 12000 OR (step - 1) * 60 >= 1500 THEN 'token_budget' WHEN fin THEN 'final' WHEN calls > 12 THEN 'tool_call_limit'
+                     WHEN rep > 2 OR (rep > 0 AND errs > 2) THEN 'repeated_tool_call' WHEN rep = 0 AND (tool IS NULL OR outcome = 'malformed') AND errs > 2 THEN 'malformed_tool_call' WHEN rep = 0 AND tool IS NOT NULL AND outcome = 'error' THEN 'tool_error' END AS stop FROM x),
+        k AS (SELECT c, min(step) FILTER (stop IS NOT NULL) AS at_ FROM y GROUP BY 1),
+        l AS (SELECT y.*, at_ FROM y JOIN k USING (c) WHERE at_ IS NULL OR step <= at_),
+        f AS (SELECT c, coalesce(max(stop), 'step_limit') AS stop, count(*) FILTER (stop IS DISTINCT FROM 'step_limit') AS steps, count(*) FILTER (NOT fin AND stop IS DISTINCT FROM 'step_limit') AS calls,
+                count(*) FILTER (NOT fin AND stop IS NULL AND tool = 'read_span' AND rep = 0 AND outcome = 'ok')::INTEGER AS read FROM l GROUP BY 1)
+        SELECT c AS conversation, CASE WHEN stop = 'final' AND read = 0 THEN 'uncited' ELSE stop END AS stop, steps, calls, read, CASE WHEN stop <> 'final' OR read = 0 THEN '' WHEN read = 1 THEN '1' ELSE '1,2' END AS cited,
+               CASE WHEN stop = 'final' THEN 3 - least(read, 2) ELSE 0 END::INTEGER AS dropped FROM f
+    """,
+}
