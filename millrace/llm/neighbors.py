@@ -67,15 +67,21 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def _rows_at_once(pivots: int) -> int:
+    """Rows whose distances to all pivots fit in some tens of MB."""
+    return max(64, 2_000_000 // max(1, pivots))
+
+
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of the ``prefix`` nearest pivots of each vector, nearest first."""
     out = np.empty((len(vectors), min(prefix, len(pivots))), np.int32)
-    for lo in range(0, len(vectors), 2048):
-        near = vectors[lo : lo + 2048] @ pivots.T
+    step = _rows_at_once(len(pivots))
+    for lo in range(0, len(vectors), step):
+        near = vectors[lo : lo + step] @ pivots.T
         width = out.shape[1]
         top = np.argpartition(-near, width - 1, axis=1)[:, :width] if width < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
         order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-        out[lo : lo + 2048] = np.take_along_axis(top, order, 1)
+        out[lo : lo + step] = np.take_along_axis(top, order, 1)
     return out
 
 
@@ -84,8 +90,9 @@ def centres(sample: np.ndarray, wanted: int, rounds: int = ROUNDS) -> np.ndarray
     pivots = sample[:wanted]
     for _ in range(rounds if len(sample) > wanted else 0):
         total = np.zeros_like(pivots)
-        for lo in range(0, len(sample), 2048):
-            part = sample[lo : lo + 2048]
+        step = _rows_at_once(len(pivots))
+        for lo in range(0, len(sample), step):
+            part = sample[lo : lo + step]
             np.add.at(total, (part @ pivots.T).argmax(axis=1), part)
         length = np.sqrt((total * total).sum(axis=1, keepdims=True))
         pivots = np.where(length > 1e-9, total / np.maximum(length, 1e-9), pivots)

@@ -78,8 +78,7 @@ def grouped_percentiles(values: DataFrame, keys: list[str], part: str, value: st
     digests of its own, which are merged; the rows themselves never meet in one task.
     """
     quantiles = quantiles or QUANTILES
-    code = F.struct(*(F.coalesce(F.col(k).cast("string"), F.lit("\0null")).alias(k) for k in keys))
-    rows = cut(values.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, part, F.col(value).cast("double").alias("_value"), F.to_json(code).alias("_g"), F.xxhash64(*spread).alias("_spread")))
+    rows = cut(values.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.struct(*keys).alias("_g"), part, F.col(value).cast("double").alias("_value"), F.xxhash64(*spread).alias("_spread")))
     hot = F.broadcast(hot_keys(rows.select("_g", part), ["_g", part], least_hot))
     rows = rows.join(hot, ["_g", part], "left").withColumn("_salt", F.pmod("_spread", F.coalesce("_salts", F.lit(1))).cast("int")).drop("_spread", "_salts")
     by_salt = digest(rows, ["_g", part, "_salt"], "_value", compression)
@@ -93,9 +92,9 @@ def grouped_percentiles(values: DataFrame, keys: list[str], part: str, value: st
     tried = [*quantiles, *over_names.values()]
     below = {f"_lt_{e}": F.sum((F.col("_value") < F.col(e)).cast("long")) for e in tried}
     upto = {f"_le_{e}": F.sum((F.col("_value") <= F.col(e)).cast("long")) for e in tried}
-    counted = rows.join(wanted, ["_g", part, "_salt"]).groupBy("_g", part, "_salt").agg(*(e.alias(a) for a, e in {**below, **upto}.items()), *(F.first(k).alias(k) for k in keys))
+    counted = rows.join(wanted, ["_g", part, "_salt"]).groupBy("_g", part, "_salt").agg(*(e.alias(a) for a, e in {**below, **upto}.items()))
     counts = [*below, *upto]
-    counted = counted.groupBy("_g", part).agg(*(F.sum(c).alias(c) for c in counts), *(F.first(k).alias(k) for k in keys))
+    counted = counted.groupBy("_g", part).agg(*(F.sum(c).alias(c) for c in counts))
 
     def certified(table: DataFrame, names: dict[str, str]) -> dict[str, Column]:
         """Distance of the wanted rank from the ranks the estimate really holds, as a share of n."""
@@ -105,9 +104,9 @@ def grouped_percentiles(values: DataFrame, keys: list[str], part: str, value: st
             out[f"{q}_rank_error"] = F.greatest(F.col(f"_lt_{e}") - rank, rank - F.col(f"_le_{e}"), F.lit(0.0)) / F.col("n")
         return out
 
-    finish = lambda df, names: df.withColumns(certified(df, names)).select(*keys, part, "n", *quantiles, *(f"{q}_rank_error" for q in quantiles), F.greatest(F.lit(PROMISED), 1 / F.col("n")).alias("rank_error_bound"))
+    finish = lambda df, names: df.withColumns(certified(df, names)).select(*(F.col(f"_g.{k}").alias(k) for k in keys), part, "n", *quantiles, *(f"{q}_rank_error" for q in quantiles), F.greatest(F.lit(PROMISED), 1 / F.col("n")).alias("rank_error_bound"))
     day_rows = finish(each.join(counted, ["_g", part]), {q: q for q in quantiles})
-    all_counts = counted.groupBy("_g").agg(*(F.sum(c).alias(c) for c in counts), *(F.first(k).alias(k) for k in keys))
+    all_counts = counted.groupBy("_g").agg(*(F.sum(c).alias(c) for c in counts))
     kind = dict(values.dtypes)[part]
     all_rows = finish(over.join(all_counts, "_g").withColumn(part, F.lit(None).cast(kind)), over_names)
     return day_rows.unionByName(all_rows)
