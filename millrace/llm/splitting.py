@@ -20,6 +20,7 @@ from millrace.sources.tables import only
 MAX_RULES = 1000
 UNIT = re.compile(r"(?:func|type|var|const|import|package|class|def|async def|@\w|#{1,6}\s|---\s*$|\S[^:\n]*:\s*(?:$|[^/\s]))")
 COMMENT = re.compile(r"\s*(?://|/\*|\*/|\*\s|#(?!#*\s))")
+OPENERS = ("{", "(", "[", ",", ":")
 CLOSES = re.compile(r"[})\]]+[;,]?\s*$")
 
 
@@ -35,7 +36,8 @@ def boundary_strengths(lines: list[str]) -> np.ndarray:
     """Strength of a cut behind each line.
 
     Blank lines, ends of top-level blocks and beginnings of top-level units are strong, deeper indentation is
-    weaker, and a cut between a comment and what it stands above is the weakest.
+    weaker; cuts behind an opening bracket or before a closing one are weaker still, and those between a comment and what it
+    stands above the weakest.
     """
     n = len(lines)
     strength = np.zeros(n, np.int32)
@@ -52,8 +54,12 @@ def boundary_strengths(lines: list[str]) -> np.ndarray:
             s += 30
         if following == 0 and nearest and UNIT.match(follower):
             s += 80
-        if bare and CLOSES.match(line) and not line[0].isspace():
-            s += 120
+        if bare and CLOSES.match(bare):
+            s += 10 if line[0].isspace() else 120
+        if bare.endswith(OPENERS):
+            s -= 25
+        if nearest and CLOSES.match(nearest):
+            s -= 25
         if bare and COMMENT.match(line) and nearest:
             s -= 90
         if bare:
