@@ -214,42 +214,56 @@ def lexical_scan(corpus: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", (F.col("tenths") / 10).alias("score"))
 
 
+def _asked(rows: list[tuple]) -> tuple[list, dict[str, int], list[np.ndarray]]:
+    """(questions, number of each term, numbers of the questions that ask for it) of (question, term) rows."""
+    queries = sorted({q for q, _ in rows}, key=repr)
+    number = {q: i for i, q in enumerate(queries)}
+    askers: dict[str, list[int]] = {}
+    for q, term in rows:
+        askers.setdefault(term, []).append(number[q])
+    return queries, {t: i for i, t in enumerate(askers)}, [np.array(v, np.int64) for v in askers.values()]
+
+
 def _lexical_pass(corpus: DataFrame, asked: DataFrame, wanted: list[tuple], limit: int) -> DataFrame:
-    queries = sorted({(t, q) for q, t, _ in wanted}, key=repr)
-    number = {tq: i for i, tq in enumerate(queries)}
-    askers: dict[tuple, list[int]] = {}
+    grouped: dict[object, list[tuple]] = {}
     for q, tenant, term in wanted:
-        askers.setdefault((tenant, term), []).append(number[tenant, q])
-    terms = {k: i for i, k in enumerate(askers)}
-    lists = [np.array(v, np.int64) for v in askers.values()]
-    lengths = np.array([len(x) for x in lists], np.int64)
+        grouped.setdefault(tenant, []).append((q, term))
+    of_tenant = {t: _asked(rows) for t, rows in grouped.items()}
     kinds = dict(corpus.dtypes)
     query_type = to_arrow_type(asked.schema["query_id"].dataType)
     schema = f"query_id {dict(asked.dtypes)['query_id']}, id {kinds['id']}, path string, start_line int, tenths long"
-    step = max(1, SCORES_A_BLOCK // max(1, len(queries)))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                block = batch.slice(lo, step)
-                scores = np.zeros((block.num_rows, len(queries)), np.int64)
-                tenants = block.column(0).to_pylist()
-                for column, weight in ((4, SYMBOL_TENTHS), (5, TEXT_TENTHS)):
-                    for i, (tenant, words) in enumerate(zip(tenants, block.column(column).to_pylist())):
-                        found = [t for w in words or () if (t := terms.get((tenant, w))) is not None]
-                        if found:
-                            which, times = np.unique(found, return_counts=True)
-                            scores[i] += np.bincount(np.concatenate([lists[t] for t in which]), weights=np.repeat(times, lengths[which]) * weight, minlength=len(queries)).astype(np.int64)
-                if limit < len(scores):
-                    edge = np.maximum(-np.partition(-scores, limit - 1, axis=0)[limit - 1], 1)
-                else:
-                    edge = np.ones(len(queries), np.int64)
-                row, col = np.nonzero(scores >= edge[None, :])
-                if len(row):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([queries[c][1] for c in col], query_type), *(block.column(c).take(pa.array(row)) for c in (1, 2, 3)), pa.array(scores[row, col])],
-                        ["query_id", "id", "path", "start_line", "tenths"],
-                    )
+            rows_of: dict[object, list[int]] = {}
+            for i, tenant in enumerate(batch.column(0).to_pylist()):
+                if tenant in of_tenant:
+                    rows_of.setdefault(tenant, []).append(i)
+            texts = [(batch.column(c), weight) for c, weight in ((4, SYMBOL_TENTHS), (5, TEXT_TENTHS))]
+            for tenant, rows in rows_of.items():
+                queries, terms, askers = of_tenant[tenant]
+                lengths = np.array([len(x) for x in askers], np.int64)
+                step = max(1, SCORES_A_BLOCK // len(queries))
+                for lo in range(0, len(rows), step):
+                    at = rows[lo : lo + step]
+                    scores = np.zeros((len(at), len(queries)), np.int64)
+                    for column, weight in texts:
+                        for i, row in enumerate(at):
+                            found = [t for w in column[row].as_py() or () if (t := terms.get(w)) is not None]
+                            if found:
+                                which, times = np.unique(found, return_counts=True)
+                                scores[i] += np.bincount(np.concatenate([askers[t] for t in which]), weights=np.repeat(times, lengths[which]) * weight, minlength=len(queries)).astype(np.int64)
+                    if limit < len(scores):
+                        edge = np.maximum(-np.partition(-scores, limit - 1, axis=0)[limit - 1], 1)
+                    else:
+                        edge = np.ones(len(queries), np.int64)
+                    row, col = np.nonzero(scores >= edge[None, :])
+                    if len(row):
+                        where = pa.array(np.array(at)[row])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([queries[c] for c in col], query_type), *(batch.column(c).take(where) for c in (1, 2, 3)), pa.array(scores[row, col])],
+                            ["query_id", "id", "path", "start_line", "tenths"],
+                        )
 
     words = lambda c: F.transform(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"([\p{L}\p{Nd}]+)"), 1), F.lower)
     return corpus.where(F.col("id").isNotNull()).select("tenant", "id", "path", F.col("start_line").cast("int"), words("symbol").alias("symbol"), words("text").alias("text")).mapInArrow(best, schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import threading
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 from typing import TypeVar
 from uuid import uuid4
 
@@ -46,6 +49,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable for the Python workers of the session, wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    # Workers that don't take files with them, such as those of stateful streams, find it where it is installed.
+    sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([*filter(None, sc.environment.get("PYTHONPATH", "").split(os.pathsep)), str(root.parent)]))
+    _SHIPPED.add(sc.applicationId)
+
+
 class TimedOut(RuntimeError):
     """An action was cancelled at its deadline."""
 
