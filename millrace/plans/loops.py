@@ -51,6 +51,8 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    if not spark.streams.active:  # closes the native stores instead of leaving them to the end of the process
+        spark._jvm.org.apache.spark.sql.execution.streaming.state.StateStore.stop()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out")
 
 
