@@ -130,7 +130,7 @@ def remote_key(remote: Column) -> Column:
 def commit_statements(repos: DataFrame, staleness: DataFrame) -> DataFrame:
     """``remote, ref_name, commit_sha, at, seen``: what the log and the later checks say was indexed when.
 
-    A row without commit or time, or with a time after it was seen, says nothing. A shortened commit stands for the
+    A row without commit or time says nothing, nor does a log row with a time after it was seen. A shortened commit stands for the
     full one of the same (remote, ref); one that fits none or several says nothing. Checks of repos that are gone
     say nothing.
     """
@@ -141,7 +141,8 @@ def commit_statements(repos: DataFrame, staleness: DataFrame) -> DataFrame:
     places = log.where(F.col("id").isNotNull()).select(F.col("id").alias("repo_id"), "remote", "ref_name").distinct()
     checks = staleness.where(F.col("newer_commit").isNotNull() & F.col("newer_indexed_at").isNotNull()).select("repo_id", commit(F.col("newer_commit")).alias("c"), F.col("newer_indexed_at").alias("at"), F.col("checked_at").alias("seen")).distinct()
     checks = checks.join(places, "repo_id").drop("repo_id")
-    said = log.where(F.col("c").isNotNull()).drop("id").unionByName(checks).where(F.col("c").rlike("^[0-9a-f]{4,40}$"))
+    log = log.withColumn("holds", ~F.coalesce(F.col("at") > F.col("seen"), F.lit(False)))
+    said = log.where(F.col("c").isNotNull()).drop("id").unionByName(checks.withColumn("holds", F.lit(True))).where(F.col("c").rlike("^[0-9a-f]{4,40}$"))
     full = said.where(F.length("c") == 40).select("remote", "ref_name", F.col("c").alias("commit_sha"), F.left("c", F.lit(4)).alias("head")).distinct()
     short = said.where(F.length("c") < 40).select("remote", "ref_name", "c", F.left("c", F.lit(4)).alias("head")).distinct()
     meant = (
@@ -149,7 +150,7 @@ def commit_statements(repos: DataFrame, staleness: DataFrame) -> DataFrame:
         .groupBy("remote", "ref_name", "c").agg(F.min("commit_sha").alias("commit_sha"), F.max("commit_sha").alias("_last"))
         .where(F.col("commit_sha") == F.col("_last")).drop("_last")
     )
-    said = said.where(F.col("at").isNotNull() & ~F.coalesce(F.col("at") > F.col("seen"), F.lit(False)))
+    said = said.where(F.col("at").isNotNull() & F.col("holds")).drop("holds")
     whole = said.where(F.length("c") == 40).withColumnRenamed("c", "commit_sha")
     spelt_out = said.where(F.length("c") < 40).join(meant, ["remote", "ref_name", "c"]).drop("c")
     return whole.unionByName(spelt_out).select("remote", "ref_name", "commit_sha", "at", "seen")

@@ -28,18 +28,18 @@ SQL: dict[str, str] = {
     "p2_found": r"""
         WITH log AS (
           SELECT DISTINCT id, regexp_replace(regexp_replace(regexp_replace(lower(trim(remote)), '^[a-z+]+://', ''), '/+', '/', 'g'), '(\.git|/)+$', '') AS remote,
-                 ref_name, lower(commit_sha) AS c, indexed_at AS at_, seen_at AS seen FROM repos),
+                 ref_name, lower(commit_sha) AS c, indexed_at AS at_, seen_at AS seen, NOT coalesce(indexed_at > seen_at, false) AS holds FROM repos),
         checks AS (
-          SELECT DISTINCT p.remote, p.ref_name, lower(s.newer_commit) AS c, s.newer_indexed_at AS at_, s.checked_at AS seen
+          SELECT DISTINCT p.remote, p.ref_name, lower(s.newer_commit) AS c, s.newer_indexed_at AS at_, s.checked_at AS seen, true AS holds
           FROM staleness s JOIN (SELECT DISTINCT id, remote, ref_name FROM log) p ON p.id = s.repo_id
           WHERE s.newer_commit IS NOT NULL AND s.newer_indexed_at IS NOT NULL),
-        said AS (SELECT remote, ref_name, c, at_, seen FROM log WHERE c IS NOT NULL UNION ALL SELECT * FROM checks),
+        said AS (SELECT remote, ref_name, c, at_, seen, holds FROM log WHERE c IS NOT NULL UNION ALL SELECT * FROM checks),
         fulls AS (SELECT DISTINCT remote, ref_name, c AS f FROM said WHERE length(c) = 40),
         meant AS (SELECT s.remote, s.ref_name, s.c, min(f.f) AS f FROM (SELECT DISTINCT remote, ref_name, c FROM said) s
                   JOIN fulls f ON f.remote = s.remote AND f.ref_name = s.ref_name AND starts_with(f.f, s.c)
                   GROUP BY ALL HAVING count(DISTINCT f.f) = 1),
         held AS (SELECT s.remote, s.ref_name, s.at_, arg_max(m.f, s.seen) AS f FROM said s JOIN meant m ON m.remote = s.remote AND m.ref_name = s.ref_name AND m.c = s.c
-                 WHERE s.at_ IS NOT NULL AND NOT coalesce(s.at_ > s.seen, false) GROUP BY ALL),
+                 WHERE s.at_ IS NOT NULL AND s.holds GROUP BY ALL),
         turns AS (SELECT * FROM (SELECT *, lag(f) OVER (PARTITION BY remote, ref_name ORDER BY at_) AS before FROM held) WHERE before IS DISTINCT FROM f)
         SELECT remote, ref_name, f AS commit_sha, epoch_us(at_) AS valid_from_us,
                coalesce(epoch_us(lead(at_) OVER (PARTITION BY remote, ref_name ORDER BY at_)), -1) AS valid_to_us
@@ -48,18 +48,18 @@ SQL: dict[str, str] = {
     "p2_history": r"""
         WITH log AS (
           SELECT DISTINCT id, regexp_replace(regexp_replace(regexp_replace(lower(trim(remote)), '^[a-z+]+://', ''), '/+', '/', 'g'), '(\.git|/)+$', '') AS remote,
-                 ref_name, lower(commit_sha) AS c, indexed_at AS at_, seen_at AS seen FROM repos),
+                 ref_name, lower(commit_sha) AS c, indexed_at AS at_, seen_at AS seen, NOT coalesce(indexed_at > seen_at, false) AS holds FROM repos),
         checks AS (
-          SELECT DISTINCT p.remote, p.ref_name, lower(s.newer_commit) AS c, s.newer_indexed_at AS at_, s.checked_at AS seen
+          SELECT DISTINCT p.remote, p.ref_name, lower(s.newer_commit) AS c, s.newer_indexed_at AS at_, s.checked_at AS seen, true AS holds
           FROM staleness s JOIN (SELECT DISTINCT id, remote, ref_name FROM log) p ON p.id = s.repo_id
           WHERE s.newer_commit IS NOT NULL AND s.newer_indexed_at IS NOT NULL),
-        said AS (SELECT remote, ref_name, c, at_, seen FROM log WHERE c IS NOT NULL UNION ALL SELECT * FROM checks),
+        said AS (SELECT remote, ref_name, c, at_, seen, holds FROM log WHERE c IS NOT NULL UNION ALL SELECT * FROM checks),
         fulls AS (SELECT DISTINCT remote, ref_name, c AS f FROM said WHERE length(c) = 40),
         meant AS (SELECT s.remote, s.ref_name, s.c, min(f.f) AS f FROM (SELECT DISTINCT remote, ref_name, c FROM said) s
                   JOIN fulls f ON f.remote = s.remote AND f.ref_name = s.ref_name AND starts_with(f.f, s.c)
                   GROUP BY ALL HAVING count(DISTINCT f.f) = 1),
         held AS (SELECT s.remote, s.ref_name, s.at_, arg_max(struct_pack(f := m.f, k := date_trunc('month', coalesce(s.seen, s.at_))::DATE), s.seen) AS x FROM said s JOIN meant m ON m.remote = s.remote AND m.ref_name = s.ref_name AND m.c = s.c
-                 WHERE s.at_ IS NOT NULL AND NOT coalesce(s.at_ > s.seen, false) GROUP BY ALL),
+                 WHERE s.at_ IS NOT NULL AND s.holds GROUP BY ALL),
         turns AS (SELECT * FROM (SELECT *, x.f AS f, x.k AS k, lag(x.f) OVER (PARTITION BY remote, ref_name ORDER BY at_) AS before FROM held) WHERE before IS DISTINCT FROM f)
         SELECT remote, ref_name, f AS commit_sha, at_ AS valid_from, lead(at_) OVER (PARTITION BY remote, ref_name ORDER BY at_) AS valid_to, k AS known_in FROM turns
     """,
