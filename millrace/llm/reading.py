@@ -3,11 +3,13 @@
 Every prose sentence is classified by a multinomial logistic model over hashed character 4-grams and words with an
 L2 penalty; the sentences' class distributions, weighted by their words, are averaged over the document, and a
 second small logistic model, fitted on documents the first one has not seen, calibrates the average.
+
+Boilerplate is counted over all documents: a sentence that many different texts hold beside sentences of their own.
+Exact copies count as one text, and a near copy has next to nothing of its own, so copies make nothing boilerplate.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.prose import sentences
+from millrace.session import cut
 from millrace.sources.tables import only
 
 LEVELS = 4
@@ -25,8 +28,12 @@ MAX_LABELLED, MAX_SENTENCES = 1_600, 40
 CHAR_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 16
 SHAPES = 24
 ROUNDS, PENALTY, RATE = 60, 2e-4, 1.0
-#: A sentence found in this share of the sample's documents (3 at least) is boilerplate.
+#: A sentence found in this share of the different texts (3 at least) beside sentences of their own is boilerplate.
 BOILERPLATE_SHARE = 0.01
+#: Spaces that a boilerplate sentence has at least.
+BOILERPLATE_SPACES = 5
+#: A text of so many different sentences is running prose, though other texts hold all of them; fewer are notices.
+RUNNING = 3
 
 
 @dataclass
@@ -138,12 +145,14 @@ def fit_calibration(inputs: np.ndarray, targets: np.ndarray, rounds: int = 1500)
     return weights
 
 
-def fit(samples: list[tuple[list[str], np.ndarray]]) -> ReadingModel | None:
+def filtered(own: list[str], boilerplate: frozenset[str]) -> list[str]:
+    """The sentences that aren't boilerplate; all of them where that would leave nothing of a running text."""
+    return [s for s in own if s not in boilerplate] or (own if len(set(own)) >= RUNNING else [])
+
+
+def fit(samples: list[tuple[list[str], np.ndarray]], boilerplate: frozenset[str] = frozenset()) -> ReadingModel | None:
     """The model, None for fewer than eight documents, for ``(sentences, level distribution of the raters)`` of labelled documents, in a fixed order."""
-    seen = Counter(s for own, _ in samples for s in set(own))
-    least = max(3, BOILERPLATE_SHARE * len(samples))
-    boilerplate = frozenset(s for s, n in seen.items() if n >= least and s.count(" ") >= 5)
-    samples = [(kept, t) for own, t in samples if (kept := [s for s in own if s not in boilerplate])]
+    samples = [(kept, t) for own, t in samples if (kept := filtered(own, boilerplate))]
     if len(samples) < 8:
         return None
     first = [x for i, x in enumerate(samples) if i % 3]
@@ -157,7 +166,7 @@ def fit(samples: list[tuple[list[str], np.ndarray]]) -> ReadingModel | None:
 
 def levels_of(model: ReadingModel, documents: list[list[str]]) -> list[tuple[int, float, np.ndarray, int, float] | None]:
     """(level, expected level, distribution, sentences, words a sentence) of each document, None without English prose."""
-    documents = [[s for s in own if s not in model.boilerplate] for own in documents]
+    documents = [filtered(own, model.boilerplate) for own in documents]
     dist, words = distributions(model.weights, [s for own in documents for s in own])
     n = np.array([len(own) for own in documents])
     filled = np.flatnonzero(n)
@@ -174,20 +183,66 @@ def levels_of(model: ReadingModel, documents: list[list[str]]) -> list[tuple[int
     return out
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_sentences: int = MAX_SENTENCES) -> list[tuple[list[str], np.ndarray]]:
-    """Sentences and raters' level distribution of at most ``most`` labelled documents, chosen by the hash of their id."""
-    documents, labels = only(documents, "doc_id", "text"), only(labels, "doc_id", "level_no", "rater", "labelled_at")
-    clean = labels.where(F.col("doc_id").isNotNull() & F.col("level_no").between(0, LEVELS - 1)).distinct()
-    by_doc = clean.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.avg((F.col("level_no") == k).cast("double")).alias(f"l{k}") for k in range(LEVELS)))
-    chosen = F.broadcast(by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # `most` rows at most
+def parsed(documents: DataFrame) -> DataFrame:
+    """``doc_id, sentences`` of each row with an id and a text; the sentences are read once for all uses."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sentences(t) for t in batch.column(1).to_pylist()]
-            own = [x if len(x) <= most_sentences else [x[i * len(x) // most_sentences] for i in range(most_sentences)] for x in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["doc_id", "sentences"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sentences(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "sentences"])
+
+    documents = only(documents, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, sentences array<string>"))
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(read, "doc_id long, sentences array<string>")
+
+def boilerplate_of(prose: DataFrame, share: float = BOILERPLATE_SHARE) -> frozenset[str]:
+    """Sentences that at least ``share`` of the different texts (3 at least) hold beside sentences of their own.
+
+    Texts with the same sentences are one. A text speaks for a sentence only if at least half of its longer sentences,
+    by characters, are its own, that is found in less than a quarter of the texts that make boilerplate: where a
+    sentence is frequent by near copies, the others of the text are too. What is collected are sentences in at least
+    1/400 of the texts (in 2 at least), at most 400 times the mean number of sentences of a text.
+    """
+    long = F.filter(F.array_distinct("sentences"), lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "))) >= BOILERPLATE_SPACES)
+    hashed = prose.where(F.size("sentences") > 0).select(F.xxhash64("sentences").alias("text_key"), F.transform(long, lambda s: F.xxhash64(s)).alias("keys"), F.transform(long, lambda s: F.length(s)).alias("lengths"))
+    texts = cut(hashed.dropDuplicates(["text_key"]))
+    least = max(3, share * texts.count())
+    several = max(2, least / 4)
+    counted = texts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= several).toArrow()
+    shared, n = counted["key"].to_numpy(), counted["n"].to_numpy()
+    order = np.argsort(shared)
+    shared, frequent = shared[order], np.sort(shared[n >= least])
+    if not len(frequent):
+        return frozenset()
+    known = prose.sparkSession.sparkContext.broadcast((shared, frequent))
+
+    def speaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, frequent = known.value
+        for batch in batches:
+            keys, lengths = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(2))
+            sizes = np.array([len(x) for x in batch.column(0)], np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.bincount(owner, weights=lengths, minlength=len(sizes))
+            own = np.bincount(owner, weights=lengths * ~np.isin(keys, shared), minlength=len(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[np.isin(keys, frequent) & (2 * own >= total)[owner]])], ["key"])
+
+    keys = texts.select("keys", "lengths").mapInArrow(speaks, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("key")
+    keys = [r.key for r in keys.collect()]  # at most 1 / share times the mean number of sentences
+    if not keys:
+        return frozenset()
+    wanted = F.broadcast(prose.sparkSession.createDataFrame([(k,) for k in keys], "key long"))
+    said = prose.select(F.explode("sentences").alias("sentence")).withColumn("key", F.xxhash64("sentence")).join(wanted, "key").select("sentence").distinct()
+    return frozenset(r.sentence for r in said.collect())
+
+
+def labelled_sample(prose: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_sentences: int = MAX_SENTENCES) -> list[tuple[list[str], np.ndarray]]:
+    """Sentences and raters' level distribution of at most ``most`` labelled documents of :func:`parsed`, chosen by the hash of their id."""
+    labels = only(labels, "doc_id", "level_no", "rater", "labelled_at")
+    clean = labels.where(F.col("doc_id").isNotNull() & F.col("level_no").between(0, LEVELS - 1)).distinct()
+    by_doc = clean.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.avg((F.col("level_no") == k).cast("double")).alias(f"l{k}") for k in range(LEVELS)))
+    chosen = F.broadcast(by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # `most` rows at most
+    size = F.size("sentences")
+    some = F.transform(F.sequence(F.lit(0), F.lit(most_sentences - 1)), lambda i: F.get("sentences", F.floor(i * size / most_sentences).cast("int")))
+    texts = prose.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", F.when(size <= most_sentences, F.col("sentences")).otherwise(some).alias("sentences"))
     rows = texts.groupBy("doc_id").agg(F.min("sentences").alias("sentences")).join(chosen, "doc_id").collect()
     rows.sort(key=lambda r: r.doc_id)
     return [(list(r.sentences), np.array([r[f"l{k}"] for k in range(LEVELS)])) for r in rows if r.sentences]
@@ -202,18 +257,18 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most: int = MAX_LABE
     Null ids and null texts give nothing; of rows with the same id and different texts, each gives a row; repeated
     rows count once. With fewer than eight labelled documents of prose no level is given. The model is fitted on a bounded sample of the labels, texts are read whole.
     """
-    documents = only(documents, "doc_id", "text")
-    model = documents.sparkSession.sparkContext.broadcast(fit(labelled_sample(documents, labels, most)))
+    prose = parsed(documents)
+    model = prose.sparkSession.sparkContext.broadcast(fit(labelled_sample(prose, labels, most), boilerplate_of(prose)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
             rows = []
             texts = batch.column(1).to_pylist()
-            for key, got in zip(batch.column(0).to_pylist(), levels_of(own, [sentences(t) for t in texts]) if own else [None] * len(texts)):
+            for key, got in zip(batch.column(0).to_pylist(), levels_of(own, texts) if own else [None] * len(texts)):
                 rows.append((key, got[0], got[1], *map(float, got[2]), got[3], got[4]) if got else (key, None, None, None, None, None, None, 0, None))
             if rows:
                 kinds = [pa.int64(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], [c.split()[0] for c in READ.split(", ")])
 
-    return documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, READ).distinct()
+    return prose.mapInArrow(read, READ).distinct()

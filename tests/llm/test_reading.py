@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import with_extra
 from millrace.llm.prose import paragraphs, sentences
-from millrace.llm.reading import features, fit, levels_of, reading_levels
+from millrace.llm.reading import boilerplate_of, features, fit, levels_of, parsed, reading_levels
 from millrace.sources.tables import table
 
 HARD = "Notwithstanding the considerable provenance of the underlying orthogonality, the concomitant serialization of indexed declarations necessitates precisely that counterfactual idempotence, cf. the preceding section of version 2.4."
@@ -58,3 +58,37 @@ def test_model_is_deterministic():
     a, b = fit(samples), fit(samples)
     assert np.array_equal(a.weights, b.weights)
     assert levels_of(a, [["number 9 of the requisite heterogeneity underdetermines it."], ["the cat has 3 lines."], []])[0][0] == 3
+
+
+NOUNS = "provenance orthogonality idempotence serialization concomitance heterogeneity normalization determinacy".split()
+NOTICE = "see the notes in the store package for the details of this flag."
+
+
+def hard(i):
+    a, b, c = NOUNS[i % 8], NOUNS[i // 8 % 8], NOUNS[i // 64 % 8]
+    return f"Notwithstanding the considerable {a} of the underlying {b}, the concomitant {c} of declaration {i} necessitates precisely that requisite counterfactual which the antecedent formalism of the {a} had presupposed."
+
+
+def plain(i):
+    return f"The cat has {i} lines. We read it and it is good. You can run it {i % 7} times."
+
+
+def test_copies_are_no_boilerplate(spark):
+    text = " ".join(hard(i) for i in range(500, 506))
+    near = [text.replace(f"declaration {500 + i % 6}", f"clause {i}") for i in range(30)]
+    others = [hard(i) if i % 2 else plain(i) for i in range(160)]
+    docs = [(i, t + (" See the notes in the store package for the details of this flag." if i % 8 < 2 else "")) for i, t in enumerate(others)]
+    docs += [(1000 + i, text) for i in range(80)] + [(2000 + i, t) for i, t in enumerate(near)]
+    labels = [(i, 3 if i % 2 else 0, "a", None) for i in range(160)] + [(1000 + i, 3, "a", None) for i in range(80)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    assert boilerplate_of(parsed(documents)) == {NOTICE}
+    got = {r.doc_id: r.level_no for r in reading_levels(documents, spark.createDataFrame(labels, "doc_id long, level_no int, rater string, labelled_at timestamp")).collect()}
+    assert all(got[i] == 3 for i, _ in docs[160:])
+    assert all(got[i] == (3 if i % 2 else 0) for i in range(160))
+
+
+def test_no_running_text_is_emptied():
+    samples = [([f"the cat has {i} lines."], np.eye(4)[0]) for i in range(6)] + [([f"number {i} of the requisite heterogeneity underdetermines it."], np.eye(4)[3]) for i in range(6)]
+    own = [f"number {i} of the requisite heterogeneity underdetermines it." for i in range(20, 24)]
+    text, notice = levels_of(fit(samples, frozenset([*own, NOTICE])), [own, [NOTICE]])
+    assert text[0] == 3 and notice is None
