@@ -31,23 +31,28 @@ def leaf_of(keys: list[str], fanout: int = FANOUT, depth: int = DEPTH) -> Column
 def merkle_tree(rows: DataFrame, keys: list[str], values: list[str], fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
     """``level, node, hash`` of one snapshot, level 0 being the root. The order and the repetition of rows don't matter."""
     leaves = rows.select(*dict.fromkeys(keys + values)).distinct().groupBy(leaf_of(keys, fanout, depth).alias("node")).agg(F.bit_xor(row_hash(keys + values)).alias("hash"))
-    out = leaves.select(F.lit(depth).alias("level"), "node", "hash")
+    return _grown(leaves, fanout, depth)
+
+
+def _grown(leaves: DataFrame, fanout: int, depth: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, level, node, hash``: the trees above ``by, node, hash`` of leaves, one for each value of ``by``."""
+    out = leaves.select(*by, F.lit(depth).alias("level"), "node", "hash")
     below = leaves
     for level in range(depth - 1, -1, -1):
-        below = below.groupBy(F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(F.bit_xor(F.xxhash64("node", "hash")).alias("hash"))
-        out = out.unionByName(below.select(F.lit(level).alias("level"), "node", "hash"))
+        below = below.groupBy(*by, F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(F.bit_xor(F.xxhash64("node", "hash")).alias("hash"))
+        out = out.unionByName(below.select(*by, F.lit(level).alias("level"), "node", "hash"))
     return out
 
 
-def changed_leaves(old: DataFrame, new: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """``node``: the leaves in which two trees differ, found by descending differing branches only."""
+def changed_leaves(old: DataFrame, new: DataFrame, fanout: int = FANOUT, depth: int = DEPTH, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, node``: the leaves in which two trees differ, found by descending differing branches only; for each value of ``by``."""
     differing = None
     for level in range(depth + 1):
-        a, b = (t.where(F.col("level") == level).select("node", F.col("hash").alias(h)) for t, h in ((old, "_old"), (new, "_new")))
+        a, b = (t.where(F.col("level") == level).select(*by, "node", F.col("hash").alias(h)) for t, h in ((old, "_old"), (new, "_new")))
         if differing is not None:
-            parents = differing.select(F.col("node").alias("_parent"))
-            a, b = (t.join(parents, F.floor(F.col("node") / fanout).cast("long") == F.col("_parent"), "left_semi") for t in (a, b))
-        differing = a.join(b, "node", "full").where(~F.col("_old").eqNullSafe(F.col("_new"))).select("node")
+            parents = differing.select(*by, F.col("node").alias("_parent"))
+            a, b = (t.withColumn("_parent", F.floor(F.col("node") / fanout).cast("long")).join(parents, [*by, "_parent"], "left_semi").drop("_parent") for t in (a, b))
+        differing = a.join(b, [*by, "node"], "full").where(~F.col("_old").eqNullSafe(F.col("_new"))).select(*by, "node")
     return differing
 
 
@@ -59,29 +64,33 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], values: list[s
     return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
 
 
+def snapshot_trees(rows: DataFrame, columns: list[str], fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+    """``_s, level, node, hash``: the whole tree of every snapshot, nodes in which nothing arrived included.
+
+    ``rows`` holds ``columns, _s, _leaf``, each row once. A leaf's hash runs over the snapshots, so the rows are read
+    once for all trees; there are at most fanout ** depth leaves a snapshot.
+    """
+    arrived = cut(rows.groupBy("_s", F.col("_leaf").alias("node")).agg(F.bit_xor(row_hash(columns)).alias("hash")))
+    everywhere = arrived.select("node").distinct().crossJoin(F.broadcast(arrived.select("_s").distinct()))
+    running = F.bit_xor("hash").over(Window.partitionBy("node").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
+    leaves = everywhere.join(arrived, ["_s", "node"], "left").withColumn("hash", running).where(F.col("hash").isNotNull())
+    return _grown(cut(leaves.select("_s", "node", "hash")), fanout, depth, ("_s",))
+
+
 def appended_by_snapshot(rows: DataFrame, keys: list[str], values: list[str], snapshot: str, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
     """What each snapshot of a growing table adds: the rows of changed leaves that the snapshot before had not.
 
     ``rows`` holds each row with the first ``snapshot`` that contains it; a snapshot is everything up to its number.
-    The trees of all snapshots are built side by side: a leaf's hash runs over the snapshots, and a node has an entry
-    for each snapshot in which something below it arrived.
+    The tree of each snapshot is compared with that of the one before, and only the leaves that differ are read; which
+    of their rows are new is told by the first snapshot of each.
     """
     columns = list(dict.fromkeys(keys + values))
     rows = cut(rows.groupBy(*columns).agg(F.min(snapshot).alias("_s")).withColumn("_leaf", leaf_of(keys, fanout, depth)))
-    arrived = cut(rows.groupBy("_s", F.col("_leaf").alias("node")).agg(F.bit_xor(row_hash(columns)).alias("hash")))  # at most a row a leaf and snapshot
-    levels = {depth: arrived}
-    for level in range(depth - 1, -1, -1):
-        levels[level] = levels[level + 1].groupBy("_s", F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(F.bit_xor(F.xxhash64("node", "hash")).alias("hash"))
-    differing = None
-    for level in range(depth + 1):
-        here = levels[level]
-        if differing is not None:
-            here = here.join(differing.select(F.col("_s"), F.col("node").alias("_parent")), (here["_s"] == differing["_s"]) & (F.floor(here["node"] / fanout).cast("long") == F.col("_parent")), "left_semi")
-        over = Window.partitionBy("node").orderBy("_s")
-        now = F.bit_xor("hash").over(over.rowsBetween(Window.unboundedPreceding, 0))
-        before = F.bit_xor("hash").over(over.rowsBetween(Window.unboundedPreceding, -1))
-        differing = here.withColumns({"_now": now, "_before": before}).where(~F.col("_now").eqNullSafe(F.col("_before"))).select("_s", "node")
-    leaves = F.broadcast(differing.withColumnRenamed("node", "_leaf"))  # at most a row a leaf and snapshot, however many rows
+    trees = cut(snapshot_trees(rows, columns, fanout, depth))
+    numbers = trees.where("level = 0").select("_s")  # a row a snapshot
+    steps = numbers.select("_s", F.lag("_s").over(Window.orderBy("_s")).alias("_before"))
+    before = trees.withColumnRenamed("_s", "_before").join(F.broadcast(steps), "_before").drop("_before")
+    leaves = F.broadcast(changed_leaves(before, trees, fanout, depth, ("_s",)).withColumnRenamed("node", "_leaf"))  # at most a row a leaf and snapshot, however many rows
     return rows.join(leaves, ["_s", "_leaf"], "left_semi").drop("_leaf").withColumnRenamed("_s", snapshot)
 
 

@@ -90,3 +90,24 @@ def test_equal_snapshots_end_at_the_root(spark):
     assert H.changed_leaves(tree, H.merkle_tree(df.orderBy(F.desc("k")).unionByName(df), ["k"], ["v"], 4, 3), 4, 3).count() == 0
     other = df.withColumn("v", F.when(F.col("k") == 7, 0).otherwise(F.col("v")))
     assert H.changed_leaves(tree, H.merkle_tree(other, ["k"], ["v"], 4, 3), 4, 3).count() == 1
+
+
+def test_snapshots_are_compared_tree_by_tree(spark, monkeypatch):
+    rows = [(k, k * 10 + s, s) for s in (1, 2, 5) for k in range(60) if s == 1 or k % (10 * s) == 3]
+    df = spark.createDataFrame(rows, "k long, v long, s int")
+    placed = df.withColumnRenamed("s", "_s").withColumn("_leaf", H.leaf_of(["k"], 4, 3))
+    trees = {(r["_s"], r.level, r.node): r.hash for r in H.snapshot_trees(placed, ["k", "v"], 4, 3).collect()}
+    assert trees == {(s, r.level, r.node): r.hash for s in (1, 2, 5) for r in H.merkle_tree(df.where(F.col("s") <= s), ["k"], ["v"], 4, 3).collect()}
+    compared = []
+    whole = H.changed_leaves
+
+    def watched(old, new, *args):
+        compared.append(whole(old, new, *args))
+        return compared[-1]
+
+    monkeypatch.setattr(H, "changed_leaves", watched)
+    got = H.appended_by_snapshot(df.unionByName(df), ["k"], ["v"], "s", 4, 3)
+    assert sorted((r.k, r.v, r.s) for r in got.collect()) == sorted(rows)
+    found = {(r["_s"], r.node) for r in compared[0].collect()}
+    assert found == {(r["_s"], r["_leaf"]) for r in placed.collect()}
+    assert len({n for s, n in found if s == 5}) < len({n for s, n in found if s == 1})
