@@ -41,20 +41,20 @@ def encoder(vocabulary: str):
 
 
 def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens`` of every document that isn't blank; one row a document, though it be repeated."""
+    """``doc_id, text_key, n_tokens`` of every text that isn't blank: one row for each different text of an id, told apart by ``xxhash64(text)``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
             sizes = [len(own.encode_ordinary(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes, pa.int64())], ["doc_id", "text_key", "n_tokens"])
 
     return (
         only(documents, id_col, text_col)
         .where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S"))
-        .select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .mapInArrow(count, "doc_id long, n_tokens long")
-        .groupBy("doc_id")
+        .select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+        .mapInArrow(count, "doc_id long, text_key long, n_tokens long")
+        .groupBy("doc_id", "text_key")
         .agg(F.max("n_tokens").alias("n_tokens"))
     )
 
@@ -142,22 +142,22 @@ class _Below:
         return [int(max(sizes[k], partner[k])), int(min(sizes[k], partner[k]))] if total[k] > more_than else None
 
 
-PACKED = "pack_name string, capacity_tokens int, container_id long, doc_id long, part_no int, token_from long, token_to long, n_tokens long"
+PACKED = "pack_name string, capacity_tokens int, container_id long, doc_id long, part_no int, token_from long, token_to long, n_tokens long, text_key long"
 
 
-def _parts(ids: np.ndarray, tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, first token, size) of each part; only what exceeds the capacity has more than one."""
+def _parts(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, first token, size) of each part; only what exceeds the capacity has more than one."""
     n = np.maximum(1, -(-tokens // capacity))
-    doc = np.repeat(np.arange(len(ids)), n)
+    doc = np.repeat(np.arange(len(tokens)), n)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     start = number * capacity
-    return ids[doc], start, np.minimum(capacity, tokens[doc] - start)
+    return doc, start, np.minimum(capacity, tokens[doc] - start)
 
 
 def _pack(keys: tuple, batch: pa.Table) -> pa.Table:
     """Packs one group of parts; containers get the group's number in their upper bits."""
     name, capacity, group = (k.as_py() for k in keys)
-    order = np.lexsort((batch["token_from"].to_numpy(), batch["doc_id"].to_numpy()))
+    order = np.lexsort((batch["token_from"].to_numpy(), batch["text_key"].to_numpy(), batch["doc_id"].to_numpy()))
     batch = batch.take(pa.array(order))
     bins = best_two_fit(batch["n_tokens"].to_numpy().astype(np.int64), capacity)
     n = len(bins)
@@ -165,7 +165,7 @@ def _pack(keys: tuple, batch: pa.Table) -> pa.Table:
     return pa.table(
         {
             "pack_name": pa.array([name] * n, pa.string()), "capacity_tokens": pa.array([capacity] * n, pa.int32()), "container_id": pa.array(bins + (group << 32), pa.int64()),
-            "doc_id": batch["doc_id"].cast(pa.int64()), "token_from": batch["token_from"].cast(pa.int64()), "n_tokens": batch["n_tokens"].cast(pa.int64()), "loose": pa.array(filled < LOOSE * capacity),
+            "doc_id": batch["doc_id"].cast(pa.int64()), "text_key": batch["text_key"].cast(pa.int64()), "token_from": batch["token_from"].cast(pa.int64()), "n_tokens": batch["n_tokens"].cast(pa.int64()), "loose": pa.array(filled < LOOSE * capacity),
         }
     )
 
@@ -173,11 +173,11 @@ def _pack(keys: tuple, batch: pa.Table) -> pa.Table:
 def pack(sizes: DataFrame, packs: DataFrame, group_items: int = GROUP_ITEMS, keep_levels: int = 0) -> DataFrame:
     """Containers for each row of ``packs`` (``pack_name, capacity_tokens``): one row for each part of a document.
 
-    ``sizes``: ``doc_id, n_tokens``. A document within the capacity is one part, a longer one is cut every
+    ``sizes``: ``doc_id, n_tokens`` and, where an id has several texts, their ``text_key`` (0 if there is no such column). A document within the capacity is one part, a longer one is cut every
     ``capacity_tokens`` tokens. ``part_no`` counts from 1, ``token_to`` is excluded. Rows without a capacity above 0,
     a name or a size above 0 give nothing. Groups hold about ``group_items`` parts each, whatever the number of rows.
     """
-    sizes = only(sizes, "doc_id", "n_tokens")
+    sizes = only(sizes, "doc_id", "n_tokens", "text_key") if "text_key" in sizes.columns else only(sizes, "doc_id", "n_tokens").withColumn("text_key", F.lit(0).cast("long"))
     rows = only(packs, "pack_name", "capacity_tokens").where((F.col("capacity_tokens") > 0) & F.col("pack_name").isNotNull()).select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity")).distinct().limit(MAX_PACKS + 1).collect()
     if len(rows) > MAX_PACKS:
         raise ValueError(f"more than {MAX_PACKS} container sizes")
@@ -185,24 +185,24 @@ def pack(sizes: DataFrame, packs: DataFrame, group_items: int = GROUP_ITEMS, kee
     spark = sizes.sparkSession
     if not wanted:
         return spark.createDataFrame([], PACKED)
-    sizes = cut(sizes.where(F.col("doc_id").isNotNull() & (F.col("n_tokens") > 0)).select("doc_id", "n_tokens"))
+    sizes = cut(sizes.where(F.col("doc_id").isNotNull() & (F.col("n_tokens") > 0)).select("doc_id", "text_key", "n_tokens"))
     stat = sizes.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
     groups = {name: max(1, -(-(stat[0] + (stat[1] or 0) // capacity) // group_items)) for name, capacity in wanted}
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            ids, texts, tokens = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for name, capacity in wanted:
                 for lo in range(0, len(ids), 20_000):
-                    doc, start, size = _parts(ids[lo : lo + 20_000], tokens[lo : lo + 20_000], capacity)
+                    doc, start, size = _parts(tokens[lo : lo + 20_000], capacity)
                     n = len(doc)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.full(n, capacity, np.int32)), pa.array(doc), pa.array(start), pa.array(size)], ["pack_name", "capacity", "doc_id", "token_from", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.full(n, capacity, np.int32)), pa.array(ids[lo + doc]), pa.array(texts[lo + doc]), pa.array(start), pa.array(size)], ["pack_name", "capacity", "doc_id", "text_key", "token_from", "n_tokens"])
 
-    all_parts = sizes.mapInArrow(parts, "pack_name string, capacity int, doc_id long, token_from long, n_tokens long")
+    all_parts = sizes.mapInArrow(parts, "pack_name string, capacity int, doc_id long, text_key long, token_from long, n_tokens long")
     number = F.lit(0)
     for name, n in groups.items():
-        number = F.when(F.col("pack_name") == name, F.pmod(F.xxhash64("doc_id", "token_from"), F.lit(n))).otherwise(number)
-    first = all_parts.withColumn("bin_group", number.cast("long")).groupBy("pack_name", "capacity", "bin_group").applyInArrow(_pack, "pack_name string, capacity_tokens int, container_id long, doc_id long, token_from long, n_tokens long, loose boolean")
+        number = F.when(F.col("pack_name") == name, F.pmod(F.xxhash64("doc_id", "text_key", "token_from"), F.lit(n))).otherwise(number)
+    first = all_parts.withColumn("bin_group", number.cast("long")).groupBy("pack_name", "capacity", "bin_group").applyInArrow(_pack, "pack_name string, capacity_tokens int, container_id long, doc_id long, text_key long, token_from long, n_tokens long, loose boolean")
     done, level = None, 0
     most = max(groups.values())
     while most > 1:  # containers with room left meet those of 64 other groups
@@ -211,11 +211,11 @@ def pack(sizes: DataFrame, packs: DataFrame, group_items: int = GROUP_ITEMS, kee
         tight = first.where(~F.col("loose"))
         done = tight if done is None else done.unionByName(tight)
         again = first.where("loose").withColumn("bin_group", (F.lit(level << 24) + F.pmod(F.shiftright("container_id", 32), F.lit(most))).cast("long"))
-        first = again.withColumnRenamed("capacity_tokens", "capacity").drop("container_id", "loose").groupBy("pack_name", "capacity", "bin_group").applyInArrow(_pack, "pack_name string, capacity_tokens int, container_id long, doc_id long, token_from long, n_tokens long, loose boolean")
+        first = again.withColumnRenamed("capacity_tokens", "capacity").drop("container_id", "loose").groupBy("pack_name", "capacity", "bin_group").applyInArrow(_pack, "pack_name string, capacity_tokens int, container_id long, doc_id long, text_key long, token_from long, n_tokens long, loose boolean")
     packed = first if done is None else done.unionByName(first)
     return packed.select(
         "pack_name", "capacity_tokens", "container_id", "doc_id", (F.col("token_from") / F.col("capacity_tokens") + 1).cast("int").alias("part_no"),
-        "token_from", (F.col("token_from") + F.col("n_tokens")).alias("token_to"), "n_tokens",
+        "token_from", (F.col("token_from") + F.col("n_tokens")).alias("token_to"), "n_tokens", "text_key",
     )
 
 

@@ -49,3 +49,13 @@ def test_tokens(spark):
     packs = spark.createDataFrame([("s", 512)], PACKS)
     assert pack(token_sizes(docs.limit(0)), packs).count() == 0
     assert pack(token_sizes(docs), packs.limit(0)).count() == 0
+
+
+def test_every_text_of_an_id_is_packed(spark):
+    docs = spark.createDataFrame([(1, "hello world"), (1, "hello world"), (1, "hello"), (1, "world hello"), (2, "hello")], "doc_id long, text string")
+    sizes = token_sizes(docs)
+    assert sorted((r.doc_id, r.n_tokens) for r in sizes.collect()) == [(1, 1), (1, 2), (1, 2), (2, 1)]
+    for group in (1, 10_000):
+        out = pack(sizes, spark.createDataFrame([("s", 2)], PACKS), group_items=group).collect()
+        assert sorted((r.doc_id, r.part_no, r.n_tokens) for r in out) == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 1)]
+        assert len({(r.doc_id, r.text_key) for r in out}) == 4
