@@ -34,6 +34,11 @@ NAME = re.compile(r"[^\W\d]\w*")
 CAMEL = re.compile(r"(?<=[a-z\d])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 COMMENTS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
 OPENS_RAW = re.compile(r"(?:[=(\[{,:+]|\breturn|\bcase)[ \t]*\Z")
+#: A struct tag of key:"value" pairs; the names and the type of a field before a tag; any tag, up to the end of its line.
+STRUCT_TAG = re.compile(r'`(?:[\w.-]+:"(?:[^"\\\n`]|\\.)*"[ \t]*)+`')
+FIELD = re.compile(r"[ \t]*[^\W\d]\w*(?:[ \t]*,[ \t]*\w+)*[ \t]+[*\[\]\w.]+[ \t]+\Z")
+ANY_TAG = re.compile(r"`[^`\s+,)][^`\n]*`[ \t\r]*(?://[^\n]*)?(?:\n|\Z)")
+TOP_LEVEL = re.compile(r"(?:\s|//[^\n]*(?:\n|\Z)|/\*.*?\*/)*+(?:package|import|type|var|const|func)\b", re.S)
 
 
 def symbol_words(symbol: str) -> set[str]:
@@ -126,7 +131,7 @@ def _tokens(text: str) -> list[tuple[int, int, int]]:
 
     A text cut out of a file may begin inside a raw string or a block comment. It did so where the first back
     quote stands where none can open a string, or where a comment closes that never opened; lexing then starts
-    behind that mark.
+    behind that mark. A text that opens with a declaration and is whole from there on began in neither.
     """
     start, tick = 0, text.find("`")
     while True:
@@ -138,8 +143,7 @@ def _tokens(text: str) -> list[tuple[int, int, int]]:
                 start, again = m.end(), True
                 break
             if kind == TEXT and m.start() == tick and start <= tick:
-                before = text[text.rfind("\n", 0, tick) + 1 : tick]
-                if not OPENS_RAW.search(before):
+                if not _opens_raw(text, tick) and not (start == 0 and TOP_LEVEL.match(text) and _whole(text)):
                     start, again = tick + 1, True
                     tick = -1
                     break
@@ -148,6 +152,28 @@ def _tokens(text: str) -> list[tuple[int, int, int]]:
             return found
 
 
+def _opens_raw(text: str, tick: int) -> bool:
+    """Whether the back quote stands where a raw string or a struct tag can open."""
+    before = text[text.rfind("\n", 0, tick) + 1 : tick]
+    if OPENS_RAW.search(before) or (before.strip() and STRUCT_TAG.match(text, tick)):
+        return True
+    return bool(FIELD.match(before) and ANY_TAG.match(text, tick))
+
+
+def _whole(text: str) -> bool:
+    """Whether a text, lexed from its start, ends outside literals and comments with every bracket closed by its own kind."""
+    open_ones = []
+    for m in TOKEN.finditer(text):
+        kind, raw = m.lastindex, m.group()
+        if kind == STRAY or (kind == TEXT and (len(raw) < 2 or raw[-1] != raw[0])) or (kind == BLOCK and (len(raw) < 4 or not raw.endswith("*/"))):
+            return False
+        if kind == OPEN:
+            open_ones.append(raw)
+        elif kind == CLOSE and (not open_ones or open_ones.pop() + raw not in ("()", "[]", "{}")):
+            return False
+    return not open_ones
+
+
 def _closings(tokens: list[tuple[int, int, int]]) -> list[int]:
     """For each token the index of the one that closes the bracket it opens, or -1."""
     out, open_ones = [-1] * len(tokens), []

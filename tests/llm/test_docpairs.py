@@ -90,3 +90,24 @@ def test_table(spark):
     got = function_doc_pairs(df).collect()
     assert [(r.span_id, r.symbol) for r in got] == [("a", "Load")]
     assert function_doc_pairs(df.limit(0)).count() == 0
+
+
+TAGGED = 'type T struct {\n\tName string `json:"name"`\n\tsync.Mutex `json:"-" yaml:"-"`\n}\n'
+SAVE = "// Save writes the changed records back.\nfunc (t *T) Save() {\n\tx := `a`\n}\n"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (DOC + "func Load() {\n}\n" + TAGGED + SAVE, ["Load", "T.Save"]),
+        (TAGGED + SAVE + DOC + "func Load() {\n}\n", ["T.Save", "Load"]),
+        ("\tA, B *x.Y `a:\"b\"` // c\n}\n" + SAVE, ["T.Save"]),  # begins inside a struct
+        ("\tA []string `@Ident`\n}\n" + SAVE, ["T.Save"]),
+        ("package a\n\nvar x = []string{\n\t`a`,\n\t`b {`,\n}\n" + SAVE, ["T.Save"]),  # a raw string on a line of its own
+        ("import `fmt`\n" + SAVE, ["T.Save"]),
+        ("FROM t WHERE name ` + x + `\n" + "// Fake is no function but text.\nfunc Fake() {\n}\n`\n}\n" + SAVE, ["T.Save"]),  # begins inside a raw string
+        ("the end of a text`\n}\n" + SAVE + "var y = `\nand a new one", ["T.Save"]),
+    ],
+)
+def test_struct_tags_and_raw_strings(text, want):
+    assert symbols(text) == want
