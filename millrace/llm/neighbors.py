@@ -30,7 +30,7 @@ LEAST_PIVOTS, MAX_PIVOTS = 48, 16_384
 #: Rows sampled for a pivot, the most rows sampled, and the rounds in which pivots move to the centre of theirs.
 SAMPLE_A_PIVOT, MAX_SAMPLE, ROUNDS = 12, 65_536, 3
 BLOCK_ROWS = 4_096
-#: Candidates that a file compares for each vector, best by footrule first.
+#: Candidates that a file compares for each vector, best by footrule first; more where ``nearest_k`` is greater.
 RERANK = 600
 MAX_MODELS = 1000
 
@@ -38,10 +38,13 @@ MAX_MODELS = 1000
 def usable_vectors(spans: DataFrame, configs: DataFrame) -> DataFrame:
     """``embed_model, id, embedding, nearest_k`` of vectors with exactly their model's width, all finite, not all zero.
 
-    Repeated rows count once. Models without a configuration, null ids and null vectors give nothing.
+    Repeated rows count once. Models without a configuration, null ids and null vectors give nothing; more than
+    ``MAX_MODELS`` configured models are an error.
     """
     spans, configs = only(spans, "id", "embed_model", "embedding"), only(configs, "embed_model", "embed_dim", "nearest_k")
-    wanted = configs.where(F.col("embed_model").isNotNull() & (F.col("embed_dim") > 0) & (F.col("nearest_k") > 0)).groupBy("embed_model").agg(F.max("embed_dim").alias("_dim"), F.max("nearest_k").alias("nearest_k")).limit(MAX_MODELS)
+    wanted = configs.where(F.col("embed_model").isNotNull() & (F.col("embed_dim") > 0) & (F.col("nearest_k") > 0)).groupBy("embed_model").agg(F.max("embed_dim").alias("_dim"), F.max("nearest_k").alias("nearest_k"))
+    if wanted.limit(MAX_MODELS + 1).count() > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (
@@ -216,11 +219,11 @@ def nearest_vectors(vectors: DataFrame, prefix: int = PREFIX, file_rows: int = F
         side = {"id": group["number"].to_numpy()[order], "order": _matrix(group["pivot_order"], "<u2")[order].astype(np.int32), "vector": _matrix(group["vector"])[order]}
         k = ks[keys[0].as_py()]
         if keys[2].as_py() == keys[3].as_py():
-            parts = [search_file(side, side, k, rerank)]
+            parts = [search_file(side, side, k, max(rerank, k + 1))]
         else:
             mine = group["own"].to_numpy()[order] == keys[2].as_py()
             a, b = ({name: x[which] for name, x in side.items()} for which in (mine, ~mine))
-            parts = [search_file(x, y, k, rerank) for x, y in ((a, b), (b, a)) if len(a["id"]) and len(b["id"])]
+            parts = [search_file(x, y, k, max(rerank, k + 1)) for x, y in ((a, b), (b, a)) if len(a["id"]) and len(b["id"])]
         q, c, s = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float32)))
         return pa.table({"number": pa.array(q), "other": pa.array(c), "similarity": pa.array(s.astype(np.float32))})
 
@@ -233,7 +236,7 @@ def _expand(members: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame
     pairs = met.groupBy("number", "other").agg(F.max("similarity").alias("similarity"))
     info = classes.select("number", "embed_model", "nearest_k", "c1", "c2", "copies", "rep")
     best = Window.partitionBy("number").orderBy(F.desc("similarity"), "other")
-    top = pairs.join(info.select("number", "nearest_k"), "number").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.col("nearest_k")).where(F.col("_r") <= 1000)
+    top = pairs.join(info.select("number", "nearest_k"), "number").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.col("nearest_k"))
     # The nearest_k + 1 smallest ids of each class; most classes have one row only and need no window.
     several = info.where("copies > 1").select("number", "c1", "c2", "nearest_k", "embed_model")
     of_class = salted_join(members.select("c1", "c2", "embed_model", "id"), several, ["embed_model", "c1", "c2"], F.col("id"))

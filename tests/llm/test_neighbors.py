@@ -75,3 +75,13 @@ def test_footrule_affinity():
     assert N.footrule_affinity(a, b).tolist() == want
     footrule = lambda x, y: sum(abs(weight(x, p) - weight(y, p)) for p in {*x, *y})
     assert [footrule(a[0], y) for y in b] == [12 - 2 * s for s in want[0]]
+
+
+def test_nothing_is_cut_silently(spark, monkeypatch):
+    rows = cloud(1010, 4, 5, groups=3)
+    config = spark.createDataFrame([("m", 4, "vector", 40, 1005)], CONFIG)
+    got = N.nearest_vectors(N.usable_vectors(spark.createDataFrame(rows, SPANS), config), prefix=2, max_pivots=2)
+    assert got.groupBy("id").count().where("count = 1005").count() == 1010
+    monkeypatch.setattr(N, "MAX_MODELS", 1)
+    with pytest.raises(ValueError, match="more than 1 models"):
+        N.usable_vectors(spark.createDataFrame(rows[:3], SPANS), config.unionByName(spark.createDataFrame([("n", 4, "vector", 40, 5)], CONFIG)))
