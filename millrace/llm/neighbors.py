@@ -1,13 +1,15 @@
 """Most similar vectors for every vector.
 
-A permutation index: each vector is represented by its nearest pivots in order of nearness and posted in the
-inverted files of those pivots. Two vectors are candidates where they meet in a file; a file ranks its candidates by
-the footrule distance of their pivot orders and compares only the best by cosine. Equal vectors are one class, so
-copies cost nothing and appear in the result through the class.
-
-Scale: the pivots are centres of a bounded sample (at most ``MAX_SAMPLE`` rows, the only vectors collected); their number
-grows with the collection up to ``MAX_PIVOTS`` so that a file keeps about ``FILE_ROWS`` rows, and a file beyond ``BLOCK_ROWS`` is compared
-block against block in tasks of bounded size. Every vector is posted, none is dropped.
+A permutation index. Each vector is represented by its nearest pivots in order of nearness and posted in the inverted
+files of the ``PREFIX`` nearest ones; files of neighbouring pivots lie together in a region, where a vector is posted
+once. A query asks in the regions of its nearest pivots, ``ASKED`` of them. There everything posted is ranked by the
+footrule distance of its order of the region's own pivots from the query's, and only the ``RERANK`` best are compared by
+cosine. Equal vectors are one class, so copies cost nothing and appear in the result through the class.
+
+Scale: a region is one task. Pivots and regions grow with the collection, so that a region keeps about ``REGION_ROWS``
+vectors that ask there first and some eight times as many rows; what is compared by cosine is the same at every size. The global
+pivots are centres of a bounded sample, the only vectors collected; they are broadcast, at most ``PASS_PIVOTS`` in a pass
+over the collection. Every vector is posted, none is dropped.
 """
 
 from __future__ import annotations
@@ -19,38 +21,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import retrieval
 from millrace.operators.skew import salted_join
 from millrace.session import cut
 from millrace.sources.tables import only
 
-#: Pivots in a vector's permutation, which are also the files it is posted in.
-PREFIX = 13
-FILE_ROWS = 700
-LEAST_PIVOTS, MAX_PIVOTS = 48, 16_384
+#: Nearest pivots in whose files a vector is posted, and regions in which it asks.
+PREFIX, ASKED = 16, 2
+#: Vectors that ask first in a region, and rows for a pivot.
+REGION_ROWS, PIVOT_ROWS = 2_000, 25
+LEAST_PIVOTS, PASS_PIVOTS = 512, 65_536
 #: Rows sampled for a pivot, the most rows sampled, and the rounds in which pivots move to the centre of theirs.
-SAMPLE_A_PIVOT, MAX_SAMPLE, ROUNDS = 12, 65_536, 3
-BLOCK_ROWS = 4_096
-#: Candidates that a file compares for each vector, best by footrule first; more where ``nearest_k`` is greater.
-RERANK = 600
-MAX_MODELS = 1000
+SAMPLE_A_PIVOT, MAX_SAMPLE, ROUNDS = 7, 65_536, 3
+#: A region's own pivots, and the classes of ranks that the footrule distance tells apart: nearest 10, nearest 28, nearest 72, the rest.
+LOCAL_PIVOTS, RANKS = 192, (10, 28, 72)
+#: Candidates compared by cosine for each query in a region, the best by footrule; 4 x ``nearest_k`` where that is more.
+RERANK = 256
 
 
 def usable_vectors(spans: DataFrame, configs: DataFrame) -> DataFrame:
     """``embed_model, id, embedding, nearest_k`` of vectors with exactly their model's width, all finite, not all zero.
 
-    Repeated rows count once. Models without a configuration, null ids and null vectors give nothing; more than
-    ``MAX_MODELS`` configured models are an error.
+    Repeated rows count once. Models without a configuration, null ids and null vectors give nothing.
     """
     spans, configs = only(spans, "id", "embed_model", "embedding"), only(configs, "embed_model", "embed_dim", "nearest_k")
     wanted = configs.where(F.col("embed_model").isNotNull() & (F.col("embed_dim") > 0) & (F.col("nearest_k") > 0)).groupBy("embed_model").agg(F.max("embed_dim").alias("_dim"), F.max("nearest_k").alias("nearest_k"))
-    if wanted.limit(MAX_MODELS + 1).count() > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models")
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (
         spans.where(F.col("id").isNotNull() & v.isNotNull())
         .select("embed_model", "id", "embedding")
-        .join(F.broadcast(wanted), "embed_model")
+        .join(wanted, "embed_model")
         .where((F.size(v) == F.col("_dim")) & finite & F.exists(v, lambda x: x != 0))
         .groupBy("embed_model", "id", "nearest_k")
         .agg(F.min("embedding").alias("embedding"))
@@ -102,53 +103,141 @@ def centres(sample: np.ndarray, wanted: int, rounds: int = ROUNDS) -> np.ndarray
     return pivots
 
 
-def footrule_affinity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row of ``a`` and of ``b``, how near their pivot orders are.
-
-    With weights L, L-1, ... 1 along a prefix of length L and 0 for pivots outside it, the footrule distance of two
-    orders is L(L+1) less twice the sum of the smaller weights of shared pivots; this returns that sum. It is
-    gathered from small inverted files: only pivots that both sides have are visited.
+def regions_of(pivots: np.ndarray, wanted: int) -> np.ndarray:
+    """The region of each pivot: about ``wanted`` groups of neighbouring pivots, none with more than twice the mean number."""
+    out = (pivots @ centres(pivots, max(1, min(wanted, len(pivots))), 8).T).argmax(axis=1)
+    most = max(1, 2 * len(pivots) // max(1, wanted))
+    todo, made = [np.flatnonzero(out == g) for g in np.unique(out)], 0
+    while todo:
+        rows = todo.pop()
+        if len(rows) > most:  # halved across the line between two far members
+            own = pivots[rows]
+            a = own[(own @ own[0]).argmin()]
+            b = own[(own @ a).argmin()]
+            order = rows[np.argsort(own @ (b - a), kind="stable")]
+            todo += [order[len(order) // 2 :], order[: len(order) // 2]]
+            continue
+        out[rows] = made
+        made += 1
+    return out.astype(np.int32)
+
+
+def rank_classes(order: np.ndarray, pivots: int, ranks: tuple[int, ...] = RANKS) -> np.ndarray:
+    """For each order (one a row) and each of ``ranks`` a row of 0 and 1: which pivots are among the nearest so many.
+
+    The weight of a pivot in an order is the number of ``ranks`` it is within. With these weights the footrule distance
+    of two orders is a constant less twice the sum of the smaller weights, and that sum is the product of their rows.
     """
-    la, lb = a.shape[1], b.shape[1]
-    out = np.zeros((len(a), len(b)), np.int16)
-    ka, kb = a.ravel(), b.ravel()
-    oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
-    sa, sb = ka[oa], kb[ob]
-    shared = np.intersect1d(sa, sb)
-    a_from, a_to = np.searchsorted(sa, shared, "left"), np.searchsorted(sa, shared, "right")
-    b_from, b_to = np.searchsorted(sb, shared, "left"), np.searchsorted(sb, shared, "right")
-    for i in range(len(shared)):
-        x, y = oa[a_from[i] : a_to[i]], ob[b_from[i] : b_to[i]]
-        out[(x // la)[:, None], (y // lb)[None, :]] += np.minimum((la - x % la)[:, None], (lb - y % lb)[None, :]).astype(np.int16)
+    out = np.zeros((len(order), len(ranks) * pivots), np.uint8)
+    rows = np.arange(len(order))[:, None]
+    for i, most in enumerate(ranks):
+        out[rows, i * pivots + order[:, :most]] = 1
     return out
 
 
-def search_file(a: dict, b: dict, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, cosine): for each row of ``a`` the ``k`` best of ``b`` among its ``rerank`` nearest by footrule."""
-    queries, found, sims = [], [], []
-    for lo in range(0, len(a["id"]), 1024):
-        ids = a["id"][lo : lo + 1024]
-        affinity = footrule_affinity(a["order"][lo : lo + 1024], b["order"])
-        cosine = a["vector"][lo : lo + 1024] @ b["vector"].T
-        cosine[ids[:, None] == b["id"][None, :]] = -np.inf
-        if rerank < affinity.shape[1]:
-            worst = np.partition(affinity, affinity.shape[1] - rerank, axis=1)[:, -rerank]
-            cosine[affinity < worst[:, None]] = -np.inf
-        width = min(k, cosine.shape[1])
-        edge = -np.partition(-cosine, width - 1, axis=1)[:, width - 1]
-        row, col = np.nonzero((cosine >= edge[:, None]) & (cosine > -np.inf))
-        sim = cosine[row, col]
-        order = np.lexsort((b["id"][col], -sim, row))
-        row, col, sim = row[order], col[order], sim[order]
+def local_pivots(number: np.ndarray, wanted: int) -> np.ndarray:
+    """Row numbers of a region's pivots, chosen by a hash of the rows' own numbers."""
+    mixed = number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.argsort(mixed, kind="stable")[:wanted]
+
+
+def search_region(vectors: np.ndarray, pivots: np.ndarray, asking: np.ndarray, k: int, rerank: int | None = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, neighbour, cosine, pairs compared by cosine) of the ``asking`` rows of a region, given as row numbers.
+
+    Rows come in the order in which ties are decided. Without ``rerank`` (for measurements only) all rows are compared.
+    """
+    n = len(vectors)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    compared = 0
+    classes = rank_classes(nearest_pivots(vectors, pivots, RANKS[-1]), len(pivots)) if rerank and rerank < n - 1 else None
+    step = max(1, min(1024, 64_000_000 // max(n, 1)))
+    for lo in range(0, len(asking), step):
+        some = asking[lo : lo + step]
+        if classes is not None:
+            affinity = np.empty((len(some), n), np.uint8)
+            mine = classes[some].astype(np.float32)
+            for at in range(0, n, 8192):
+                affinity[:, at : at + 8192] = mine @ classes[at : at + 8192].astype(np.float32).T
+            affinity[np.arange(len(some)), some] = 0
+        for i, q in enumerate(some):
+            near = np.argpartition(affinity[i], n - rerank)[n - rerank :] if classes is not None else np.arange(n)
+            near = np.sort(near[near != q])
+            compared += len(near)
+            cosine = vectors[near] @ vectors[q]
+            if k < len(near):
+                first = np.flatnonzero(cosine >= np.partition(cosine, len(near) - k)[len(near) - k])
+                near, cosine = near[first], cosine[first]
+            best = np.argsort(-cosine, kind="stable")[:k]
+            out.append((np.full(len(best), q), near[best], cosine[best]))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.float32), 0
+    return *(np.concatenate([x[i] for x in out]) for i in range(3)), compared
+
+
+class _Pass:
+    """Global pivots and their regions for the models of one pass over the collection; regions are numbered over all its models."""
+
+    def __init__(self, models: list[tuple[str, int, int]], samples: dict[str, np.ndarray]) -> None:
+        self.pivots, self.region_of, self.ks = [], [], []
+        self.model_of: list[int] = []
+        for i, (model, n, k) in enumerate(models):
+            own = centres(samples[model], _pivots_for(n))
+            groups = regions_of(own, -(-n // max(REGION_ROWS, 4 * k)))
+            self.pivots.append(own)
+            self.region_of.append(groups + len(self.model_of))
+            self.model_of += [i] * (int(groups.max()) + 1)
+            self.ks.append(k)
+
+    def regions(self, i: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(unit vectors, row, region, whether it asks there) of what is to be posted of rows of model ``i``."""
+        unit = _unit(rows).astype(np.float32)
+        region = self.region_of[i][nearest_pivots(unit, self.pivots[i], PREFIX)]
+        seen = np.zeros(region.shape, bool)  # whether the region stands further to the left too
+        for j in range(1, region.shape[1]):
+            seen[:, j] = (region[:, :j] == region[:, j : j + 1]).any(axis=1)
+        row, column = np.nonzero(~seen)
         first = np.searchsorted(row, row, "left")
-        keep = np.arange(len(row)) - first < k
-        queries.append(ids[row[keep]])
-        found.append(b["id"][col[keep]])
-        sims.append(sim[keep])
-    return np.concatenate(queries), np.concatenate(found), np.concatenate(sims)
+        return unit, row, region[row, column], np.arange(len(row)) - first < ASKED
+
+
+def _pivots_for(n: int) -> int:
+    return int(min(PASS_PIVOTS, max(min(LEAST_PIVOTS, -(-n // 4)), n // PIVOT_ROWS)))
+
+
+def _passes(models: list[tuple[str, int, int]]) -> list[list[tuple[str, int, int]]]:
+    """The models in groups of at most ``PASS_PIVOTS`` pivots."""
+    out: list[list[tuple[str, int, int]]] = []
+    room = 0
+    for m in models:
+        if (pivots := _pivots_for(m[1])) > room:
+            out.append([])
+            room = PASS_PIVOTS
+        out[-1].append(m)
+        room -= pivots
+    return out
+
+
+def _samples(classes: DataFrame, models: list[tuple[str, int, int]]) -> dict[str, np.ndarray]:
+    """Unit vectors of some rows of each model, chosen by the hash of their smallest id, in the order of that hash."""
+    share = [(model, int(min(1.0, 1.2 * min(MAX_SAMPLE, _pivots_for(n) * SAMPLE_A_PIVOT) / n) * (1 << 30)) + 1) for model, n, _ in models]
+    wanted = F.broadcast(classes.sparkSession.createDataFrame(share, "embed_model string, _share long"))  # a row a model
+    picked = classes.withColumn("_h", F.xxhash64("rep")).join(wanted, "embed_model").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share"))
+    rows = picked.select("embed_model", "_h", "rep", "embedding").toArrow()
+    names = np.array(rows["embed_model"].to_pylist(), object)
+    order = np.lexsort((np.array(rows["rep"].to_pylist(), str), rows["_h"].to_numpy()))
+    vectors = rows["embedding"].combine_chunks()
+    out = {}
+    for model, n, _ in models:
+        own = order[names[order] == model]
+        if len(own) < min(n, _pivots_for(n)):
+            raise RuntimeError(f"the sample of {model} is too small")
+        out[model] = _unit(vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)).astype(np.float32)
+    return out
 
 
-def nearest_vectors(vectors: DataFrame, prefix: int = PREFIX, file_rows: int = FILE_ROWS, rerank: int = RERANK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, rerank: int | None = RERANK) -> DataFrame:
     """``embed_model, id, rank, neighbor_id, similarity`` for rows of :func:`usable_vectors`.
 
     Ranks go by cosine, equal similarities to the smaller id. Each of equal vectors has its copies as neighbours
@@ -158,82 +247,56 @@ def nearest_vectors(vectors: DataFrame, prefix: int = PREFIX, file_rows: int = F
     classes = members.groupBy("embed_model", "c1", "c2", "nearest_k").agg(F.min("id").alias("rep"), F.min("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"))
     # Numbers that order as the ids do, so that ties can be decided on them.
     classes = cut(classes.repartitionByRange("embed_model", "rep").sortWithinPartitions("embed_model", "rep").withColumn("number", F.monotonically_increasing_id()))
-    count = {(r.embed_model, r.nearest_k): r.n for r in classes.groupBy("embed_model", "nearest_k").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a model
-    models = sorted(m for m, n in count.items() if n > 0)
-    pivots: list[np.ndarray] = []
-    for model, k in models:
-        wanted = int(min(max_pivots, max(LEAST_PIVOTS, count[model, k] * prefix // file_rows)))
-        rows = classes.where(F.col("embed_model") == model).orderBy(F.xxhash64("rep"), "rep").limit(min(max(wanted, MAX_SAMPLE), wanted * SAMPLE_A_PIVOT)).select("embedding").toArrow()
-        sample = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-        pivots.append(centres(_unit(sample).astype(np.float32), wanted))
-    ks = [k for _, k in models]
-    model_no = F.lit(None).cast("int")
-    for i, (model, _) in enumerate(models):
-        model_no = F.when(F.col("embed_model") == model, F.lit(i)).otherwise(model_no)
+    counted = classes.groupBy("embed_model", "nearest_k").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a model
+    met = None
+    for group in _passes(sorted((r.embed_model, r.n, r.nearest_k) for r in counted)):
+        one = _searched(classes, [m for m, *_ in group], _Pass(group, _samples(classes, group)), rerank)
+        met = one if met is None else met.unionByName(one)
+    if met is None:
+        met = classes.sparkSession.createDataFrame([], "number long, other long, similarity float")
+    return _expand(members, classes, met)
+
+
+def _searched(classes: DataFrame, models: list[str], index: _Pass, rerank: int | None) -> DataFrame:
+    """``number, other, similarity`` of the classes of some models."""
+    spark = classes.sparkSession
+    shared = spark.sparkContext.broadcast(index)
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(models)), "model int, embed_model string"))  # a row a model
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             which = batch.column(0).to_numpy(zero_copy_only=False)
             ids = batch.column(1).to_numpy(zero_copy_only=False)
-            flat = batch.column(2)
             for i in np.unique(which):
                 at = np.flatnonzero(which == i)
-                taken = flat.take(pa.array(at))
-                unit = _unit(taken.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)).astype(np.float32)
-                order = nearest_pivots(unit, pivots[i], prefix)
-                n, width = order.shape
-                rows = np.repeat(np.arange(n), width)
-                raw, raw_order = [r.tobytes() for r in unit], [r.tobytes() for r in order.astype("<u2")]
-                for lo in range(0, len(rows), 16_384):
-                    part = rows[lo : lo + 16_384]
+                unit, row, to, asks = index.regions(i, batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
+                raw = [r.tobytes() for r in unit]
+                for lo in range(0, len(row), 16_384):
+                    part = row[lo : lo + 16_384]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), i, np.int32)), pa.array(order.ravel()[lo : lo + 16_384]), pa.array(ids[at][part]), pa.array([raw_order[r] for r in part], pa.binary()), pa.array([raw[r] for r in part], pa.binary())],
-                        ["model", "pivot", "number", "pivot_order", "vector"],
+                        [pa.array(to[lo : lo + 16_384]), pa.array(ids[at][part]), pa.array(asks[lo : lo + 16_384]), pa.array([raw[r] for r in part], pa.binary())], ["region", "number", "asks", "vector"]
                     )
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows that a batch posts in each file."""
-        for batch in batches:
-            which = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in np.unique(which):
-                at = np.flatnonzero(which == i)
-                unit = _unit(batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)).astype(np.float32)
-                pivot, n = np.unique(nearest_pivots(unit, pivots[i], prefix), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pivot), i, np.int32)), pa.array(pivot.astype(np.int32)), pa.array(n.astype(np.int64))], ["model", "pivot", "n"])
-
-    posted = classes.select(model_no.alias("model"), "number", "embedding").mapInArrow(post, "model int, pivot int, number long, pivot_order binary, vector binary")
-    # Files beyond BLOCK_ROWS: each pair of blocks is a task. Their sizes are at most models x max_pivots rows.
-    sizes = classes.select(model_no.alias("model"), "embedding").mapInArrow(counts, "model int, pivot int, n long").groupBy("model", "pivot").agg(F.ceil(F.sum("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    big = {(r.model, r.pivot): r.blocks for r in sizes.where("blocks > 1").collect()}
-    if big:
-        table = posted.sparkSession.createDataFrame([(m, p, b) for (m, p), b in big.items()], "model int, pivot int, blocks int")
-        posted = posted.join(F.broadcast(table), ["model", "pivot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")
-        posted = posted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        posted = posted.withColumns({"block_a": F.least("own", "other"), "block_b": F.greatest("own", "other")}).drop("blocks", "other")
-    else:
-        posted = posted.withColumns({"own": F.lit(0), "block_a": F.lit(0), "block_b": F.lit(0)})
-
     def search(keys: tuple, group: pa.Table) -> pa.Table:
-        order = np.argsort(group["number"].to_numpy(), kind="stable")
-        side = {"id": group["number"].to_numpy()[order], "order": _matrix(group["pivot_order"], "<u2")[order].astype(np.int32), "vector": _matrix(group["vector"])[order]}
-        k = ks[keys[0].as_py()]
-        if keys[2].as_py() == keys[3].as_py():
-            parts = [search_file(side, side, k, max(rerank, k + 1))]
-        else:
-            mine = group["own"].to_numpy()[order] == keys[2].as_py()
-            a, b = ({name: x[which] for name, x in side.items()} for which in (mine, ~mine))
-            parts = [search_file(x, y, k, max(rerank, k + 1)) for x, y in ((a, b), (b, a)) if len(a["id"]) and len(b["id"])]
-        q, c, s = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float32)))
-        return pa.table({"number": pa.array(q), "other": pa.array(c), "similarity": pa.array(s.astype(np.float32))})
-
-    met = posted.groupBy("model", "pivot", "block_a", "block_b").applyInArrow(search, "number long, other long, similarity float")
-    return _expand(members, classes, met)
+        index = shared.value
+        k = index.ks[index.model_of[keys[0].as_py()]]
+        number = group["number"].to_numpy()
+        by_number = np.argsort(number, kind="stable")
+        number = number[by_number]
+        rows = _matrix(group["vector"])[by_number]
+        asking = np.flatnonzero(group["asks"].to_numpy()[by_number])
+        q, other, cosine, _ = search_region(rows, rows[local_pivots(number, LOCAL_PIVOTS)], asking, k, rerank and max(rerank, 4 * k))
+        return pa.table({"number": pa.array(number[q]), "other": pa.array(number[other]), "similarity": pa.array(cosine.astype(np.float32))})
+
+    posted = classes.join(numbers, "embed_model").select("model", "number", "embedding").mapInArrow(post, "region int, number long, asks boolean, vector binary")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(index.model_of) // 4))
+    return posted.repartition(tasks, "region").groupBy("region").applyInArrow(search, "number long, other long, similarity float")
 
 
 def _expand(members: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
-    """From the files' candidates between classes to ranked neighbours of every row."""
-    pairs = met.groupBy("number", "other").agg(F.max("similarity").alias("similarity"))
+    """From the classes' neighbours, ``nearest_k`` at most for each in each region, to ranked neighbours of every row."""
+    pairs = met.repartition("number").groupBy("number", "other").agg(F.max("similarity").alias("similarity"))
     info = classes.select("number", "embed_model", "nearest_k", "c1", "c2", "copies", "rep")
     best = Window.partitionBy("number").orderBy(F.desc("similarity"), "other")
     top = pairs.join(info.select("number", "nearest_k"), "number").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.col("nearest_k"))
@@ -266,35 +329,15 @@ def neighbor_pairs(neighbors: DataFrame) -> DataFrame:
 def exact_recall(vectors: DataFrame, neighbors: DataFrame, every: int = 20) -> DataFrame:
     """``embed_model, queries, wanted, found, recall`` against brute force.
 
-    Queries are the rows whose id's hash is divisible by ``every``; they are compared with all vectors, in blocks.
-    Queries are collected up to 20,000 (5 MB), beyond that ``every`` is to be raised.
+    Queries are the rows whose id's hash is divisible by ``every``; they are compared with all vectors, in blocks and in
+    as many passes as their number takes.
     """
-    picked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(20_001).collect()
-    if len(picked) > 20_000:
-        raise ValueError("too many queries: raise `every`")
-    by_model: dict[str, tuple[list[str], np.ndarray, int]] = {}
-    for model in {r.embed_model for r in picked}:
-        rows = [r for r in picked if r.embed_model == model]
-        by_model[model] = ([r.id for r in rows], _unit(np.array([r.embedding for r in rows], np.float64)), rows[0].nearest_k)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            model, ids = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-            for m, (queries, q, k) in by_model.items():
-                at = np.flatnonzero([x == m for x in model])
-                if not len(at):
-                    continue
-                block = _unit(batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
-                sim = (q @ block.T).round(7)
-                own = ids[at]
-                order = np.argsort(own)
-                own, sim = own[order], sim[:, order]
-                for i, query in enumerate(queries):
-                    top = [j for j in np.argsort(-sim[i], kind="stable")[: k + 1] if own[j] != query][:k]
-                    yield pa.RecordBatch.from_pydict({"embed_model": [m] * len(top), "id": [query] * len(top), "neighbor_id": list(own[top]), "similarity": sim[i][top].astype(np.float64), "k": np.full(len(top), k, np.int32)})
-
-    near = vectors.select("embed_model", "id", "embedding").mapInArrow(best, "embed_model string, id string, neighbor_id string, similarity double, k int")
-    rank = F.row_number().over(Window.partitionBy("embed_model", "id").orderBy(F.desc("similarity"), "neighbor_id"))
-    truth = near.withColumn("_r", rank).where("_r <= k")
+    corpus = vectors.select(F.col("embed_model").alias("tenant"), "id", F.lit("").alias("path"), F.lit(0).alias("start_line"), "embedding")
+    asked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    most = vectors.agg(F.max("nearest_k")).first()[0] or 0
+    near = retrieval.vector_topk(corpus, asked.select(F.col("id").alias("query_id"), F.col("embed_model").alias("tenant"), "embedding"), most + 1)
+    near = near.where(F.col("id") != F.col("query_id")).withColumnRenamed("id", "neighbor_id").withColumnRenamed("query_id", "id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
+    truth = near.withColumn("_r", rank).join(asked.select("embed_model", "id", "nearest_k"), "id").where(F.col("_r") <= F.col("nearest_k"))
     hit = truth.join(neighbors.select("embed_model", "id", "neighbor_id", F.lit(1).alias("_hit")), ["embed_model", "id", "neighbor_id"], "left")
     return hit.groupBy("embed_model").agg(F.countDistinct("id").alias("queries"), F.count(F.lit(1)).alias("wanted"), F.count("_hit").alias("found"), (F.count("_hit") / F.count(F.lit(1))).alias("recall"))

@@ -26,9 +26,9 @@ def cloud(n, dim, seed, groups=12):
     return [(f"{i:06d}", "m", dim, [float(x) for x in np.float32(centres[i % groups] + rng.normal(scale=0.4, size=dim))]) for i in range(n)]
 
 
-@pytest.mark.parametrize(("n", "block"), [(40, 4096), (900, 4096), (900, 64)])
-def test_recall(spark, monkeypatch, n, block):
-    monkeypatch.setattr(N, "BLOCK_ROWS", block)
+@pytest.mark.parametrize(("n", "region"), [(40, 2000), (900, 2000), (900, 64)])
+def test_recall(spark, monkeypatch, n, region):
+    monkeypatch.setattr(N, "REGION_ROWS", region)
     rows = cloud(n, 12, 4)
     config = spark.createDataFrame([("m", 12, "vector", 40, 5)], CONFIG)
     usable = N.usable_vectors(spark.createDataFrame(rows, SPANS), config)
@@ -68,20 +68,54 @@ def test_empty(spark):
     assert N.nearest_vectors(N.usable_vectors(one, config.limit(0))).count() == 0
 
 
-def test_footrule_affinity():
-    a, b = np.array([[1, 2, 3]]), np.array([[1, 2, 3], [3, 2, 1], [7, 8, 9], [1, 8, 9]])
-    weight = lambda order, p: 3 - list(order).index(p) if p in order else 0
-    want = [[sum(min(weight(x, p), weight(y, p)) for p in x) for y in b] for x in a]
-    assert N.footrule_affinity(a, b).tolist() == want
-    footrule = lambda x, y: sum(abs(weight(x, p) - weight(y, p)) for p in {*x, *y})
-    assert [footrule(a[0], y) for y in b] == [12 - 2 * s for s in want[0]]
-
-
-def test_nothing_is_cut_silently(spark, monkeypatch):
-    rows = cloud(1010, 4, 5, groups=3)
-    config = spark.createDataFrame([("m", 4, "vector", 40, 1005)], CONFIG)
-    got = N.nearest_vectors(N.usable_vectors(spark.createDataFrame(rows, SPANS), config), prefix=2, max_pivots=2)
-    assert got.groupBy("id").count().where("count = 1005").count() == 1010
-    monkeypatch.setattr(N, "MAX_MODELS", 1)
-    with pytest.raises(ValueError, match="more than 1 models"):
-        N.usable_vectors(spark.createDataFrame(rows[:3], SPANS), config.unionByName(spark.createDataFrame([("n", 4, "vector", 40, 5)], CONFIG)))
+def test_footrule_of_rank_classes():
+    rng = np.random.default_rng(3)
+    orders = np.array([rng.permutation(9)[:6] for _ in range(8)])
+    rows = N.rank_classes(orders, 9, (1, 3, 6)).astype(int)
+    weight = lambda order, p: sum(p in order[:most] for most in (1, 3, 6))
+    footrule = [[sum(abs(weight(x, p) - weight(y, p)) for p in range(9)) for y in orders.tolist()] for x in orders.tolist()]
+    assert (2 * (1 + 3 + 6) - 2 * rows @ rows.T).tolist() == footrule
+
+
+def test_footrule_chooses_what_is_compared():
+    rows = np.array([r[3] for r in cloud(3000, 16, 8)], np.float32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    pivots = rows[N.local_pivots(np.arange(3000), N.LOCAL_PIVOTS)]
+    asking = np.arange(0, 3000, 10)
+    q, other, cosine, compared = N.search_region(rows, pivots, asking, 5, 256)
+    assert compared <= 256 * len(asking) < 0.1 * 3000 * len(asking)
+    exact = N.search_region(rows, pivots, asking, 5, None)
+    assert exact[3] == 2999 * len(asking)
+    both = set(zip(q.tolist(), other.tolist())) & set(zip(exact[0].tolist(), exact[1].tolist()))
+    assert len(both) >= 0.95 * len(exact[0])
+    # The rows compared are the nearest by footrule, not any others.
+    weights = N.rank_classes(N.nearest_pivots(rows, pivots, N.RANKS[-1]), len(pivots)).astype(int)
+    for i in asking[:20]:
+        affinity = weights @ weights[i]
+        affinity[i] = -1
+        worst = np.sort(affinity)[-256]
+        assert (affinity[other[q == i]] >= worst).all()
+
+
+def test_regions_hold_few_pivots():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(800, 8)).astype(np.float32)
+    rows[:500] = rows[0] + 1e-3 * rows[:500]  # most pivots are close together
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    groups = N.regions_of(rows, 20)
+    assert np.bincount(groups).max() <= 80 and sorted(set(groups)) == list(range(groups.max() + 1))
+
+
+def test_nothing_is_cut_silently(spark):
+    rows = cloud(1510, 4, 5, groups=3)
+    config = spark.createDataFrame([("m", 4, "vector", 40, 1500)], CONFIG)
+    got = N.nearest_vectors(N.usable_vectors(spark.createDataFrame(rows, SPANS), config))
+    assert got.groupBy("id").count().where("count = 1500").count() == 1510
+
+
+def test_many_models(spark, monkeypatch):
+    monkeypatch.setattr(N, "PASS_PIVOTS", 900)  # several passes
+    rows = [(f"{m}-{i}", f"m{m}", 3, [float(i + 1), float(m + 1), float((i * m) % 5)]) for m in range(1001) for i in range(3)]
+    config = spark.createDataFrame([(f"m{m}", 3, "vector", 40, 2) for m in range(1001)], CONFIG)
+    got = N.nearest_vectors(N.usable_vectors(spark.createDataFrame(rows, SPANS), config))
+    assert got.groupBy("id").count().where("count = 2").count() == 3003
