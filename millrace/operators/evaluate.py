@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators.graph import overlapping
+from millrace.operators.retrieval import Budget, decide
 
 #: Buckets of the first pass of exact quantiles.
 QUANTILE_BUCKETS = 4096
@@ -26,54 +27,98 @@ def gold(cases: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     return found.select("case_id", "lenient", F.col("_b.id").alias("strict"), (-F.col("_b.s")).cast("int").alias("shared_lines"))
 
 
-def hit_rate(rank: Column, k: int) -> Column:
-    """Share of rows whose first gold span is among the first ``k``; rank 0 is a miss."""
-    return F.avg(rank.between(1, k).cast("double"))
+def summaries(records: DataFrame, keys: list[str], ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """The scores of each arm over its scoreable cases, and how many were not.
 
-
-def mean_reciprocal_rank(rank: Column) -> Column:
-    """Mean of 1/rank with 0 for misses; 0 for no rows."""
-    return F.coalesce(F.avg(F.when(rank > 0, F.lit(1.0) / rank).otherwise(0.0)), F.lit(0.0))
-
-
-def summaries(outcomes: DataFrame, keys: list[str], ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
-    """The scores of each arm over its scoreable cases, and how many were not."""
-    scored = F.when(F.col("scoreable"), F.col("gold_rank"))
-    return outcomes.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cases"),
-        F.count_if(~F.col("scoreable")).alias("unscoreable"),
-        *[F.round(F.avg(F.when(F.col("scoreable"), F.coalesce(F.col("gold_rank").between(1, k), F.lit(False)).cast("double"))), 9).alias(f"hit_at_{k}") for k in ks],
-        F.round(F.coalesce(F.avg(F.when(F.col("scoreable"), F.when(scored > 0, F.lit(1.0) / scored).otherwise(0.0))), F.lit(0.0)), 9).alias("mrr"),
-        F.count_if(F.col("scoreable") & F.col("answer_has_gold")).alias("answers_with_gold"),
-    )
+    ``records`` has ``scoreable, gold_rank, answer_has_gold``. Further scores are added for the columns that are there:
+    ``gold_rank_strict`` (rank of the one best span), ``gold`` (spans that meet the case), ``gold_vector_rank`` and
+    ``gold_lexical_rank`` (which arm found the gold), ``moved`` and ``grouped`` (counted over all cases). Rank 0 or null is
+    a miss and counts 0 in a mean; without scoreable cases rates are null and means 0.
+    """
+    have, scored = set(records.columns), F.coalesce("scoreable", F.lit(False))
+    rate = lambda rank, k: F.round(F.avg(F.when(scored, F.coalesce(F.col(rank).between(1, k), F.lit(False)).cast("double"))), 9)
+    reciprocal = lambda rank: F.round(F.coalesce(F.avg(F.when(scored, F.when(F.col(rank) > 0, F.lit(1.0) / F.col(rank)).otherwise(0.0))), F.lit(0.0)), 9)
+    out = [F.count(F.lit(1)).alias("cases"), F.count_if(~scored).alias("unscoreable"), *[rate("gold_rank", k).alias(f"hit_at_{k}") for k in ks], reciprocal("gold_rank").alias("mrr")]
+    if "gold_rank_strict" in have:
+        out += [*[rate("gold_rank_strict", k).alias(f"strict_hit_at_{k}") for k in ks], reciprocal("gold_rank_strict").alias("strict_mrr")]
+    if "gold" in have:
+        out.append(F.round(F.coalesce(F.avg(F.when(scored, F.col("gold").cast("double"))), F.lit(0.0)), 9).alias("mean_gold"))
+    if {"gold_vector_rank", "gold_lexical_rank"} <= have:
+        found, vector, lexical = scored & (F.col("gold_rank") > 0), F.coalesce(F.col("gold_vector_rank") > 0, F.lit(False)), F.coalesce(F.col("gold_lexical_rank") > 0, F.lit(False))
+        by = {"by_both": vector & lexical, "by_vector_only": vector & ~lexical, "by_lexical_only": ~vector & lexical}
+        out += [F.count_if(found & which).alias(f"gold_found_{name}") for name, which in by.items()]
+        out.append(F.count_if(scored & ~F.coalesce(F.col("gold_rank") > 0, F.lit(False))).alias("gold_not_found"))
+    out += [F.count_if(F.col(c)).alias(f"{c}_cases") for c in ("moved", "grouped") if c in have]
+    return records.groupBy(*keys).agg(*out, F.count_if(scored & F.col("answer_has_gold")).alias("answers_with_gold"))
 
 
 def floor_sweep(outcomes: DataFrame, keys: list[str], floors: int = 201) -> DataFrame:
-    """What each refusal floor from -1 to 1 would have done: right and wrong answers and refusals.
+    """What the refusal rule would have done at each floor from -1 to 1, and for which reasons.
 
-    Outcomes are counted once by the highest floor they pass; the sweep is a running sum over at most ``floors`` rows a key.
+    A case without gold is unscoreable, whatever else holds. Of the others those without hits are refused (``no_spans``),
+    those whose vector arm did not run are answered, those without a score are refused (``unscored``), and the score
+    decides the rest (``below_floor``). ``with_gold`` and ``without_gold`` are about the answer, not the ranks. ``applicable``
+    is false where no vector arm ever ran, so that no floor is read. Outcomes are counted once by the highest floor
+    they pass; the sweep is a running sum over ``floors`` and a few more rows a key.
     """
     step = 2.0 / (floors - 1)
-    usable = F.col("scoreable") & F.col("vector_ran")
     top = F.col("top_score").cast("float").cast("double")
     numbered = F.col("top_score").isNotNull() & ~F.isnan("top_score")
-    passed = F.when(numbered, F.floor((F.least(F.greatest(top, F.lit(-2.0)), F.lit(2.0)) + 1) / step + F.lit(1e-9)).cast("int")).otherwise(-1)
+    passed = F.floor((F.least(F.greatest(top, F.lit(-2.0)), F.lit(2.0)) + 1) / step + F.lit(1e-9)).cast("int")
     # The division may be off by one at a floor; compare with the floors themselves.
-    exact = F.when(passed < 0, -1).when(top >= (passed + 1) * F.lit(step) - 1, passed + 1).when(top < passed * F.lit(step) - 1, passed - 1).otherwise(passed)
-    good = F.coalesce(F.col("gold_rank") > 0, F.lit(False))
-    reached = F.least(F.when(numbered, exact).otherwise(-1), F.lit(floors - 1))
-    counted = outcomes.groupBy(*keys, reached.alias("_to")).agg(F.count_if(usable & good).alias("_g"), F.count_if(usable & ~good).alias("_b"), F.count_if(~usable).alias("_u"))
-    grid = counted.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(floors - 1))).alias("n"))
-    both = grid.withColumns({"_to": F.col("n"), "_g": F.lit(0), "_b": F.lit(0), "_u": F.lit(0), "_grid": F.lit(True)}).drop("n").unionByName(counted.withColumn("_grid", F.lit(False)))
-    order = Window.partitionBy(*keys).orderBy(F.desc("_to"), "_grid")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    exact = F.when(top < -1, -1).when(top >= (passed + 1) * F.lit(step) - 1, passed + 1).when(top < passed * F.lit(step) - 1, passed - 1).otherwise(passed)
+    scored, good = F.coalesce("scoreable", F.lit(False)), F.coalesce("answer_has_gold", F.lit(False))
+    ran = F.coalesce("vector_ran", F.lit(False))
+    why = F.when(~scored, "unscoreable").when(F.coalesce("hits", F.lit(0)) == 0, "no_spans").when(~ran, "answered").when(~numbered, "unscored").otherwise("score")
+    reached = F.when(why == "answered", floors - 1).when(why == "score", F.least(exact, F.lit(floors - 1))).otherwise(-1)
+    kinds = {f"_{name}": why == name for name in ("unscoreable", "no_spans", "unscored")}
+    counted = outcomes.groupBy(*keys, reached.alias("_to")).agg(F.count_if(scored & good).alias("_g"), F.count_if(scored & ~good).alias("_b"), F.max(ran).alias("_ran"), *[F.count_if(k).alias(n) for n, k in kinds.items()])
+    grid = counted.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(floors - 1))).alias("_to"))
+    both = grid.withColumns({"_g": F.lit(0), "_b": F.lit(0), "_ran": F.lit(False), **{n: F.lit(0) for n in kinds}, "_grid": F.lit(True)}).unionByName(counted.withColumn("_grid", F.lit(False)))
     whole = Window.partitionBy(*keys)
+    running = whole.orderBy(F.desc("_to"), "_grid").rowsBetween(Window.unboundedPreceding, 0)
     swept = both.withColumns({
-        "right_answer": F.sum("_g").over(running), "wrong_answer": F.sum("_b").over(running), "_all_g": F.sum("_g").over(whole), "_all_b": F.sum("_b").over(whole), "unscoreable": F.sum("_u").over(whole),
+        "answered_with_gold": F.sum("_g").over(running), "answered_without_gold": F.sum("_b").over(running), "_all_g": F.sum("_g").over(whole), "_all_b": F.sum("_b").over(whole),
+        "applicable": F.max("_ran").over(whole), **{n: F.sum(n).over(whole) for n in kinds},
     }).where("_grid")
-    return swept.select(
-        *keys, F.round(F.col("_to") * F.lit(step) - 1, 2).alias("floor"), "right_answer", "wrong_answer", (F.col("_all_g") - F.col("right_answer")).alias("wrong_refusal"), (F.col("_all_b") - F.col("wrong_answer")).alias("right_refusal"), "unscoreable"
-    )
+    refused = {"refused_with_gold": F.col("_all_g") - F.col("answered_with_gold"), "refused_without_gold": F.col("_all_b") - F.col("answered_without_gold")}
+    return swept.withColumns(refused).select(
+        *keys, F.round(F.col("_to") * F.lit(step) - 1, 2).alias("floor"), "answered_with_gold", "answered_without_gold", *refused, *[F.col(n).alias(n[1:]) for n in kinds],
+        (F.col("refused_with_gold") + F.col("refused_without_gold") - F.col("_no_spans") - F.col("_unscored")).alias("below_floor"), "applicable",
+    )
+
+
+def records(cases: DataFrame, spans: DataFrame, hits: DataFrame, budget: Budget, floor: float, top: DataFrame | None = None) -> DataFrame:
+    """What one retrieval did for each case: ranks of its gold, the answer that fits the budget, the decision.
+
+    ``cases``: ``query_id, repo_id, path, start_line, end_line`` (others are kept); ``spans``: ``repo_id, id, path, start_line,
+    end_line, text``; ``hits``: ``query_id, rank, id, vector_rank, lexical_rank`` of :func:`retrieval.fuse` or of one arm with
+    the other's rank 0; ``top``: ``query_id, top_score`` of cases whose vector arm ran. A case that no span meets is not
+    scoreable. A hit counts as gold if it meets the case's lines (lenient) or is the one that shares most of them (strict).
+    """
+    ranges = spans.select("repo_id", "path", "id", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
+    met = overlapping(cases.select("query_id", "repo_id", "path", "start_line", "end_line"), ranges, ["repo_id", "path"]).dropDuplicates(["query_id", "id"])
+    shared = F.least("end_line", "r_end") - F.greatest("start_line", "r_start") + 1
+    of_case = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold"), F.min(F.struct((-shared).alias("s"), F.col("r_start").alias("a"), F.col("r_end").alias("b"), "id")).alias("_best"))
+    ranked = hits.join(met.select("query_id", "id", F.lit(True).alias("_g")), ["query_id", "id"], "left").join(of_case.select("query_id", F.col("_best.id").alias("_strict")), "query_id", "left")
+    ranked = ranked.join(spans.select("id", F.octet_length("text").alias("_size")), "id", "left")
+    by_rank = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    there = F.col("_size").isNotNull()
+    ranked = ranked.withColumns({"_n": F.count("_size").over(by_rank), "_total": F.sum(F.coalesce("_size", F.lit(0))).over(by_rank)})
+    over = there & (F.col("_n") > 1) & ((F.col("_n") > budget.spans) | (F.col("_total") > budget.size))
+    ranked = ranked.withColumn("_cited", there & (F.coalesce(F.max(over.cast("int")).over(by_rank), F.lit(0)) == 0))
+    gold, strict = F.coalesce("_g", F.lit(False)), F.coalesce(F.col("id") == F.col("_strict"), F.lit(False))
+    first = F.min(F.when(gold, F.struct("rank", "vector_rank", "lexical_rank")))
+    found = ranked.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("hits"), first.alias("_first"), F.min(F.when(strict, F.col("rank"))).alias("gold_rank_strict"), F.count_if(gold).alias("gold_found"),
+        F.coalesce(F.max(gold & F.col("_cited")), F.lit(False)).alias("answer_has_gold"), F.count_if("_cited").alias("citations"),
+    )
+    out = cases.join(found, "query_id", "left").join(of_case.drop("_best"), "query_id", "left")
+    for c in ("rank", "vector_rank", "lexical_rank"):
+        out = out.withColumn(f"gold_{c}", F.coalesce(F.col(f"_first.{c}"), F.lit(0)))
+    out = out.drop("_first").na.fill(0, ["hits", "gold_rank_strict", "gold_found", "citations", "gold"]).withColumns({"answer_has_gold": F.coalesce("answer_has_gold", F.lit(False)), "scoreable": F.col("gold") > 0})
+    out = out.join(top.withColumn("vector_ran", F.lit(True)), "query_id", "left").withColumn("vector_ran", F.coalesce("vector_ran", F.lit(False))) if top is not None else out.withColumns({"top_score": F.lit(None).cast("double"), "vector_ran": F.lit(False)})
+    return decide(out, floor)
 
 
 def order_statistics(values: DataFrame, keys: list[str], value: str, ranks: dict[str, float], low: float, high: float) -> DataFrame:
@@ -116,9 +161,12 @@ def bootstrap_difference(pairs: DataFrame, draws: int = 1000, seed: int = 7, lea
     """Difference of two arms' mean reciprocal rank over the same cases, its bootstrap error and a verdict.
 
     ``pairs``: ``rank_a, rank_b`` of a case (0: a miss). Resampling cases is resampling the counts of their rank pairs, of which
-    there are at most as many as ranks squared, so only those counts come to the driver.
+    there are at most as many as ranks squared, so only those counts come to the driver; more than a million are refused.
     """
-    rows = pairs.groupBy("rank_a", "rank_b").agg(F.count(F.lit(1)).alias("n")).orderBy("rank_a", "rank_b").limit(1_000_000).collect()
+    counts = pairs.groupBy("rank_a", "rank_b").agg(F.count(F.lit(1)).alias("n"))
+    rows = sorted(counts.limit(1_000_001).collect(), key=lambda r: (r.rank_a or 0, r.rank_b or 0))
+    if len(rows) > 1_000_000:
+        raise ValueError("more than a million different pairs of ranks")
     n = np.array([r.n for r in rows], np.int64)
     if not n.sum():
         return {"cases": 0, "difference": 0.0, "error": 0.0, "threshold": least_effect, "verdict": "undecided"}

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import alerts, evaluate, queue
+from millrace.functions.udfs import hashed_bow
 from millrace.operators import retrieval as R
-from millrace.operators.graph import overlapping
 from millrace.plans.graphs import _cases, _ranges
+from millrace.plans.search import DEPTH, FLOOR, LIMIT
+from millrace.session import cut
 from millrace.sources.tables import table
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -24,7 +26,12 @@ def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def arm_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.summaries(_outcomes(spark, sf), ["arm_name"])
+    """The arms' scores with what is known of their cases: how many had moved lines or were grouped, and their exact score quantiles."""
+    known = table(spark, sf, "cases").where("id IS NOT NULL").groupBy(F.col("id").alias("case_id")).agg(F.max(F.col("start_line") != F.col("raw_start")).alias("moved"), F.max("grouped").alias("grouped"))
+    o = _outcomes(spark, sf)
+    scores = o.where("scoreable AND top_score BETWEEN -1 AND 1 AND arm_name IS NOT NULL")
+    q = evaluate.order_statistics(scores, ["arm_name"], "top_score", {"score_least": 0.0, "score_p10": 0.1, "score_median": 0.5, "score_p90": 0.9, "score_greatest": 1.0}, -1.0, 1.0).drop("n")
+    return evaluate.summaries(o.join(known, "case_id", "left"), ["arm_name"]).join(q, "arm_name", "left")
 
 
 def hit_at_k(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,19 +56,53 @@ def gold_lenient_strict(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.gold(_cases(spark, sf), _ranges(spark, sf), ["repo_id", "path"])
 
 
+def _recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases, spans, terms asked)"""
+    spans = table(spark, sf, "spans").where("start_line BETWEEN 1 AND end_line AND text IS NOT NULL").groupBy("id").agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "symbol", "start_line", "end_line", "text")])
+    whole = table(spark, sf, "cases").where("raw_start BETWEEN 1 AND raw_end AND question IS NOT NULL")
+    cases = whole.groupBy(F.col("id").alias("query_id")).agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "symbol", "doc_of", "question")], F.max("grouped").alias("grouped"), F.min("raw_start").alias("start_line"), F.min("raw_end").alias("end_line"), F.min("start_line").alias("_from"))
+    cases = cases.withColumn("moved", F.col("_from") != F.col("start_line")).drop("_from")
+    return cases, spans, R.question_terms(cases.select("query_id", F.col("repo_id").alias("tenant"), F.col("question").alias("q")))
+
+
+RECORD = ("query_id", "hits", "gold", "scoreable", "gold_rank", "gold_rank_strict", "gold_found", "citations", "answer_has_gold", "outcome", "reason", "moved", "grouped")
+
+
 def case_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Every case's question asked of its repository's spans by terms: hits, place of the first span that meets the case's
-    lines (0: none among the first ten), and what share of the spans that do were found."""
-    spans = table(spark, sf, "spans").where("start_line BETWEEN 1 AND end_line AND text IS NOT NULL").select("repo_id", "id", "path", "symbol", "start_line", "end_line", "text").groupBy("id").agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "symbol", "start_line", "end_line", "text")])
-    cases = table(spark, sf, "cases").where("raw_start BETWEEN 1 AND raw_end AND question IS NOT NULL").groupBy("id").agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "question", "raw_start", "raw_end")])
-    asked = R.question_terms(cases.select(F.col("id").alias("query_id"), F.col("repo_id").alias("tenant"), F.col("question").alias("q")))
-    hits = R.lexical_scan(spans.withColumn("tenant", F.col("repo_id")), asked, 10)
-    met = overlapping(cases.select("repo_id", "path", F.col("id").alias("query_id"), F.col("raw_start").alias("start_line"), F.col("raw_end").alias("end_line")), spans.select("repo_id", "path", "id", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end")), ["repo_id", "path"])
-    gold = met.select("query_id", "id").distinct()
-    n_gold = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold"))
-    found = hits.join(gold.withColumn("_g", F.lit(1)), ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.coalesce(F.min(F.when(F.col("_g") == 1, F.col("rank"))), F.lit(0)).alias("gold_rank"), F.count("_g").alias("gold_found"))
-    out = cases.select(F.col("id").alias("query_id")).join(found, "query_id", "left").join(n_gold, "query_id", "left")
-    return out.na.fill(0, ["hits", "gold_rank", "gold_found", "gold"]).withColumn("scoreable", F.col("gold") > 0)
+    """Every case's question asked of its repository's spans by terms, in the order of path, first line, symbol and comment kind.
+
+    Without vectors no floor is read: a case is answered as soon as there is a hit.
+    """
+    cases, spans, asked = _recorded(spark, sf)
+    hits = R.lexical_scan(spans.withColumn("tenant", F.col("repo_id")), asked, LIMIT).select("query_id", "rank", "id", F.lit(0).alias("vector_rank"), F.col("rank").alias("lexical_rank"))
+    found = evaluate.records(cases, spans, hits, R.Budget(), FLOOR)
+    return found.orderBy("path", "start_line", "symbol", "doc_of", "query_id").select(*RECORD)
+
+
+def _hybrid_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by both arms; texts and questions are embedded by hashed words, whatever vectors are stored."""
+    cases, spans, asked = _recorded(spark, sf)
+    embed = hashed_bow(64)
+    corpus = cut(spans.withColumns({"tenant": F.col("repo_id"), "embedding": embed(F.concat_ws(" ", "symbol", "text"))}))
+    questions = cases.select("query_id", F.col("repo_id").alias("tenant"), embed("question").alias("embedding"))
+    vector, lexical = cut(R.vector_topk(corpus, questions, DEPTH)), cut(R.lexical_scan(corpus, asked, DEPTH))
+    hits = R.fuse(vector, lexical, corpus.select("id", "path", "start_line"), R.Fusion(), LIMIT)
+    top = vector.where("rank = 1").select("query_id", F.col("similarity").alias("top_score"))
+    return evaluate.records(cases, spans, hits, R.Budget(), FLOOR, top)
+
+
+def case_records_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    return _hybrid_records(spark, sf).select(*RECORD, "gold_vector_rank", "gold_lexical_rank", "top_score", "vector_ran")
+
+
+def arm_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """One run of both arms over all cases: the summary of each with lenient and strict scores and who found the gold."""
+    hybrid = _hybrid_records(spark, sf)
+    cases, spans, asked = _recorded(spark, sf)
+    hits = R.lexical_scan(spans.withColumn("tenant", F.col("repo_id")), asked, LIMIT).select("query_id", "rank", "id", F.lit(0).alias("vector_rank"), F.col("rank").alias("lexical_rank"))
+    alone = evaluate.records(cases, spans, hits, R.Budget(), FLOOR)
+    both = alone.withColumn("mode", F.lit("lexical")).unionByName(hybrid.withColumn("mode", F.lit("hybrid")))
+    return evaluate.summaries(both, ["mode"]).withColumn("floor_applicable", F.col("mode") != "lexical")
 
 
 def leak_probe(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +215,7 @@ def queue_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _Q = (
-    arm_summary, hit_at_k, mrr_all_cases, floor_sweep_201, score_quantiles, gold_lenient_strict, case_records, leak_probe, bootstrap_mrr_diff, golden_ledger, shared_ids, metric_counts_seeded, score_histogram,
+    arm_summary, hit_at_k, mrr_all_cases, floor_sweep_201, score_quantiles, gold_lenient_strict, case_records, case_records_hybrid, arm_comparison, leak_probe, bootstrap_mrr_diff, golden_ledger, shared_ids, metric_counts_seeded, score_histogram,
     error_rate_windows, alert_hold, absent_services, p95_by_type, rolling_spend_1h, tumbling_counts, user_sessions, queue_active_dedupe, queue_claimable, queue_lease, queue_fail_backoff, queue_sweep,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _Q}
@@ -194,15 +235,24 @@ _JOBS = """
     c AS (SELECT * FROM j WHERE status IN ('pending', 'leased') AND (until IS NULL OR until < TIMESTAMP '1997-01-01 00:00:00') ORDER BY created, id LIMIT 25)"""
 
 SQL: dict[str, str] = {
-    "arm_summary": f"SELECT arm_name, {_SUMMARY} FROM {_O} GROUP BY 1",
+    "arm_summary": f"""
+        WITH k AS (SELECT id, bool_or(start_line <> raw_start) AS moved, bool_or(grouped) AS grouped FROM cases WHERE id IS NOT NULL GROUP BY 1),
+        v AS (SELECT arm_name, top_score AS x, row_number() OVER (PARTITION BY arm_name ORDER BY top_score) - 1 AS i, count(*) OVER (PARTITION BY arm_name) AS n FROM {_O} WHERE scoreable AND top_score BETWEEN -1 AND 1 AND arm_name IS NOT NULL),
+        q AS (SELECT arm_name, max(x) FILTER (i = 0) AS score_least, max(x) FILTER (i = floor(0.1::DOUBLE * (n - 1))) AS score_p10, max(x) FILTER (i = floor(0.5::DOUBLE * (n - 1))) AS score_median, max(x) FILTER (i = floor(0.9::DOUBLE * (n - 1))) AS score_p90, max(x) FILTER (i = n - 1) AS score_greatest FROM v GROUP BY 1),
+        s AS (SELECT arm_name, {_SUMMARY}, count(*) FILTER (moved) AS moved_cases, count(*) FILTER (k.grouped) AS grouped_cases FROM {_O} o LEFT JOIN k ON k.id = o.case_id GROUP BY 1)
+        SELECT s.*, score_least, score_p10, score_median, score_p90, score_greatest FROM s LEFT JOIN q ON q.arm_name = s.arm_name
+    """,
     "hit_at_k": f"SELECT repo_id, arm_name, cases, hit_at_1, hit_at_3, hit_at_5, hit_at_10 FROM (SELECT repo_id, arm_name, {_SUMMARY} FROM {_O} GROUP BY 1, 2)",
     "mrr_all_cases": f"SELECT repo_id, arm_name, mrr, unscoreable FROM (SELECT repo_id, arm_name, {_SUMMARY} FROM {_O} GROUP BY 1, 2)",
     "floor_sweep_201": f"""
-        WITH o AS (SELECT arm_name, scoreable AND vector_ran AS usable, coalesce(gold_rank > 0, false) AS good, CASE WHEN top_score IS NOT NULL AND NOT isnan(top_score) THEN top_score::FLOAT::DOUBLE END AS t FROM {_O}),
-        f AS (SELECT k, k * 0.01::DOUBLE - 1 AS floor FROM generate_series(0, 200) g(k))
-        SELECT arm_name, round(floor, 2) AS floor, count(*) FILTER (usable AND good AND t >= floor) AS right_answer, count(*) FILTER (usable AND NOT good AND t >= floor) AS wrong_answer,
-               count(*) FILTER (usable AND good AND (t IS NULL OR t < floor)) AS wrong_refusal, count(*) FILTER (usable AND NOT good AND (t IS NULL OR t < floor)) AS right_refusal, count(*) FILTER (NOT usable) AS unscoreable
-        FROM o, f GROUP BY arm_name, k, floor
+        WITH o AS (SELECT *, CASE WHEN NOT isnan(top_score) THEN top_score::FLOAT::DOUBLE END AS t FROM {_O}),
+        f AS (SELECT k, k * 0.01::DOUBLE - 1 AS floor FROM generate_series(0, 200) g(k)),
+        d AS (SELECT arm_name, k, floor, answer_has_gold AS good, vector_ran,
+                CASE WHEN NOT scoreable THEN 'unscoreable' WHEN hits = 0 THEN 'no_spans' WHEN NOT vector_ran THEN 'answered' WHEN t IS NULL THEN 'unscored' WHEN t < floor THEN 'below_floor' ELSE 'answered' END AS v FROM o, f)
+        SELECT arm_name, round(floor, 2) AS floor, count(*) FILTER (v = 'answered' AND good) AS answered_with_gold, count(*) FILTER (v = 'answered' AND NOT good) AS answered_without_gold,
+               count(*) FILTER (v IN ('no_spans', 'unscored', 'below_floor') AND good) AS refused_with_gold, count(*) FILTER (v IN ('no_spans', 'unscored', 'below_floor') AND NOT good) AS refused_without_gold,
+               count(*) FILTER (v = 'unscoreable') AS unscoreable, count(*) FILTER (v = 'no_spans') AS no_spans, count(*) FILTER (v = 'unscored') AS unscored, count(*) FILTER (v = 'below_floor') AS below_floor, bool_or(vector_ran) AS applicable
+        FROM d GROUP BY arm_name, k, floor
     """,
     "score_quantiles": f"""
         WITH v AS (SELECT arm_name, top_score AS x, row_number() OVER (PARTITION BY arm_name ORDER BY top_score) - 1 AS i, count(*) OVER (PARTITION BY arm_name) AS n FROM {_O} WHERE top_score BETWEEN -1 AND 1 AND arm_name IS NOT NULL)
@@ -217,7 +267,7 @@ SQL: dict[str, str] = {
     """,
     "case_records": r"""
         WITH s AS (SELECT id, min(repo_id) AS repo_id, min(path) AS path, min(symbol) AS symbol, min(start_line) AS a, min(end_line) AS b, min(text) AS text FROM spans WHERE start_line BETWEEN 1 AND end_line AND text IS NOT NULL GROUP BY 1),
-        c AS (SELECT id, min(repo_id) AS repo_id, min(path) AS path, min(question) AS question, min(raw_start) AS a, min(raw_end) AS b FROM cases WHERE raw_start BETWEEN 1 AND raw_end AND question IS NOT NULL GROUP BY 1),
+        c AS (SELECT id, min(repo_id) AS repo_id, min(path) AS path, min(question) AS question, min(raw_start) AS a, min(raw_end) AS b, min(start_line) <> min(raw_start) AS moved, bool_or(grouped) AS grouped FROM cases WHERE raw_start BETWEEN 1 AND raw_end AND question IS NOT NULL GROUP BY 1),
         pt AS (SELECT id, lower(unnest(regexp_extract_all(symbol, '[\p{L}\p{Nd}]+'))) AS term, 10 AS w FROM s WHERE symbol IS NOT NULL UNION ALL SELECT id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{Nd}]+'))), 4 FROM s),
         po AS (SELECT s.id, s.repo_id, term, sum(w) AS w FROM pt JOIN s ON s.id = pt.id GROUP BY ALL),
         qt AS (SELECT id, repo_id, list_transform(flatten(list_transform(regexp_extract_all(question, '[\p{L}\p{Nd}]+'), lambda w: list_concat([w], string_split(regexp_replace(regexp_replace(w, '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '([^\p{Lu} ])(\p{Lu})', '\1 \2', 'g'), ' ')))), lambda x: lower(x)) AS t FROM c),
@@ -225,9 +275,14 @@ SQL: dict[str, str] = {
         sc AS (SELECT query_id, po.id, sum(w)::BIGINT AS v FROM tm JOIN po ON po.repo_id = tm.repo_id AND po.term = tm.term GROUP BY ALL),
         h AS (SELECT * FROM (SELECT query_id, sc.id, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, path, a, s.id) AS rank FROM sc JOIN s ON s.id = sc.id) WHERE rank <= 10),
         g AS (SELECT DISTINCT c.id AS query_id, s.id FROM c JOIN s ON s.repo_id = c.repo_id AND s.path = c.path AND c.a <= s.b AND c.b >= s.a),
-        f AS (SELECT h.query_id, count(*) AS hits, coalesce(min(CASE WHEN g.id IS NOT NULL THEN rank END), 0) AS gold_rank, count(g.id) AS gold_found FROM h LEFT JOIN g ON g.query_id = h.query_id AND g.id = h.id GROUP BY 1),
+        m AS (SELECT c.id AS query_id, s.id, row_number() OVER (PARTITION BY c.id ORDER BY least(c.b, s.b) - greatest(c.a, s.a) DESC, s.a, s.b, s.id) AS k FROM c JOIN s ON s.repo_id = c.repo_id AND s.path = c.path AND c.a <= s.b AND c.b >= s.a),
+        z AS (SELECT h.*, g.id IS NOT NULL AS gold, coalesce(m.k = 1, false) AS strict, sum(strlen(text)) OVER w AS total FROM h LEFT JOIN g ON g.query_id = h.query_id AND g.id = h.id LEFT JOIN m ON m.query_id = h.query_id AND m.id = h.id JOIN s ON s.id = h.id WINDOW w AS (PARTITION BY h.query_id ORDER BY rank)),
+        y AS (SELECT *, rank = 1 OR bool_and(rank = 1 OR (rank <= 5 AND total <= 8000)) OVER (PARTITION BY query_id ORDER BY rank) AS cited FROM z),
+        f AS (SELECT query_id, count(*) AS hits, min(rank) FILTER (gold) AS gold_rank, min(rank) FILTER (strict) AS gold_rank_strict, count(*) FILTER (gold) AS gold_found, count(*) FILTER (cited) AS citations, bool_or(gold AND cited) AS answer_has_gold FROM y GROUP BY 1),
         n AS (SELECT query_id, count(*) AS gold FROM g GROUP BY 1)
-        SELECT c.id AS query_id, coalesce(hits, 0) AS hits, coalesce(gold_rank, 0)::INTEGER AS gold_rank, coalesce(gold_found, 0) AS gold_found, coalesce(gold, 0) AS gold, coalesce(gold, 0) > 0 AS scoreable FROM c LEFT JOIN f ON f.query_id = c.id LEFT JOIN n ON n.query_id = c.id
+        SELECT c.id AS query_id, coalesce(hits, 0) AS hits, coalesce(gold, 0) AS gold, coalesce(gold, 0) > 0 AS scoreable, coalesce(gold_rank, 0)::INTEGER AS gold_rank, coalesce(gold_rank_strict, 0)::INTEGER AS gold_rank_strict, coalesce(gold_found, 0) AS gold_found, coalesce(citations, 0) AS citations,
+               coalesce(answer_has_gold, false) AS answer_has_gold, CASE WHEN hits IS NULL THEN 'refused' ELSE 'answered' END AS outcome, CASE WHEN hits IS NULL THEN 'no_spans' END AS reason, moved, grouped
+        FROM c LEFT JOIN f ON f.query_id = c.id LEFT JOIN n ON n.query_id = c.id
     """,
     "leak_probe": r"""
         WITH n AS (SELECT item_id, trim(regexp_replace(lower(passage), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS p FROM eval_items WHERE passage IS NOT NULL),

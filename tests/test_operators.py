@@ -288,3 +288,41 @@ def test_salted_join(spark):
     got = salted_join(big, unique, ["k"], F.col("id"), least=100)
     assert got.groupBy("v").count().orderBy("v").collect() == [("cold", 1), ("hot", 1500)]
     assert salted_join(big.limit(0), unique, ["k"], F.col("id")).count() == 0
+
+
+def test_floor_sweep_reasons(spark):
+    schema = "arm string, top_score double, hits int, vector_ran boolean, answer_has_gold boolean, scoreable boolean"
+    nan = float("nan")
+    rows = [
+        ("a", 0.5, 3, True, True, True), ("a", 0.25, 3, True, False, True), ("a", nan, 0, True, False, True), ("a", nan, 2, True, True, True), ("a", None, 2, True, False, True),
+        ("a", 0.9, 3, True, True, False), ("a", 5.0, 1, True, True, True), ("a", None, 1, True, None, None), ("l", nan, 2, False, True, True), ("l", None, 0, False, False, True),
+    ]
+    got = {(r.arm, r.floor): r for r in evaluate.floor_sweep(spark.createDataFrame(rows, schema), ["arm"]).collect()}
+    assert len(got) == 402
+    r = got["a", 0.25]  # a score on the floor is good enough
+    assert (r.answered_with_gold, r.answered_without_gold, r.refused_with_gold, r.refused_without_gold) == (2, 1, 1, 2)
+    assert (r.unscoreable, r.no_spans, r.unscored, r.below_floor, r.applicable) == (2, 1, 2, 0, True)
+    r = got["a", 0.26]
+    assert (r.answered_with_gold, r.answered_without_gold, r.refused_with_gold, r.refused_without_gold, r.below_floor) == (2, 0, 1, 3, 1)
+    assert got["a", 1.0].answered_with_gold == 1
+    # Without a vector arm nothing reads the floor: what has a hit is answered at every one.
+    assert {(got["l", f].answered_with_gold, got["l", f].no_spans, got["l", f].applicable) for f in (-1.0, 0.0, 1.0)} == {(1, 1, False)}
+    assert evaluate.floor_sweep(spark.createDataFrame([], schema), ["arm"]).count() == 0
+
+
+def test_case_records(spark):
+    from millrace.operators.retrieval import Budget
+
+    cases = spark.createDataFrame([("q1", "r", "f", 5, 8), ("q2", "r", "f", 90, 95), ("q3", "r", "f", 1, 9)], "query_id string, repo_id string, path string, start_line int, end_line int")
+    spans = spark.createDataFrame([("r", "x", "f", 1, 5, "aa"), ("r", "y", "f", 5, 9, "b" * 90), ("r", "z", "g", 5, 9, "c")], "repo_id string, id string, path string, start_line int, end_line int, text string")
+    hits = spark.createDataFrame([("q1", 1, "z", 1, 0), ("q1", 2, "gone", 2, 1), ("q1", 3, "x", 0, 2), ("q1", 4, "y", 3, 3), ("q2", 1, "x", 1, 1)], "query_id string, rank int, id string, vector_rank int, lexical_rank int")
+    top = spark.createDataFrame([("q1", 0.1), ("q2", 0.9)], "query_id string, top_score double")
+    got = {r.query_id: r for r in evaluate.records(cases, spans, hits, Budget(5, 50), 0.25, top).collect()}
+    r = got["q1"]
+    assert (r.gold, r.gold_rank, r.gold_rank_strict, r.gold_vector_rank, r.gold_lexical_rank, r.hits, r.gold_found) == (2, 3, 4, 0, 2, 4, 2)
+    assert (r.citations, r.answer_has_gold, r.outcome, r.reason) == (2, True, "refused", "below_floor")
+    assert (got["q2"].scoreable, got["q2"].gold_rank, got["q2"].outcome) == (False, 0, "answered")
+    assert (got["q3"].hits, got["q3"].scoreable, got["q3"].reason) == (0, True, "no_spans")
+    s = evaluate.summaries(evaluate.records(cases, spans, hits, Budget(5, 50), 0.25, top).withColumn("arm", F.lit("h")), ["arm"], (1, 3)).first()
+    assert (s.cases, s.unscoreable, s.hit_at_3, s.strict_hit_at_3, s.gold_found_by_lexical_only, s.gold_not_found, s.mean_gold) == (3, 1, 0.5, 0.0, 1, 1, 2.0)
+    assert (round(s.mrr, 6), s.strict_mrr) == (round(1 / 6, 6), 0.125)
