@@ -290,7 +290,7 @@ def _searched(classes: DataFrame, models: list[str], index: _Pass, rerank: int |
         return pa.table({"number": pa.array(number[q]), "other": pa.array(number[other]), "similarity": pa.array(cosine.astype(np.float32))})
 
     posted = classes.join(numbers, "embed_model").select("model", "number", "embedding").mapInArrow(post, "region int, number long, asks boolean, vector binary")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(index.model_of) // 4))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(index.model_of))
     return posted.repartition(tasks, "region").groupBy("region").applyInArrow(search, "number long, other long, similarity float")
 
 
