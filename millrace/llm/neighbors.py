@@ -27,14 +27,14 @@ from millrace.session import cut
 from millrace.sources.tables import only
 
 #: Nearest pivots in whose files a vector is posted, and regions in which it asks.
-PREFIX, ASKED = 16, 2
+PREFIX, ASKED = 20, 2
 #: Vectors that ask first in a region, and rows for a pivot.
 REGION_ROWS, PIVOT_ROWS = 2_000, 25
 LEAST_PIVOTS, PASS_PIVOTS = 512, 65_536
 #: Rows sampled for a pivot, the most rows sampled, and the rounds in which pivots move to the centre of theirs.
 SAMPLE_A_PIVOT, MAX_SAMPLE, ROUNDS = 7, 65_536, 3
-#: A region's own pivots, and the classes of ranks that the footrule distance tells apart: nearest 10, nearest 28, nearest 72, the rest.
-LOCAL_PIVOTS, RANKS = 192, (10, 28, 72)
+#: A region's own pivots, and the classes of ranks that the footrule distance tells apart: nearest 10, nearest 30, nearest 90, the rest.
+LOCAL_PIVOTS, RANKS = 256, (10, 30, 90)
 #: Candidates compared by cosine for each query in a region, the best by footrule; 4 x ``nearest_k`` where that is more.
 RERANK = 256
 
