@@ -4,12 +4,19 @@ Digests are tables of weighted centroids. Sorted values are clustered under a si
 to a cluster near the ends and many in the middle; digests are merged by clustering their centroids again, so the
 digest of a long period comes from the digests of its days. A second pass over the values counts those below and
 up to each estimate, which gives its true rank and thereby an error that is measured, not assumed.
+
+The values cross the network once: all parts of a group meet in one task, which clusters each part, merges the parts'
+digests and counts. Groups too large for one task are cut into salts; each salt gives digests, which are merged by SQL
+windows, and the values are counted in a join. Both ways compute the same function of digests.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +76,145 @@ def estimates(centroids: DataFrame, keys: list[str], quantiles: dict[str, float]
     return placed.groupBy(*keys).agg(F.max("_n").alias("n"), *(e.alias(name) for name, e in picked.items()))
 
 
-def grouped_percentiles(values: DataFrame, keys: list[str], part: str, value: str, spread: list[str], quantiles: dict[str, float] | None = None, compression: float = COMPRESSION, least_hot: int = 100_000) -> DataFrame:
+def _starts(*codes: np.ndarray) -> np.ndarray:
+    """Where a new run of equal codes begins; empty for no rows."""
+    n = len(codes[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in codes:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each value, -1 for null."""
+    encoded = column.combine_chunks().dictionary_encode()
+    return encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+class Digests:
+    """Digests of many groups one after the other: centroids, ordered by mean within each, and where each begins."""
+
+    def __init__(self, mean: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray) -> None:
+        self.mean, self.weight, self.low, self.high, self.starts = mean, weight, low, high, starts
+        self.n = np.add.reduceat(weight, starts) if len(starts) else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(mean))))
+        self.base = np.cumsum(self.n) - self.n
+        self.at = np.cumsum(weight) - weight / 2  # middle of each centroid, counted over all groups
+
+    def clustered(self, compression: float) -> Digests:
+        """The same groups, clustered under the size function."""
+        q = (self.at - self.base[self.owner]) / np.maximum(self.n, 1)[self.owner]
+        cluster = np.floor(np.arcsin(np.clip(2 * q - 1, -1.0, 1.0)) * (compression / (2 * math.pi)))
+        cut = _starts(self.owner, cluster)
+        weight = np.add.reduceat(self.weight, cut) if len(cut) else self.weight
+        mean = np.add.reduceat(self.mean * self.weight, cut) / weight if len(cut) else self.mean
+        low, high = (f.reduceat(x, cut) if len(cut) else x for f, x in ((np.minimum, self.low), (np.maximum, self.high)))
+        return Digests(np.clip(mean, low, high), weight, low, high, np.searchsorted(cut, self.starts))
+
+    def merged(self, groups: np.ndarray, compression: float) -> Digests:
+        """One digest for each run of equal ``groups`` (a number for each digest, ascending)."""
+        owner = groups[self.owner]
+        order = np.lexsort((self.weight, self.high, self.low, self.mean, owner))
+        return Digests(*(x[order] for x in (self.mean, self.weight, self.low, self.high)), _starts(owner[order])).clustered(compression)
+
+    def estimate(self, q: float) -> np.ndarray:
+        """Each group's estimate, interpolated between the middles of neighbouring centroids."""
+        if not len(self.starts):
+            return np.zeros(0)
+        target = self.base + self.n * q
+        after = np.searchsorted(self.at, target, "right")
+        ends = np.append(self.starts[1:], len(self.mean))
+        a, b = np.clip(after - 1, 0, len(self.mean) - 1), np.clip(after, 0, len(self.mean) - 1)
+        gap = self.at[b] - self.at[a]
+        between = self.mean[a] + (self.mean[b] - self.mean[a]) * (target - self.at[a]) / np.where(gap > 0, gap, 1)
+        return np.where(after <= self.starts, self.low[self.starts], np.where(after >= ends, np.maximum.reduceat(self.high, self.starts), between))
+
+
+def _rank_error(values: np.ndarray, starts: np.ndarray, n: np.ndarray, estimate: np.ndarray, q: float) -> np.ndarray:
+    """Distance of the wanted rank from the ranks the estimates really hold, by counting the values below and up to them."""
+    each = np.repeat(estimate, n)
+    below, upto = (np.add.reduceat(x.astype(np.int64), starts) for x in (values < each, values <= each))
+    return np.maximum(np.maximum(below - n * q, n * q - upto), 0) / n
+
+
+def _whole_groups(rows: DataFrame, keys: list[str], part: str, quantiles: dict[str, float], compression: float, schema: str) -> DataFrame:
+    """Percentiles of groups that fit in one task; ``rows``: ``keys, part, _value, _h1, _h2``, equal hashes being repeats."""
+
+    def percentiles(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h1, h2, value = (table[c].to_numpy() for c in ("_h1", "_h2", "_value"))
+        group, day = [_codes(table[k]) for k in keys], _codes(table[part])
+        first = _starts(*group, day, value, h1, h2)
+        value, day, group = value[first], day[first], [g[first] for g in group]
+        days, wholes = _starts(*group, day), _starts(*group)
+        ones = np.ones(len(value), np.int64)
+        by_day = Digests(value, ones, value, value, days).clustered(compression)
+        group_of_day = np.searchsorted(wholes, days, "right") - 1
+        over = by_day.merged(group_of_day, compression)
+        for digests, starts, null_part in ((by_day, days, False), (over, wholes, True)):
+            heads = table.select([*keys, part]).take(pa.array(first[starts]))
+            out = [*(heads[k].combine_chunks() for k in keys), pa.nulls(len(starts), heads[part].type) if null_part else heads[part].combine_chunks(), pa.array(digests.n)]
+            estimates = [digests.estimate(q) for q in quantiles.values()]
+            out += [pa.array(e) for e in estimates]
+            out += [pa.array(_rank_error(value, starts, digests.n, e, q)) for e, q in zip(estimates, quantiles.values())]
+            whole = pa.table(out, names=[c.split("`")[1] for c in schema.split(", ")])
+            yield from whole.to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of groups that may go on in the next batch
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < 50_000:
+                continue
+            table = pa.Table.from_batches(held)
+            last = int(_starts(*[_codes(table[k]) for k in keys])[-1])
+            if last:
+                yield from percentiles(table.slice(0, last))
+            held = table.slice(last).combine_chunks().to_batches()
+            size = table.num_rows - last
+        if size:
+            yield from percentiles(pa.Table.from_batches(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, part, "_value", "_h1", "_h2").mapInArrow(run, schema)
+
+
+def grouped_percentiles(
+    values: DataFrame, keys: list[str], part: str, value: str, spread: list[str], quantiles: dict[str, float] | None = None, compression: float = COMPRESSION, least_hot: int = 100_000, repeats: bool = False
+) -> DataFrame:
     """Percentiles of ``value`` for each ``keys, part`` and, from the parts' digests, for each ``keys`` (``part`` null).
 
     Columns: ``keys, part, n``, an estimate for each quantile and ``<quantile>_rank_error``, the distance of its true
     rank from the wanted one as a share of n, and ``rank_error_bound``, the promise. Null and NaN values don't count;
-    a null key is a group of its own; ``part`` must not be null. A hot group is cut by the hash of ``spread`` into
-    digests of its own, which are merged; the rows themselves never meet in one task.
+    a null key is a group of its own; ``part`` must not be null. With ``repeats``, rows equal in ``spread``, group, part and
+    value count once. A group of ``least_hot`` rows or more, if it also has at least 1/1024 of all, is cut by the hash of ``spread`` into digests of
+    its own, which are merged; its rows never meet in one task.
     """
     quantiles = quantiles or QUANTILES
-    rows = cut(values.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.struct(*keys).alias("_g"), part, F.col(value).cast("double").alias("_value"), F.xxhash64(*spread).alias("_spread")))
+    kinds = dict(values.dtypes)
+    known = values.where(F.col(value).isNotNull() & ~F.isnan(value))
+    hashes = (F.xxhash64(*spread), F.hash(*[F.struct(c) for c in spread])) if repeats else (F.monotonically_increasing_id(), F.lit(0))
+    rows = known.select(*keys, part, F.col(value).cast("double").alias("_value"), hashes[0].alias("_h1"), hashes[1].alias("_h2"))
+    names = [*((k, kinds[k]) for k in keys), (part, kinds[part]), ("n", "bigint"), *((q, "double") for q in quantiles), *((f"{q}_rank_error", "double") for q in quantiles)]
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in names)
+    hot = hot_keys(rows.select(F.struct(*keys).alias("_g")), ["_g"], least_hot).select("_g").collect()  # 1,024 at most
+    if not hot:
+        out = _whole_groups(rows, keys, part, quantiles, compression, schema)
+    else:
+        wanted = f"_hot struct<{', '.join(f'`{k}`: {kinds[k]}' for k in keys)}>"
+        table = rows.sparkSession.createDataFrame([(tuple(r._g),) for r in hot], wanted)
+        marked = rows.withColumn("_g", F.struct(*keys)).join(F.broadcast(table), F.col("_g").eqNullSafe(F.col("_hot")), "left").drop("_g")
+        cold = marked.where(F.col("_hot").isNull()).drop("_hot")
+        big = marked.where(F.col("_hot").isNotNull()).drop("_hot")
+        big = big.dropDuplicates([*keys, part, "_value", "_h1", "_h2"]) if repeats else big
+        out = _whole_groups(cold, keys, part, quantiles, compression, schema).unionByName(_cut_groups(big, keys, part, quantiles, compression, least_hot))
+    return out.withColumn("rank_error_bound", F.greatest(F.lit(PROMISED), 1 / F.col("n")))
+
+
+def _cut_groups(values: DataFrame, keys: list[str], part: str, quantiles: dict[str, float], compression: float, least_hot: int) -> DataFrame:
+    """The same for groups of any size: digests of salts, merged by windows; the values are read again for the count."""
+    rows = cut(values.select(F.struct(*keys).alias("_g"), part, "_value", F.xxhash64("_h1").alias("_spread")))
     hot = F.broadcast(hot_keys(rows.select("_g", part), ["_g", part], least_hot))
     rows = rows.join(hot, ["_g", part], "left").withColumn("_salt", F.pmod("_spread", F.coalesce("_salts", F.lit(1))).cast("int")).drop("_spread", "_salts")
     by_salt = digest(rows, ["_g", part, "_salt"], "_value", compression)
@@ -104,7 +240,7 @@ def grouped_percentiles(values: DataFrame, keys: list[str], part: str, value: st
             out[f"{q}_rank_error"] = F.greatest(F.col(f"_lt_{e}") - rank, rank - F.col(f"_le_{e}"), F.lit(0.0)) / F.col("n")
         return out
 
-    finish = lambda df, names: df.withColumns(certified(df, names)).select(*(F.col(f"_g.{k}").alias(k) for k in keys), part, "n", *quantiles, *(f"{q}_rank_error" for q in quantiles), F.greatest(F.lit(PROMISED), 1 / F.col("n")).alias("rank_error_bound"))
+    finish = lambda df, names: df.withColumns(certified(df, names)).select(*(F.col(f"_g.{k}").alias(k) for k in keys), part, "n", *quantiles, *(f"{q}_rank_error" for q in quantiles))
     day_rows = finish(each.join(counted, ["_g", part]), {q: q for q in quantiles})
     all_counts = counted.groupBy("_g").agg(*(F.sum(c).alias(c) for c in counts))
     kind = dict(values.dtypes)[part]
@@ -118,5 +254,5 @@ def score_percentiles(outcomes: DataFrame, least_hot: int = 100_000) -> DataFram
     Valid are numbers from -1 to 1; repeated rows count once; rows without ``recorded_at`` belong to no day and are left out.
     """
     names = [c for c in OUTCOMES if c.lower() in {x.lower() for x in outcomes.columns}]
-    rows = only(outcomes, *names).distinct().where(F.col("top_score").between(-1.0, 1.0) & F.col("recorded_at").isNotNull()).withColumn("day", F.to_date("recorded_at"))
-    return grouped_percentiles(rows, ["repo_id", "arm_name"], "day", "top_score", ["case_id", "recorded_at", "top_score"], least_hot=least_hot)
+    rows = only(outcomes, *names).where(F.col("top_score").between(-1.0, 1.0) & F.col("recorded_at").isNotNull()).withColumn("day", F.to_date("recorded_at"))
+    return grouped_percentiles(rows, ["repo_id", "arm_name"], "day", "top_score", names, least_hot=least_hot, repeats=True)
