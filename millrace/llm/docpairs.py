@@ -1,9 +1,9 @@
 """Functions paired with their documentation.
 
-Every Go function or method that stands whole in a source text is paired with a documentation comment. Comments
-and functions are the two sides of a bipartite graph: an edge joins a function to a comment between it and the
-declaration before it, its weight comes from distance, names and parameter tags, and the pairs are the assignment
-of greatest total weight. Pairs that are too far apart, and comments that say nothing, are rejected afterwards.
+Every Go function or method that stands whole in a source text is paired with a documentation comment. Comments and
+functions of a text are the two sides of a bipartite graph: a comment between two declarations is a candidate of the
+function below it and of the one above it. Weights come from distance, names and parameter tags; the pairs are the
+assignment of greatest total weight. Implausible pairs, and comments that say nothing, are rejected afterwards.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ TOKEN = re.compile(
     r"""(//[^\n]*)|(/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z))|(`[^`]*(?:`|\Z)|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?)|([{(\[])|([})\]])|(\bfunc\b)|(\*/)"""
 )
 WORD = re.compile(r"[^\W\d_]+")
+#: A parameter's tag: ``@param name`` or ``name:`` or ``- name`` at the beginning of a comment line.
+TAG = re.compile(r"@param\s+(\w+)|^[ \t]*(?://|\*)?[ \t]*(?:-[ \t]+)?(\w+)[ \t]*(?::|-[ \t])", re.M)
 NAME = re.compile(r"[^\W\d]\w*")
 CAMEL = re.compile(r"(?<=[a-z\d])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 COMMENTS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
@@ -38,6 +40,10 @@ OPENS_RAW = re.compile(r"(?:[=(\[{,:+]|\breturn|\bcase)[ \t]*\Z")
 STRUCT_TAG = re.compile(r'`(?:[\w.-]+:"(?:[^"\\\n`]|\\.)*"[ \t]*)+`')
 FIELD = re.compile(r"[ \t]*[^\W\d]\w*(?:[ \t]*,[ \t]*\w+)*[ \t]+[*\[\]\w.]+[ \t]+\Z")
 ANY_TAG = re.compile(r"`[^`\s+,)][^`\n]*`[ \t\r]*(?://[^\n]*)?(?:\n|\Z)")
+#: Weights: a comment that describes and ends on the line above (more than any two other links together), another one there, nearness
+#: of other comments above and below, the function's name at its beginning and elsewhere, all parameters named, and tagged.
+ADJACENT, TOUCHING, ABOVE, BELOW = 80.0, 6.0, 6.0, 4.0
+OPENS_WITH_NAME, NAMED, PARAMETERS, TAGGED = 8.0, 2.0, 6.0, 4.0
 TOP_LEVEL = re.compile(r"(?:\s|//[^\n]*(?:\n|\Z)|/\*.*?\*/)*+(?:package|import|type|var|const|func)\b", re.S)
 
 
@@ -80,50 +86,66 @@ def comment_paragraphs(tokens: list[tuple[int, str]]) -> list[str]:
 
 
 def assign(weights: dict[tuple[int, int], float]) -> dict[int, int]:
-    """The matching of greatest weight of a bipartite graph given as {(left, right): weight above 0}.
+    """The matching of greatest weight of a bipartite graph given as {(left, right): weight above 0}; who gains nothing stays single.
 
-    Edges whose two ends have no other edge are taken at once; the rest is solved by successive shortest
-    augmenting paths (Hungarian method) over the remaining, small matrix.
+    An edge that weighs as much as the best other edges of its two ends together belongs to some best matching and
+    is taken first, which leaves small components; these are solved by augmenting paths of greatest gain (the
+    Hungarian method on sparse rows). Equal weights are decided by the smaller numbers.
     """
-    lefts: dict[int, int] = {}
-    rights: dict[int, int] = {}
-    for a, b in weights:
-        lefts[a] = lefts.get(a, 0) + 1
-        rights[b] = rights.get(b, 0) + 1
-    pairs = {a: b for a, b in weights if lefts[a] == 1 and rights[b] == 1}
-    rest = {k: w for k, w in weights.items() if k[0] not in pairs}
-    if not rest:
-        return pairs
-    rows, cols = sorted({a for a, _ in rest}), sorted({b for _, b in rest})
-    n, m = len(rows), len(cols) + len(rows)  # a column of its own lets each row stay single
-    cost = [[-rest.get((a, b), -1e9) for b in cols] + [0.0] * n for a in rows]
-    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        owner[0], j = i, 0
-        best, used = [float("inf")] * (m + 1), [False] * (m + 1)
-        while owner[j]:
-            used[j] = True
-            row, delta, to = owner[j], float("inf"), 0
-            for k in range(1, m + 1):
-                if not used[k]:
-                    if (c := cost[row - 1][k - 1] - u[row] - v[k]) < best[k]:
-                        best[k], way[k] = c, j
-                    if best[k] < delta:
-                        delta, to = best[k], k
-            for k in range(m + 1):
-                if used[k]:
-                    u[owner[k]] += delta
-                    v[k] -= delta
-                else:
-                    best[k] -= delta
-            j = to
-        while j:
-            owner[j] = owner[way[j]]
-            j = way[j]
-    for k in range(1, len(cols) + 1):
-        if owner[k] and (rows[owner[k] - 1], cols[k - 1]) in rest:
-            pairs[rows[owner[k] - 1]] = cols[k - 1]
-    return pairs
+    left: dict[int, dict[int, float]] = {}
+    right: dict[int, set[int]] = {}
+    for (a, b), w in sorted(weights.items()):
+        left.setdefault(a, {})[b] = w
+        right.setdefault(b, set()).add(a)
+    pairs: dict[int, int] = {}
+    todo = sorted(left, reverse=True)
+    while todo:
+        a = todo.pop()
+        if a in pairs or not left.get(a):
+            continue
+        b = min(left[a], key=lambda x: (-left[a][x], x))
+        others = max((w for x, w in left[a].items() if x != b), default=0.0) + max((left[x][b] for x in right[b] if x != a), default=0.0)
+        if left[a][b] >= others:
+            pairs[a] = b
+            for x in left.pop(a):
+                right[x].discard(a)
+            for x in right.pop(b):
+                left[x].pop(b)
+                todo.append(x)
+    owner: dict[int, int] = {}
+    held: dict[int, int] = {}
+    for a in sorted(x for x in left if left[x]):
+        gain, way = {a: 0.0}, {}
+        best, end = 0.0, None  # staying single
+        queue = [a]
+        while queue:
+            u = queue.pop(0)
+            for b, w in left[u].items():
+                if held.get(u) == b:
+                    continue
+                g = gain[u] + w
+                v = owner.get(b)
+                if v is None:
+                    if g > best + 1e-9:
+                        best, end = g, (u, b)
+                elif g - left[v][b] > gain.get(v, -1e18) + 1e-9:
+                    gain[v], way[v] = g - left[v][b], (u, b)
+                    queue.append(v)
+                    if gain[v] > best + 1e-9:  # v stays single instead
+                        best, end = gain[v], (v, None)
+        if end is None:
+            continue
+        u, b = end
+        if b is None:
+            held.pop(u)
+            u, b = way[u]
+        while True:
+            before = held.get(u)
+            held[u], owner[b] = b, u
+            if u == a:
+                break
+            u, b = way[u] if before is None else (way[u][0], before)
+    return {**pairs, **held}
 
 
 def _tokens(text: str) -> list[tuple[int, int, int]]:
@@ -238,50 +260,64 @@ def _function(text: str, tokens: list[tuple[int, int, int]], closes: list[int],
     return None
 
 
-def pairs_in(text: str, max_gap: int = 0, least: int = LEAST_WORDS) -> list[tuple[str, str, int]]:
-    """(symbol, description, line of ``func``) of each documented function that stands whole in ``text``.
+class _Comment:
+    """A group of comments without a blank line between them, on lines of its own."""
 
-    ``max_gap`` is the greatest number of lines allowed between the comment's last line and the function's.
-    Each comment serves one function at most.
-    """
-    tokens = _tokens(text)
+    __slots__ = ("first", "last", "members")
+
+    def __init__(self, first: int, last: int, members: list[tuple[int, int, int]]) -> None:
+        self.first, self.last, self.members = first, last, members
+
+
+class _Function:
+    __slots__ = ("symbol", "parameters", "first", "last", "above", "below")
+
+    def __init__(self, symbol: str, parameters: str, first: int, last: int) -> None:
+        self.symbol, self.parameters, self.first, self.last = symbol, parameters, first, last
+        self.above: list[_Comment] = []
+        self.below: list[_Comment] = []
+
+
+def _top_level(text: str, tokens: list[tuple[int, int, int]]) -> list[_Function]:
+    """The functions at top level with all comments between them and the declarations before and after."""
     closes = _closings(tokens)
     ends = [m.start() for m in re.finditer("\n", text)]
     line = lambda at: bisect_right(ends, at - 1) + 1 if at else 1
-    groups: list[list[int]] = []  # token indices
-    functions: list[tuple[str, str, int, int]] = []  # symbol, parameters, start, number of groups before it
-    edges: dict[tuple[int, int], float] = {}
-    since, i, n = 0, 0, len(tokens)
+    functions: list[_Function] = []
+    slot: list[list[tuple[int, int, int]]] = []  # comment groups since the last declaration
+    above: _Function | None = None  # the last declaration, if it is a function
+    at, i, n = -1, 0, len(tokens)  # index of the last comment token
+
+    def comments(before: int | None = None) -> list[_Comment]:
+        out = []
+        for group in slot:
+            members = [t for t in group if before is None or line(t[1]) < before]
+            if members:
+                out.append(_Comment(line(members[0][1]), line(members[-1][2] - 1), members))
+        return out
+
     while i < n:
         kind, s, e = tokens[i]
         if kind in (LINE, BLOCK):
-            before = text[text.rfind("\n", 0, s) + 1 : s]
-            if groups and groups[-1][-1] == i - 1 and text.count("\n", tokens[i - 1][2], s) <= 1 and not text[tokens[i - 1][2] : s].strip():
-                groups[-1].append(i)
-            elif not before.strip():
-                groups.append([i])
+            if slot and at == i - 1 and text.count("\n", tokens[i - 1][2], s) <= 1 and not text[tokens[i - 1][2] : s].strip():
+                slot[-1].append(tokens[i])
+                at = i
+            elif not text[text.rfind("\n", 0, s) + 1 : s].strip():
+                slot.append([tokens[i]])
+                at = i
             i += 1
             continue
         if kind == FUNC:
             before = text[text.rfind("\n", 0, s) + 1 : s].rstrip()
-            if not before.strip() or before.endswith((";", "}", "*/")):
-                if found := _function(text, tokens, closes, i):
-                    symbol, parameters, last = found
-                    near = range(max(since, len(groups) - 4), len(groups))
-                    at = line(s)
-                    own = None
-                    for g in near:
-                        members = [k for k in groups[g] if line(tokens[k][1]) < at]
-                        if not members:
-                            continue
-                        gap = at - line(tokens[members[-1]][2] - 1) - 1
-                        if gap == 0:
-                            own = g
-                        if gap <= max(max_gap, 8):
-                            edges[len(functions), g] = _plausible(text, [tokens[k] for k in members], symbol, parameters, gap)
-                    functions.append((symbol, parameters, at, -1 if own is None else own))
-                    since, i = len(groups), last + 1
-                    continue
+            if (not before.strip() or before.endswith((";", "}", "*/"))) and (found := _function(text, tokens, closes, i)):
+                symbol, parameters, last = found
+                own = _Function(symbol, parameters, line(s), line(tokens[last][1]))
+                own.above = comments(own.first)
+                if above:
+                    above.below = own.above
+                functions.append(own)
+                above, slot, i = own, [], last + 1
+                continue
             i += 1
             continue
         if kind == OPEN:
@@ -291,40 +327,89 @@ def pairs_in(text: str, max_gap: int = 0, least: int = LEAST_WORDS) -> list[tupl
                 if text[s] == "{":
                     break
                 continue
-            since, i = len(groups), k + 1
+            if above:
+                above.below = comments(line(s))
+            above, slot, i = None, [], k + 1
             continue
         i += 1
-    out = []
-    for f, g in sorted(assign(edges).items()):
-        symbol, _, at, _ = functions[f]
-        members = [k for k in groups[g] if line(tokens[k][1]) < at]
-        if at - line(tokens[members[-1]][2] - 1) - 1 > max_gap:
-            continue  # too far away to be meant
-        if tokens[members[-1]][0] == BLOCK and not text[: tokens[members[-1]][2]].endswith("*/"):
-            continue
-        paragraphs = comment_paragraphs([(tokens[k][0], text[tokens[k][1] : tokens[k][2]]) for k in members])
-        if describes(paragraphs, symbol, least):
-            out.append((symbol, "\n\n".join(paragraphs), at))
+    if above and not above.below:
+        above.below = comments()
+    return functions
+
+
+def candidates(text: str, least: int = LEAST_WORDS) -> tuple[list[_Function], list[_Comment], dict[tuple[int, int], float]]:
+    """(functions, comments, weights of the graph) of a text: every comment next to a function is a candidate."""
+    functions = _top_level(text, _tokens(text))
+    numbers: dict[int, int] = {}
+    comments: list[_Comment] = []
+    weights: dict[tuple[int, int], float] = {}
+    for f, own in enumerate(functions):
+        for side in (own.above, own.below):
+            for c in side:
+                first = c.members[0][1]
+                if first not in numbers:
+                    numbers[first] = len(comments)
+                    comments.append(c)
+                weights[f, numbers[first]] = weight(text, own, c, least)
+    return functions, comments, weights
+
+
+def weight(text: str, function: _Function, comment: _Comment, least: int = LEAST_WORDS) -> float:
+    """How well a comment fits a function."""
+    raw = text[comment.members[0][1] : comment.members[-1][2]]
+    if comment.last < function.first:
+        gap = function.first - comment.last - 1
+        if gap == 0:
+            out = ADJACENT if describes(_paragraphs(text, comment), function.symbol, least) else TOUCHING
+        else:
+            out = ABOVE / (1 + gap)
+    else:
+        out = BELOW / (1 + comment.first - function.last)
+    names = NAME.findall(raw)
+    words = set(names)
+    name = function.symbol.rpartition(".")[2]
+    out += OPENS_WITH_NAME * bool(names and names[0] == name) + NAMED * (name in words)
+    wanted = {m for m in NAME.findall(COMMENTS.sub(" ", function.parameters)) if len(m) > 1}
+    if wanted:
+        tagged = {a or b for a, b in TAG.findall(raw)}
+        out += (PARAMETERS * len(wanted & words) + TAGGED * len(wanted & tagged)) / len(wanted)
     return out
 
 
-def _plausible(text: str, members: list[tuple[int, int, int]], symbol: str, parameters: str, gap: int) -> float:
-    """Weight of an edge: nearness first, then the function's name, then the tags and names of its parameters."""
-    comment = text[members[0][1] : members[-1][2]]
-    words = set(NAME.findall(comment))
-    name = symbol.rpartition(".")[2]
-    first = NAME.search(comment)
-    weight = 40.0 if gap == 0 else 10.0 / (1 + gap)
-    weight += 6.0 * bool(first and first.group() == name) + 3.0 * (name in words)
-    wanted = [m for m in NAME.findall(COMMENTS.sub(" ", parameters)) if len(m) > 1]
-    return weight + sum(0.5 for p in wanted[:20] if p in words)
+def _paragraphs(text: str, comment: _Comment) -> list[str]:
+    return comment_paragraphs([(kind, text[s:e]) for kind, s, e in comment.members])
 
 
-PAIR_SCHEMA = "span_id string, symbol string, description string, decl_line int"
+def pairs_in(text: str, max_gap: int = 0, least: int = LEAST_WORDS) -> list[tuple[str, str, int, int]]:
+    """(symbol, description, line of ``func``, gap) of each documented function that stands whole in ``text``.
+
+    The gap is the number of lines between the comment's last line and the function's, or minus the distance of a comment
+    below from the function's end. Each comment serves one function at most. A link over more than ``max_gap`` lines is
+    rejected, and one over any gap unless the comment opens with the function's name.
+    """
+    functions, comments, weights = candidates(text, least)
+    out = []
+    for f, c in sorted(assign(weights).items()):
+        own, comment = functions[f], comments[c]
+        gap = own.first - comment.last - 1 if comment.last < own.first else own.last - comment.first
+        if abs(gap) > max_gap:
+            continue
+        if gap and (first := NAME.search(text, comment.members[0][1], comment.members[-1][2])) is not None and first.group() != own.symbol.rpartition(".")[2]:
+            continue
+        kind, _, end = comment.members[-1]
+        if kind == BLOCK and not text[:end].endswith("*/"):
+            continue
+        paragraphs = _paragraphs(text, comment)
+        if describes(paragraphs, own.symbol, least):
+            out.append((own.symbol, "\n\n".join(paragraphs), own.first, gap))
+    return out
+
+
+PAIR_SCHEMA = "span_id string, symbol string, description string, decl_line int, gap int"
 
 
 def function_doc_pairs(spans: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", suffix: str = ".go", max_gap: int = 0, least: int = LEAST_WORDS) -> DataFrame:
-    """``span_id, symbol, description, decl_line`` of the documented functions in each text.
+    """``span_id, symbol, description, decl_line, gap`` of the documented functions in each text.
 
     Rows with a null id, path or text, and texts without a function, give nothing; repeated rows count once; other
     columns are ignored. Texts are scanned whole, one at a time, so nothing grows with a group of rows.
@@ -332,13 +417,13 @@ def function_doc_pairs(spans: DataFrame, id_col: str = "id", path_col: str = "pa
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, str, str, int]] = []
+            out: list[tuple[str, str, str, int, int]] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out += [(key, *pair) for pair in pairs_in(text, max_gap, least)]
-            columns = list(zip(*out)) or [(), (), (), ()]
+            columns = list(zip(*out)) or [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int32())],
-                ["span_id", "symbol", "description", "decl_line"],
+                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())],
+                ["span_id", "symbol", "description", "decl_line", "gap"],
             )
 
     comment_above = r"(?:\*/|//[^\n]*)[ \t\r]*\n" if max_gap == 0 else r"(?:\*/|//)"
@@ -350,3 +435,18 @@ def function_doc_pairs(spans: DataFrame, id_col: str = "id", path_col: str = "pa
         .mapInArrow(scan, PAIR_SCHEMA)
         .distinct()
     )
+
+
+def listed_pairs(pairs: DataFrame, spans: DataFrame, cases: DataFrame) -> DataFrame:
+    """``repo_id, listed, paired`` for a list of documented functions (``repo_id, path, symbol, kind, doc_of``), counted once each.
+
+    Kinds and symbols of the list are read in any spelling; a row without repository, path or symbol is not listed. Spans
+    without repository or path are in no list.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[()*\s]", ""))
+    cases, spans = only(cases, "repo_id", "path", "symbol", "kind", "doc_of"), only(spans, "id", "repo_id", "path")
+    func = F.coalesce(plain(F.col("kind")), F.lit("func")).isin("func", "method") & (F.coalesce(plain(F.col("doc_of")), F.lit("decl")) == "decl")
+    listed = cases.where(func & (plain(F.col("symbol")) != "")).select("repo_id", "path", plain(F.col("symbol")).alias("symbol")).dropna().distinct()
+    where = spans.where(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("span_id"), "repo_id", "path").dropna().distinct()
+    found = pairs.join(where, "span_id").select("repo_id", "path", plain(F.col("symbol")).alias("symbol")).distinct().withColumn("_there", F.lit(1))
+    return listed.join(found, ["repo_id", "path", "symbol"], "left").groupBy("repo_id").agg(F.count(F.lit(1)).alias("listed"), F.count("_there").alias("paired"))

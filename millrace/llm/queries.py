@@ -11,12 +11,22 @@ from millrace.llm import docpairs, leakage, neighbors, packing, quantiles, readi
 from millrace.sources.tables import table
 
 
-def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return docpairs.function_doc_pairs(table(spark, sf, "spans")).select("span_id", "symbol").distinct()
+#: Lines that may stand between a comment and its function in ``p1_pairs``.
+MAX_GAP = 2
 
 
 def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return docpairs.function_doc_pairs(table(spark, sf, "spans"))
+    return docpairs.function_doc_pairs(table(spark, sf, "spans"), max_gap=MAX_GAP)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs whose comment ends on the line directly above the function."""
+    return p1_pairs(spark, sf).where("gap = 0").select("span_id", "symbol").distinct()
+
+
+def p1_listed(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of each repository's listed functions the pairs hold, of those whose listed question says something."""
+    return docpairs.listed_pairs(p1_pairs(spark, sf), table(spark, sf, "spans"), table(spark, sf, "cases"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +87,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p3_found, p3_neighbors, p3_recall, p4_found, p4_pieces, p5_percentiles, p6_containers, p6_report, p7_found, p7_leaks, p8_found, p8_levels, p8_profile)
+    for f in (p1_found, p1_pairs, p1_listed, p3_found, p3_neighbors, p3_recall, p4_found, p4_pieces, p5_percentiles, p6_containers, p6_report, p7_found, p7_leaks, p8_found, p8_levels, p8_profile)
 }
 
 SQL: dict[str, str] = {

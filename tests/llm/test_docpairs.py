@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import with_extra
-from millrace.llm.docpairs import assign, function_doc_pairs, pairs_in, symbol_words
+from millrace.llm.docpairs import assign, candidates, function_doc_pairs, listed_pairs, pairs_in, symbol_words, weight
 
 DOC = "// Load reads the nearest cached records from disk.\n"
 
@@ -51,7 +51,7 @@ def test_pairs(text, want):
 
 
 def test_description_and_place():
-    ((symbol, description, line),) = pairs_in("package a\n\n// Load reads the nearest cached records.\n//\n// XXX broken.\nfunc Load() {}\n")
+    ((symbol, description, line, _),) = pairs_in("package a\n\n// Load reads the nearest cached records.\n//\n// XXX broken.\nfunc Load() {}\n")
     assert (symbol, description, line) == ("Load", "Load reads the nearest cached records.", 6)
 
 
@@ -111,3 +111,58 @@ SAVE = "// Save writes the changed records back.\nfunc (t *T) Save() {\n\tx := `
 )
 def test_struct_tags_and_raw_strings(text, want):
     assert symbols(text) == want
+
+
+def _choices(text):
+    """(pairs by assignment, pairs if each function took its best comment), as {symbol: first line of the comment}."""
+    functions, comments, weights = candidates(text)
+    first = {}
+    for (f, c), w in sorted(weights.items()):
+        if f not in first or w > weights[f, first[f]]:
+            first[f] = c
+    return tuple({functions[f].symbol: comments[c].first for f, c in x.items()} for x in (assign(weights), first))
+
+
+def test_assignment_outvotes_the_best_comment_of_each():
+    text = (
+        "// Open and what it does to the nearest file handles.\n\n"
+        "func Open(path string, mode int) {\n}\n\n"
+        "// Open and Close share the path and the mode of the file.\n\n"
+        "func Close(other int) {\n}\n"
+    )
+    assigned, alone = _choices(text)
+    assert alone == {"Open": 6, "Close": 6}  # both like the second comment best
+    assert assigned == {"Open": 1, "Close": 6}
+    assert [(s, gap) for s, _, _, gap in pairs_in(text, max_gap=2)] == [("Open", 1)]  # a far comment must open with the name
+    assert symbols(text) == []
+
+
+def test_tags_and_names_outvote_nearness():
+    text = (
+        "// Seek moves the cursor.\n// @param offset where to\n// @param whence from where\n\n"
+        "// A general remark on all that follows in this file.\n\n"
+        "func Seek(offset int, whence int) {\n}\n"
+    )
+    assert _choices(text)[0] == {"Seek": 1}
+    # But a comment on the line above that describes is the documentation, whatever others say.
+    assert _choices(text.replace("file.\n\nfunc", "file.\nfunc"))[0] == {"Seek": 5}
+    assert [p[3] for p in pairs_in(text.replace("cursor", "cursor of an open file to it"), max_gap=2)] == [] and len(pairs_in(text.replace("cursor", "cursor of an open file to it"), max_gap=3)) == 1
+
+
+def test_comments_below_and_many_candidates():
+    below = "func Load() {\n}\n// Load reads the nearest cached records.\n\nvar x = 1\n"
+    assert [(s, gap) for s, _, _, gap in pairs_in(below, max_gap=1)] == [("Load", -1)] and symbols(below) == []
+    many = "// Load reads the nearest cached records.\n\n" + "".join(f"// Remark {i}.\n\n" for i in range(300)) + "func Load() {\n}\n"
+    assert _choices(many)[0] == {"Load": 1} and len(pairs_in(many, max_gap=1000)) == 1
+    chain = "".join(f"// Note {i} on what comes next or before.\n\nfunc F{i}() {{\n}}\n\n" for i in range(1500))
+    assert len(_choices(chain)[0]) == 1500
+    wide = "func Load(" + ", ".join(f"p{i:02d} int" for i in range(40)) + ") {\n}\n"
+    assert weight("// " + " ".join(f"p{i:02d}" for i in range(40)) + "\n\n" + wide, *[x[0] for x in candidates("// " + " ".join(f"p{i:02d}" for i in range(40)) + "\n\n" + wide)[:2]]) >= 6
+
+
+def test_listed_pairs(spark):
+    spans = spark.createDataFrame([("a", "r", "x.go"), ("b", "r", "y.go"), (None, "r", "z.go")], "id string, repo_id string, path string")
+    pairs = spark.createDataFrame([("a", "T.Load"), ("b", "Save")], "span_id string, symbol string")
+    cases = spark.createDataFrame([("r", "x.go", "(*T).Load", "Func ", "decl"), ("r", "x.go", "T.load", None, " DECL"), ("r", "y.go", "Gone", "method", None), ("r", "y.go", "Save", "type", "decl"), ("r", None, "Save", "func", "decl")], "repo_id string, path string, symbol string, kind string, doc_of string")
+    assert [tuple(r) for r in listed_pairs(pairs, spans, cases).collect()] == [("r", 2, 1)]
+    assert listed_pairs(pairs, spans, cases.limit(0)).count() == 0
