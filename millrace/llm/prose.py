@@ -16,15 +16,15 @@ CODE = re.compile(r"\s*(?:func\b.*[({]|(?:type|var|const|package|import|return|d
 CODE_CHARS = re.compile(r"[{}()\[\]<>=;|&_$\\]")
 CODE_SIGN = re.compile(r"[{}()\[\]<>=;|&_$\\\t@]|^\s*(?:package|import|return|default|[})\]])")
 ENDS = re.compile(r"[.!?][\"')\]\u201d\u2019*_`]*(?:\s|$)")
-LICENCE = re.compile(r"\b(?:licen[cs]ed?|warrant(?:y|ies)|liab(?:le|ility)|copyright|sharing terms|redistribut\w+|permission is hereby|as it stands|all rights reserved)\b", re.I)
 ABBREVIATION = re.compile(r"\b(e\.g|i\.e|cf|etc|vs|approx|resp|viz|al|fig|no|vol|dr|mr|mrs|prof)\.", re.I)
 SENTENCE = re.compile(r"(?<=[.!?])[\"')\]\u201d\u2019]*\s+(?=[\"'(\[\u201c\u2018]*[^\W\d_]|[\"'(]*\d)")
 WORD = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)?")
+#: Articles, prepositions, pronouns and auxiliaries, for texts without any language labels.
 FUNCTION_WORDS = {
-    "en": frozenset("the of and to a is that it in for with as by on not be are this which an or its we my your you do if why has have no into when can one how what run all was were should would must any each at from but so".split()),
-    "de": frozenset("der die das und den dem ein eine nicht mit von zu ist für auf im des sich auch es wird nach vor jede jeder jeden ohne alle alten über beide letzte".split()),
-    "es": frozenset("el la los las y de que en un una por con para del se no su al más cada sin después antes todas ambas".split()),
-    "fr": frozenset("le la les et de des que un une pour dans est pas sur au du en ce qui ne plus chaque sans après avant toutes deux pendant".split()),
+    "en": frozenset("the of and to a is that it in for with as by on not be are this which an or its we my your you do if why has have no into when can one how what was were should would must any each at from but so".split()),
+    "de": frozenset("der die das und den dem des ein eine nicht mit von zu ist für auf im sich auch es wird nach vor ohne über".split()),
+    "es": frozenset("el la los las y de que en un una por con para del se no su al más sin después antes".split()),
+    "fr": frozenset("le la les et de des que un une pour dans est pas sur au du en ce qui ne plus sans après avant".split()),
 }
 
 
@@ -54,7 +54,7 @@ def undressed(text: str) -> list[str]:
 
 
 def paragraphs(text: str) -> list[str]:
-    """Paragraphs of running prose, without code, logs, headings, lists of terms and licence text; any language."""
+    """Paragraphs of running prose, without code, logs, headings and lists of terms; any language."""
     out: list[str] = []
     now: list[str] = []
     fence = False
@@ -100,17 +100,14 @@ def english(words: list[str]) -> bool:
     return en > 0 and en >= 1.2 * max(others)
 
 
+def split_sentences(paragraph: str) -> list[str]:
+    """The sentences of a paragraph in lower case."""
+    p = paragraph
+    if "." in p[:-1]:
+        p = ABBREVIATION.sub(lambda m: m[1].replace(".", "\u2024") + "\u2024", p)
+    return [s.replace("\u2024", ".").lower() for s in SENTENCE.split(p) if s.count(" ") >= 2]
+
+
 def sentences(text: str) -> list[str]:
-    """English prose sentences in lower case, without licence text."""
-    out = []
-    for p in paragraphs(text):
-        low = p.lower()
-        if not english(low.split()):
-            continue
-        if "." in low[:-1]:
-            p = ABBREVIATION.sub(lambda m: m[1].replace(".", "\u2024") + "\u2024", p)
-        licence = bool(LICENCE.search(p))
-        for s in SENTENCE.split(p):
-            if s.count(" ") >= 2 and not (licence and LICENCE.search(s)):
-                out.append(s.replace("\u2024", ".").lower())
-    return out
+    """English prose sentences in lower case, the language told by function words."""
+    return [s for p in paragraphs(text) if english(p.lower().split()) for s in split_sentences(p)]

@@ -1,10 +1,12 @@
 """Reading level of each document.
 
 Every prose sentence is classified by a multinomial logistic model over hashed character 4-grams and words with an
-L2 penalty; the sentences' class distributions, weighted by their words, are averaged over the document, and a
+L2 penalty that held-out sentences choose; the sentences' class distributions, weighted by their words, are averaged over the document, and a
 second small logistic model, fitted on documents the first one has not seen, calibrates the average.
 
-Boilerplate is counted over all documents: a sentence that many different texts hold beside sentences of their own.
+What is English prose is told by a character model fitted on the documents' language labels, in which labels that the model
+itself contradicts are dropped once; without labels by function words. Licence texts and notices have no list of their own: they
+are boilerplate. Boilerplate is counted over all documents: a sentence that many different texts hold beside sentences of their own.
 Exact copies count as one text, and a near copy has next to nothing of its own, so copies make nothing boilerplate.
 """
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.prose import sentences
+from millrace.llm.prose import english, paragraphs, split_sentences
 from millrace.session import cut
 from millrace.sources.tables import only
 
@@ -27,7 +29,12 @@ LEVELS = 4
 MAX_LABELLED, MAX_SENTENCES = 1_600, 40
 CHAR_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 16
 SHAPES = 24
-ROUNDS, PENALTY, RATE = 60, 2e-4, 1.0
+#: Steps of the fit, their size, the penalties tried, and the sentences of a document on which they are tried.
+ROUNDS, RATE, PENALTIES, TRIED = 60, 0.3, (1e-5, 1e-4, 1e-3), 8
+#: Documents whose language label is used, paragraphs taken (evenly) from each, and the fewest documents that make a language.
+MAX_LANGUAGE, MAX_PARAGRAPHS, LEAST_LANGUAGE = 2_000, 20, 5
+#: Labelled documents from which on a third is held out for the choice of the penalty and the calibration.
+LEAST_HELD_OUT = 24
 #: A sentence found in this share of the different texts (3 at least) beside sentences of their own is boilerplate.
 BOILERPLATE_SHARE = 0.01
 #: Spaces that a boilerplate sentence has at least.
@@ -43,6 +50,7 @@ class ReadingModel:
     weights: np.ndarray
     calibration: np.ndarray
     boilerplate: frozenset[str]
+    penalty: float = 0.0
 
 
 def features(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,24 +101,30 @@ def _scores(weights: np.ndarray, number: np.ndarray, starts: np.ndarray) -> np.n
     return np.add.reduceat(weights[number], starts, axis=0) / np.sqrt(count)[:, None].astype(np.float32)
 
 
-def distributions(weights: np.ndarray, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(class distribution, words) of each sentence."""
-    dists, words = [], []
+def _chunks(batch: list[str], size: int = 400_000) -> Iterator[list[str]]:
+    """The sentences in order, in lists of bounded length, so that what is computed of them stays small."""
     lo = 0
     while lo < len(batch):
-        hi, size = lo, 0
-        while hi < len(batch) and size < 400_000:
-            size += len(batch[hi])
+        hi, room = lo, size
+        while hi < len(batch) and room > 0:
+            room -= len(batch[hi])
             hi += 1
-        number, starts, n_words = features(batch[lo:hi])
+        yield batch[lo:hi]
+        lo = hi
+
+
+def distributions(weights: np.ndarray, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(class distribution, words) of each sentence."""
+    dists, words = [], []
+    for chunk in _chunks(batch):
+        number, starts, n_words = features(chunk)
         dists.append(_softmax(_scores(weights, number, starts)))
         words.append(n_words)
-        lo = hi
     return (np.concatenate(dists), np.concatenate(words)) if dists else (np.zeros((0, LEVELS)), np.zeros(0))
 
 
-def fit_sentences(batch: list[str], targets: np.ndarray) -> np.ndarray:
-    """Weights of the sentence model: batch gradient steps of AdaGrad on cross-entropy with an L2 penalty."""
+def fit_sentences(batch: list[str], targets: np.ndarray, penalty: float) -> np.ndarray:
+    """Weights of the sentence model: batch gradient steps of AdaGrad on mean cross-entropy plus ``penalty / 2`` times the squared weights."""
     number, starts, _ = features(batch)
     count = np.diff(np.append(starts, len(number)))
     width = CHAR_BUCKETS + WORD_BUCKETS + SHAPES
@@ -121,14 +135,35 @@ def fit_sentences(batch: list[str], targets: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(batch)), count)
     for _ in range(ROUNDS):
         error = (_softmax(_scores(weights, number, starts)) - targets) / len(batch)
-        grad = np.stack([np.bincount(number, weights=error[owner, c] * scale, minlength=len(used)) for c in range(LEVELS)], 1).astype(np.float32) + PENALTY / len(used) * weights
+        grad = np.stack([np.bincount(number, weights=error[owner, c] * scale, minlength=len(used)) for c in range(LEVELS)], 1).astype(np.float32) + penalty * weights
         past += grad * grad
-        weights -= RATE * 0.1 * grad / np.sqrt(past)
+        weights -= RATE * grad / np.sqrt(past)
     out = np.zeros((width, LEVELS), np.float32)
     out[used] = weights
     return out
 
 
+Sample = list[tuple[list[str], np.ndarray]]
+
+
+def _flat(samples: Sample, most: int | None = None) -> tuple[list[str], np.ndarray]:
+    """(sentences, targets) of documents, ``most`` sentences of each, evenly."""
+    parts = [(own if most is None or len(own) <= most else [own[i * len(own) // most] for i in range(most)], t) for own, t in samples]
+    return [s for own, _ in parts for s in own], np.concatenate([np.repeat(t[None], len(own), 0) for own, t in parts])
+
+
+def cross_entropy(weights: np.ndarray, samples: Sample) -> float:
+    """Mean cross-entropy of the sentences of documents."""
+    batch, targets = _flat(samples)
+    return float(-(targets * np.log(distributions(weights, batch)[0] + 1e-9)).sum() / len(batch))
+
+
+def choose_penalty(first: Sample, held: Sample, penalties: tuple[float, ...] = PENALTIES) -> float:
+    """The penalty under which a model of ``first`` tells the sentences of ``held`` best."""
+    batch, targets = _flat(first, TRIED)
+    return min(penalties, key=lambda p: cross_entropy(fit_sentences(batch, targets, p), held))
+
+
 def summary(dist: np.ndarray, words: np.ndarray) -> np.ndarray:
     """What the calibration sees of a document: its sentences' mean distribution, by words and by sentences, and a constant."""
     by_words = (dist * words[:, None]).sum(0) / max(words.sum(), 1)
@@ -146,22 +181,27 @@ def fit_calibration(inputs: np.ndarray, targets: np.ndarray, rounds: int = 1500)
 
 
 def filtered(own: list[str], boilerplate: frozenset[str]) -> list[str]:
-    """The sentences that aren't boilerplate; all of them where that would leave nothing of a running text."""
-    return [s for s in own if s not in boilerplate] or (own if len(set(own)) >= RUNNING else [])
+    """The sentences that aren't boilerplate, nor run into boilerplate without a stop before it; all of them where that would leave nothing of a running text."""
+    kept = [s for s in own if s not in boilerplate]
+    if boilerplate:
+        tails = tuple(" " + s for s in boilerplate)
+        kept = [s for s in kept if not s.endswith(tails)]
+    return kept or (own if len(set(own)) >= RUNNING else [])
 
 
-def fit(samples: list[tuple[list[str], np.ndarray]], boilerplate: frozenset[str] = frozenset()) -> ReadingModel | None:
-    """The model, None for fewer than eight documents, for ``(sentences, level distribution of the raters)`` of labelled documents, in a fixed order."""
+def fit(samples: Sample, boilerplate: frozenset[str] = frozenset()) -> ReadingModel | None:
+    """The model for ``(sentences, level distribution of the raters)`` of labelled documents, in a fixed order; None where they
+    don't know two levels. Few documents are fitted and calibrated on the same ones."""
     samples = [(kept, t) for own, t in samples if (kept := filtered(own, boilerplate))]
-    if len(samples) < 8:
+    if len({int(t.argmax()) for _, t in samples}) < 2:
         return None
-    first = [x for i, x in enumerate(samples) if i % 3]
-    held = [x for i, x in enumerate(samples) if not i % 3]
-    batch = [s for own, _ in first for s in own]
-    targets = np.concatenate([np.repeat(t[None], len(own), 0) for own, t in first])
-    weights = fit_sentences(batch, targets)
+    enough = len(samples) >= LEAST_HELD_OUT
+    first = [x for i, x in enumerate(samples) if i % 3] if enough else samples
+    held = [x for i, x in enumerate(samples) if not i % 3] if enough else samples
+    penalty = choose_penalty(first, held) if enough else PENALTIES[len(PENALTIES) // 2]
+    weights = fit_sentences(*_flat(first), penalty)
     inputs = np.stack([summary(*distributions(weights, own)) for own, _ in held])
-    return ReadingModel(weights, fit_calibration(inputs, np.stack([t for _, t in held])), boilerplate)
+    return ReadingModel(weights, fit_calibration(inputs, np.stack([t for _, t in held])), boilerplate, penalty)
 
 
 def levels_of(model: ReadingModel, documents: list[list[str]]) -> list[tuple[int, float, np.ndarray, int, float] | None]:
@@ -183,12 +223,65 @@ def levels_of(model: ReadingModel, documents: list[list[str]]) -> list[tuple[int
     return out
 
 
+class LanguageModel:
+    """Log-probabilities of hashed character 4-grams and words in each language, English first."""
+
+    def __init__(self, texts: list[list[str]], languages: list[str]) -> None:
+        self.names = ["en", *sorted(set(languages) - {"en"})]
+        self.logs = self._fitted(texts, languages)
+        # Wrong labels are few and show: a text that its own label's model does not prefer is left out of the second fit.
+        own = [self.names[int(s.sum(0).argmax())] for s in map(self.scores, texts)]
+        clean = [(t, a) for t, a, b in zip(texts, languages, own) if a == b]
+        if {a for _, a in clean} == set(self.names):
+            self.logs = self._fitted(*map(list, zip(*clean)))
+
+    def _fitted(self, texts: list[list[str]], languages: list[str]) -> np.ndarray:
+        counts = np.full((CHAR_BUCKETS + WORD_BUCKETS + SHAPES, len(self.names)), 0.1)
+        for own, language in zip(texts, languages):
+            for chunk in _chunks(own):
+                np.add.at(counts, (features(chunk)[0], self.names.index(language)), 1.0)
+        counts[CHAR_BUCKETS + WORD_BUCKETS :] = 1.0  # sentence shapes say nothing of a language
+        return np.log(counts / counts.sum(axis=0)).astype(np.float32)
+
+    def scores(self, batch: list[str]) -> np.ndarray:
+        out = [np.add.reduceat(self.logs[number], starts, axis=0) for number, starts, _ in map(features, _chunks(batch))]
+        return np.concatenate(out) if out else np.zeros((0, len(self.names)), np.float32)
+
+    def english(self, batch: list[str]) -> np.ndarray:
+        """Whether English is the likeliest language of each paragraph in lower case."""
+        return self.scores(batch).argmax(axis=1) == 0
+
+
+def language_model(documents: DataFrame, most: int = MAX_LANGUAGE) -> LanguageModel | None:
+    """Fitted on at most ``most`` documents with a language label, chosen by the hash of their id; None where the labels don't tell English from another language."""
+    if "lang" not in (c.lower() for c in documents.columns):
+        return None
+    known = only(documents, "doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
+    language = F.lower(F.substring(F.trim("lang"), 1, 2))
+    known = known.select("doc_id", "text", language.alias("language")).where(F.col("language").rlike("^[a-z]{2}$") & (F.lower(F.trim("lang")) != "und"))
+    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # `most` rows at most
+    rows = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("language", "text").distinct().collect()
+    rows.sort(key=lambda r: (r.language, r.text))
+    read = [(r.language, [x[i * len(x) // MAX_PARAGRAPHS] for i in range(MAX_PARAGRAPHS)] if len(x) > MAX_PARAGRAPHS else x) for r in rows if (x := [p.lower() for p in paragraphs(r.text)])]
+    often = {a for a in {a for a, _ in read} if sum(a == b for b, _ in read) >= LEAST_LANGUAGE}
+    if "en" not in often or len(often) < 2:
+        return None
+    return LanguageModel([x for a, x in read if a in often], [a for a, _ in read if a in often])
+
+
 def parsed(documents: DataFrame) -> DataFrame:
-    """``doc_id, sentences`` of each row with an id and a text; the sentences are read once for all uses."""
+    """``doc_id, sentences`` of each row with an id and a text: its English prose, read once for all uses."""
+    model = documents.sparkSession.sparkContext.broadcast(language_model(documents))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        language = model.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sentences(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "sentences"])
+            found = [paragraphs(t) for t in batch.column(1).to_pylist()]
+            flat = [p for own in found for p in own]
+            low = [p.lower() for p in flat]
+            keep = iter(language.english(low) if language else [english(p.split()) for p in low])
+            out = [[s for p in own if next(keep) for s in split_sentences(p)] for own in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["doc_id", "sentences"])
 
     documents = only(documents, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, sentences array<string>"))
@@ -255,7 +348,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most: int = MAX_LABE
     """Level, calibrated distribution and counts of every document with English prose; others have a null level.
 
     Null ids and null texts give nothing; of rows with the same id and different texts, each gives a row; repeated
-    rows count once. With fewer than eight labelled documents of prose no level is given. The model is fitted on a bounded sample of the labels, texts are read whole.
+    rows count once. Where the labelled documents of prose don't know two levels no level is given.
+    The models are fitted on bounded samples of the labels, texts are read whole.
     """
     prose = parsed(documents)
     model = prose.sparkSession.sparkContext.broadcast(fit(labelled_sample(prose, labels, most), boilerplate_of(prose)))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import with_extra
 from millrace.llm.prose import paragraphs, sentences
-from millrace.llm.reading import boilerplate_of, features, fit, levels_of, parsed, reading_levels
+from millrace.llm.reading import LanguageModel, boilerplate_of, choose_penalty, cross_entropy, features, fit, fit_sentences, language_model, levels_of, parsed, reading_levels
 from millrace.sources.tables import table
 
 HARD = "Notwithstanding the considerable provenance of the underlying orthogonality, the concomitant serialization of indexed declarations necessitates precisely that counterfactual idempotence, cf. the preceding section of version 2.4."
@@ -18,7 +18,7 @@ def test_prose_in_any_dress():
 
 
 def test_what_is_no_prose():
-    for text in ("", "# A heading. Of words", "```\nIf this is code. Then it is not prose.\n```", "2025-01-16T00:12:26Z ERROR store: the record was lost. a=1", "\tif x == y {\n\t\treturn. x\n\t}", "- one\n- two", "This work is provided as it stands, without warranty of any kind.", "Der Index zählt den alten Stand nach jeder Änderung, und das Fenster ordnet die Liste."):
+    for text in ("", "# A heading. Of words", "```\nIf this is code. Then it is not prose.\n```", "2025-01-16T00:12:26Z ERROR store: the record was lost. a=1", "\tif x == y {\n\t\treturn. x\n\t}", "- one\n- two", "Der Index zählt den alten Stand nach jeder Änderung, und das Fenster ordnet die Liste."):
         assert sentences(text) == [], text
     assert paragraphs("Der Index zählt den alten Stand.") != []
 
@@ -92,3 +92,38 @@ def test_no_running_text_is_emptied():
     own = [f"number {i} of the requisite heterogeneity underdetermines it." for i in range(20, 24)]
     text, notice = levels_of(fit(samples, frozenset([*own, NOTICE])), [own, [NOTICE]])
     assert text[0] == 3 and notice is None
+
+
+def test_penalty_is_chosen_on_held_out_sentences(spark, sf):
+    from millrace.llm.reading import PENALTIES, _flat, labelled_sample
+
+    where = sf.replace("0.001", "0.1")
+    sample = labelled_sample(parsed(table(spark, where, "documents").where("doc_id % 3 = 0")), table(spark, where, "level_labels"))
+    first, held = [x for i, x in enumerate(sample) if i % 3], [x for i, x in enumerate(sample) if not i % 3]
+    batch, targets = _flat(first, 8)
+    error = {p: cross_entropy(fit_sentences(batch, targets, p), held) for p in (0.0, *PENALTIES, 1e-1)}
+    chosen = choose_penalty(first, held)
+    assert error[chosen] < error[0.0] - 0.01 and error[chosen] < error[1e-1] - 0.2 and chosen == min(PENALTIES, key=error.get)
+
+
+GERMAN = "Der Index zählt den alten Stand nach jeder Änderung, und das Fenster {} ordnet die Liste der Zeilen ohne Rückfrage."
+
+
+def test_language_is_learnt_from_labels(spark):
+    texts = [[f"the index counts the old state after each change, and window {i} sorts the list of lines."] for i in range(20)] + [[GERMAN.format(i).lower()] for i in range(20)]
+    labels = ["en"] * 19 + ["de"] * 20 + ["en"]  # one label is wrong
+    model = LanguageModel(texts, labels)
+    assert model.english([texts[3][0], texts[39][0], texts[25][0]]).tolist() == [True, False, False]
+    docs = spark.createDataFrame([(i, t[0].capitalize(), a + ("-XX" if i % 2 else "")) for i, (t, a) in enumerate(zip(texts, labels))] + [(90, GERMAN.format(90), None), (91, "The index counts all lines.", "und"), (92, None, "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in parsed(docs).where("size(sentences) > 0").collect()} == {*range(20), 91}
+    assert language_model(docs.where("lang LIKE 'en%'")) is None and language_model(docs.drop("lang")) is None and language_model(docs.limit(0)) is None
+
+
+def test_licences_are_boilerplate(spark):
+    licence = "This work is provided as it stands, without warranty of any kind, and no holder of the copyright is liable."
+    docs = [(i, f"{hard(i)} {hard(i + 200)}\n\n{licence}") for i in range(30)] + [(30 + i, plain(i)) for i in range(60)] + [(99, f"one, two, three {licence}")]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    assert boilerplate_of(parsed(documents)) == {licence.lower()}
+    labels = spark.createDataFrame([(i, 3 if i < 30 else 0, "a", None) for i in range(90)], "doc_id long, level_no int, rater string, labelled_at timestamp")
+    got = {r.doc_id: (r.level_no, r.sentences) for r in reading_levels(documents, labels).collect()}
+    assert all(got[i] == (3, 2) for i in range(30)) and got[99] == (None, 0)
