@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from millrace.sources.tables import only
 RUN, LEAST_WORDS, LEAST_SHARE = 6, 20, 0.5
 #: Foreign words between two runs, beside those the item itself has there.
 MAX_GAP = 25
-#: Items of one search table; more items are searched in several passes over the documents.
-ITEMS_A_TABLE = 50_000
+#: Bytes of passages of one search table, whose objects take some hundred times as many; more are searched in several passes over the documents.
+BYTES_A_TABLE = 1_000_000
 
 WORD = re.compile(r"[^\W_]+")
 BREAKS = re.compile(r"</?(?:p|br|div|li|ul|ol|td|th|tr|table|h[1-6]|pre|blockquote|hr)\b[^<>]*>", re.I)
@@ -66,8 +67,8 @@ class WuManber:
         self.ids = {w: i for i, w in enumerate(sorted({w for _, own in items for w in own}), 1)}
         self.base = len(self.ids) + 1
         self.shift: dict[int, int] = {}
-        self.buckets: dict[int, dict[int, dict[tuple[int, ...], list[tuple[int, int]]]]] = {}
-        for key, own in items:
+        found: list[tuple[int, tuple[int, ...], int, int]] = []
+        for number, (_, own) in enumerate(items):
             codes = [self.ids[w] for w in own]
             for at in range(len(codes) - run + 1):
                 pattern = tuple(codes[at : at + run])
@@ -75,8 +76,21 @@ class WuManber:
                     block = pattern[j] * self.base + pattern[j + 1]
                     if (away := run - 2 - j) < self.shift.get(block, run - 1):
                         self.shift[block] = away
-                suffix, prefix = pattern[-2] * self.base + pattern[-1], pattern[0] * self.base + pattern[1]
-                self.buckets.setdefault(suffix, {}).setdefault(prefix, {}).setdefault(pattern, []).append((key, at))
+                found.append((self._bucket(pattern), pattern, number, at))
+        # Patterns lie in flat arrays, those of a bucket (suffix and prefix block) together.
+        found.sort()
+        self.keys = [key for key, _ in items]
+        self.words = array("l", [w for _, p, _, _ in found for w in p])
+        self.item, self.at = array("l", [i for _, _, i, _ in found]), array("l", [a for _, _, _, a in found])
+        self.first: dict[int, int] = {}
+        self.last: dict[int, int] = {}
+        for i, (bucket, *_) in enumerate(found):
+            self.first.setdefault(bucket, i)
+            if i - self.first[bucket]:
+                self.last[bucket] = i  # kept for buckets of several patterns only
+
+    def _bucket(self, pattern: tuple[int, ...] | list[int]) -> int:
+        return ((pattern[-2] * self.base + pattern[-1]) * self.base + pattern[0]) * self.base + pattern[1]
 
     def occurrences(self, text_words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """For each item (word of the text, word of the item) at which a pattern begins, in the text's order."""
@@ -90,10 +104,12 @@ class WuManber:
             if away:
                 i += away
                 continue
-            if patterns := self.buckets[block].get(codes[i - far] * base + codes[i - far + 1]):
-                if hits := patterns.get(tuple(codes[i - far : i + 1])):
-                    for key, at in hits:
-                        found[key].append((i - far, at))
+            lo = self.first.get(((block * base) + codes[i - far]) * base + codes[i - far + 1])
+            if lo is not None:
+                here = array("l", codes[i - far : i + 1])
+                for k in range(lo, self.last.get(((block * base) + codes[i - far]) * base + codes[i - far + 1], lo) + 1):
+                    if self.words[k * run : (k + 1) * run] == here:
+                        found[self.keys[self.item[k]]].append((i - far, self.at[k]))
             i += 1
         return found
 
@@ -135,19 +151,20 @@ def best_chain(hits: list[tuple[int, int]], length: int, run: int = RUN, max_gap
 LEAKS = "doc_id long, item_id long, covered_words int, item_words int, word_from int, word_to int"
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, max_gap: int = MAX_GAP, items_a_table: int = ITEMS_A_TABLE) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, max_gap: int = MAX_GAP, bytes_a_table: int = BYTES_A_TABLE) -> DataFrame:
     """Documents that hold at least ``least_share`` of an item of ``least_words`` words or more, with the place.
 
     Null ids, null texts and null or shorter passages give nothing; repeated rows count once; of several passages
-    under one id the longest holds. The items are a stated set: they go to every task in tables of ``items_a_table``
-    items, one pass over the documents for each. Documents are searched whole.
+    under one id the longest holds. The items are a stated set: they go to every task in tables of about ``bytes_a_table``
+    bytes of passages, one pass over the documents for each. Documents are searched whole.
     """
     documents = only(documents, "doc_id", "text")
     numbers = only(items, "item_id", "passage").where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).groupBy("item_id").agg(F.max_by("passage", F.struct(F.length("passage"), "passage")).alias("passage"))
-    n = numbers.count()
+    size = numbers.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+    tables = max(1, -(-size // bytes_a_table))
     out = None
-    for block in range(max(1, -(-n // items_a_table))):
-        rows = numbers.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-n // items_a_table)))) == block).collect()
+    for block in range(tables):
+        rows = numbers.where(F.pmod(F.xxhash64("item_id"), F.lit(tables)) == block).collect()
         own = [(r.item_id, w) for r in rows if len(w := words(r.passage)) >= least_words]
         one = _search(documents, WuManber(own, run), least_share, max_gap)
         out = one if out is None else out.unionByName(one)

@@ -2,17 +2,19 @@
 
 Best-two-fit: a bin is filled greedily with the largest documents that fit; then its smallest document is replaced
 by the two unpacked ones that fill the gap so widened best, if they fill it better. Documents are spread over groups
-of bounded size by a hash of their id, each group is packed on its own, and bins with room left are packed again
-over groups until one group holds them all.
+of bounded size by a hash of their id, and each group is packed on its own. Bins with room left are emptied and their
+documents packed again in other groups of the same bounded size, as long as that saves containers.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ GROUP_ITEMS = 50_000
 MAX_PACKS = 1000
 #: Bins filled less than this share are packed again with those of other groups.
 LOOSE = 0.995
+#: A further level is packed only if the one before saved this share of the containers that it packed again.
+LEAST_GAIN = 0.01
 _ENCODERS: dict[str, object] = {}
 
 
@@ -41,10 +45,15 @@ def encoder(vocabulary: str):
 
 
 def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_key, n_tokens`` of every text that isn't blank: one row for each different text of an id, told apart by ``xxhash64(text)``."""
+    """``doc_id, text_key, n_tokens`` of every text that isn't blank: one row for each different text of an id, told apart by ``xxhash64(text)``.
+
+    The vocabulary is read where the session is and shipped to the workers with the job.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    shipped = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(SparkFiles.get(shipped))
         for batch in batches:
             sizes = [len(own.encode_ordinary(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes, pa.int64())], ["doc_id", "text_key", "n_tokens"])
@@ -170,12 +179,13 @@ def _pack(keys: tuple, batch: pa.Table) -> pa.Table:
     )
 
 
-def pack(sizes: DataFrame, packs: DataFrame, group_items: int = GROUP_ITEMS, keep_levels: int = 0) -> DataFrame:
+def pack(sizes: DataFrame, packs: DataFrame, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Containers for each row of ``packs`` (``pack_name, capacity_tokens``): one row for each part of a document.
 
     ``sizes``: ``doc_id, n_tokens`` and, where an id has several texts, their ``text_key`` (0 if there is no such column). A document within the capacity is one part, a longer one is cut every
     ``capacity_tokens`` tokens. ``part_no`` counts from 1, ``token_to`` is excluded. Rows without a capacity above 0,
-    a name or a size above 0 give nothing. Groups hold about ``group_items`` parts each, whatever the number of rows.
+    a name or a size above 0 give nothing. Groups hold about ``group_items`` parts each, whatever the number of rows and
+    however much room is left.
     """
     sizes = only(sizes, "doc_id", "n_tokens", "text_key") if "text_key" in sizes.columns else only(sizes, "doc_id", "n_tokens").withColumn("text_key", F.lit(0).cast("long"))
     rows = only(packs, "pack_name", "capacity_tokens").where((F.col("capacity_tokens") > 0) & F.col("pack_name").isNotNull()).select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity")).distinct().limit(MAX_PACKS + 1).collect()
@@ -202,17 +212,28 @@ def pack(sizes: DataFrame, packs: DataFrame, group_items: int = GROUP_ITEMS, kee
     number = F.lit(0)
     for name, n in groups.items():
         number = F.when(F.col("pack_name") == name, F.pmod(F.xxhash64("doc_id", "text_key", "token_from"), F.lit(n))).otherwise(number)
-    first = all_parts.withColumn("bin_group", number.cast("long")).groupBy("pack_name", "capacity", "bin_group").applyInArrow(_pack, "pack_name string, capacity_tokens int, container_id long, doc_id long, text_key long, token_from long, n_tokens long, loose boolean")
-    done, level = None, 0
-    most = max(groups.values())
-    while most > 1:  # containers with room left meet those of 64 other groups
-        first = cut(first)
-        level, most = level + 1, -(-most // 64)
-        tight = first.where(~F.col("loose"))
-        done = tight if done is None else done.unionByName(tight)
-        again = first.where("loose").withColumn("bin_group", (F.lit(level << 24) + F.pmod(F.shiftright("container_id", 32), F.lit(most))).cast("long"))
-        first = again.withColumnRenamed("capacity_tokens", "capacity").drop("container_id", "loose").groupBy("pack_name", "capacity", "bin_group").applyInArrow(_pack, "pack_name string, capacity_tokens int, container_id long, doc_id long, text_key long, token_from long, n_tokens long, loose boolean")
-    packed = first if done is None else done.unionByName(first)
+    schema = "pack_name string, capacity_tokens int, container_id long, doc_id long, text_key long, token_from long, n_tokens long, loose boolean"
+    now = cut(all_parts.withColumn("bin_group", number.cast("long")).groupBy("pack_name", "capacity", "bin_group").applyInArrow(_pack, schema))
+    packed, level = None, 0
+    open_packs = {name for name, n in groups.items() if n > 1}
+    while open_packs:
+        level += 1
+        loose = F.col("loose") & F.col("pack_name").isin(*sorted(open_packs))
+        counted = {r.pack_name: r for r in now.where(loose).groupBy("pack_name").agg(F.count(F.lit(1)).alias("parts"), F.countDistinct("container_id").alias("bins")).collect()}
+        todo = {name: r for name, r in counted.items() if r.bins > 1}
+        if not todo:
+            break
+        again, group = F.col("loose") & F.col("pack_name").isin(*sorted(todo)), F.lit(0)
+        sets = {name: max(1, -(-r.parts // group_items)) for name, r in todo.items()}
+        for name, n in sets.items():  # containers stay together, so that a group holds what whole containers held
+            group = F.when(F.col("pack_name") == name, F.pmod(F.xxhash64("container_id", F.lit(level)), F.lit(n))).otherwise(group)
+        kept = now.where(~again)
+        packed = kept if packed is None else packed.unionByName(kept)
+        before = now.where(again).withColumn("bin_group", (F.lit(level << 24) + group).cast("long")).withColumnRenamed("capacity_tokens", "capacity").drop("container_id", "loose")
+        now = cut(before.groupBy("pack_name", "capacity", "bin_group").applyInArrow(_pack, schema))
+        bins = {r.pack_name: r.bins for r in now.groupBy("pack_name").agg(F.countDistinct("container_id").alias("bins")).collect()}
+        open_packs = {name for name, r in todo.items() if sets[name] > 1 and bins[name] <= (1 - LEAST_GAIN) * r.bins}
+    packed = now if packed is None else packed.unionByName(now)
     return packed.select(
         "pack_name", "capacity_tokens", "container_id", "doc_id", (F.col("token_from") / F.col("capacity_tokens") + 1).cast("int").alias("part_no"),
         "token_from", (F.col("token_from") + F.col("n_tokens")).alias("token_to"), "n_tokens", "text_key",

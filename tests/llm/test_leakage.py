@@ -60,8 +60,8 @@ def test_runs_must_be_in_order_and_near():
 def test_table(spark):
     docs = with_extra(spark.createDataFrame([(1, "a " + PASSAGE), (1, "a " + PASSAGE), (2, "nothing"), (3, None), (None, PASSAGE), (4, ""), (5, "word " * 50_000 + PASSAGE)], "doc_id long, text string"), "TEXT", "item_id")
     items = with_extra(spark.createDataFrame([(9, PASSAGE), (9, None), (9, "short"), (8, "too short to count at all"), (None, PASSAGE), (7, "")], "item_id long, passage string"), "doc_id", "ITEM_ID")
-    for a_table in (50_000, 1):
-        got = leaked_items(docs, items, items_a_table=a_table).orderBy("doc_id").collect()
+    for a_table in (1_000_000, 200):
+        got = leaked_items(docs, items, bytes_a_table=a_table).orderBy("doc_id").collect()
         assert [(r.doc_id, r.item_id) for r in got] == [(1, 9), (5, 9)]
         assert got[0].covered_words == got[0].item_words
     assert leaked_items(docs.limit(0), items).count() == 0
@@ -70,3 +70,17 @@ def test_table(spark):
 
 def test_plain_keeps_other_text():
     assert plain("a < b & c-d \\w") == "a < b & c-d \\w"
+
+
+def test_tables_are_small():
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    items = [(i, [f"w{rng.randrange(5000)}" for _ in range(80)]) for i in range(400)]
+    size = sum(len(" ".join(own)) for _, own in items)
+    tracemalloc.start()
+    table = WuManber(items)
+    took = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert took < 110 * size and len(table.item) == 400 * 75

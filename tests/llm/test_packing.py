@@ -1,3 +1,5 @@
+import base64
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +61,28 @@ def test_every_text_of_an_id_is_packed(spark):
         out = pack(sizes, spark.createDataFrame([("s", 2)], PACKS), group_items=group).collect()
         assert sorted((r.doc_id, r.part_no, r.n_tokens) for r in out) == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 1)]
         assert len({(r.doc_id, r.text_key) for r in out}) == 4
+
+
+def test_loose_bins_never_meet_in_one_task(spark, tmp_path, monkeypatch):
+    from millrace.llm import packing
+
+    own = packing._pack
+    folder = str(tmp_path)
+
+    def watched(keys, batch):
+        with open(f"{folder}/{keys[0].as_py()}-{keys[2].as_py()}-{batch.num_rows}", "w"):
+            return own(keys, batch)
+
+    monkeypatch.setattr(packing, "_pack", watched)
+    sizes = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(300).cast("long").alias("n_tokens"))
+    out = packing.pack(sizes, spark.createDataFrame([("s", 512)], PACKS), group_items=100)
+    assert out.count() == 20_000 and out.select("container_id").distinct().count() == 20_000
+    rows = [int(p.name.rsplit("-", 1)[1]) for p in tmp_path.iterdir()]
+    assert 100 < len(rows) and max(rows) <= 200
+
+
+def test_vocabulary_is_a_parameter(spark, tmp_path):
+    words = b"".join(base64.b64encode(bytes([b])) + b" %d\n" % b for b in range(256))
+    (tmp_path / "bytes.tiktoken").write_bytes(words)
+    docs = spark.createDataFrame([(1, "hello")], "doc_id long, text string")
+    assert token_sizes(docs, str(tmp_path / "bytes.tiktoken")).first().n_tokens == 5
