@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from millrace.session import cut
 from millrace.sources.tables import only
 
-#: Children of a node and levels below the root: FANOUT ** DEPTH leaves.
-FANOUT, DEPTH = 16, 3
+#: Children of a node, levels below the root where none are given (FANOUT ** DEPTH leaves), and rows of a leaf where their number is known.
+FANOUT, DEPTH, LEAF_ROWS = 16, 3, 8
 
 
 def row_hash(columns: list[str]) -> Column:
@@ -56,9 +56,21 @@ def changed_leaves(old: DataFrame, new: DataFrame, fanout: int = FANOUT, depth:
     return differing
 
 
-def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """``keys, values, change`` (``added`` or ``removed``) between two snapshots; only changed leaves are compared."""
-    leaves = changed_leaves(merkle_tree(old, keys, values, fanout, depth), merkle_tree(new, keys, values, fanout, depth), fanout, depth)
+def depth_for(rows: int, fanout: int = FANOUT, leaf_rows: int = LEAF_ROWS) -> int:
+    """Levels below the root, so that leaves keep about ``leaf_rows`` rows however many there are."""
+    depth = 1
+    while fanout**depth * leaf_rows < rows:
+        depth += 1
+    return depth
+
+
+def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], fanout: int = FANOUT, depth: int = DEPTH, trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``keys, values, change`` (``added`` or ``removed``) between two snapshots; only changed leaves are compared.
+
+    ``trees`` are the two snapshots' trees where they were kept; then no row of an unchanged leaf is looked at.
+    """
+    a, b = trees or (merkle_tree(old, keys, values, fanout, depth), merkle_tree(new, keys, values, fanout, depth))
+    leaves = changed_leaves(a, b, fanout, depth)
     columns = list(dict.fromkeys(keys + values))
     a, b = (t.select(*columns).distinct().join(leaves, leaf_of(keys, fanout, depth) == F.col("node"), "left_semi") for t in (old, new))
     return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
@@ -71,26 +83,30 @@ def snapshot_trees(rows: DataFrame, columns: list[str], fanout: int = FANOUT, de
     once for all trees; there are at most fanout ** depth leaves a snapshot.
     """
     arrived = cut(rows.groupBy("_s", F.col("_leaf").alias("node")).agg(F.bit_xor(row_hash(columns)).alias("hash")))
-    everywhere = arrived.select("node").distinct().crossJoin(F.broadcast(arrived.select("_s").distinct()))
+    everywhere = arrived.select("node").distinct().crossJoin(F.broadcast(arrived.select("_s").distinct()))  # a row a snapshot
     running = F.bit_xor("hash").over(Window.partitionBy("node").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
     leaves = everywhere.join(arrived, ["_s", "node"], "left").withColumn("hash", running).where(F.col("hash").isNotNull())
     return _grown(cut(leaves.select("_s", "node", "hash")), fanout, depth, ("_s",))
 
 
-def appended_by_snapshot(rows: DataFrame, keys: list[str], values: list[str], snapshot: str, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+def appended_by_snapshot(rows: DataFrame, keys: list[str], values: list[str], snapshot: str, fanout: int = FANOUT, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """What each snapshot of a growing table adds: the rows of changed leaves that the snapshot before had not.
 
-    ``rows`` holds each row with the first ``snapshot`` that contains it; a snapshot is everything up to its number.
-    The tree of each snapshot is compared with that of the one before, and only the leaves that differ are read; which
-    of their rows are new is told by the first snapshot of each.
+    ``rows`` holds each row with a ``snapshot`` that contains it; a snapshot is everything up to its number. The tree of
+    each snapshot is compared with that of the one before, and only the leaves that differ are read. The number of leaves
+    grows with the rows.
     """
     columns = list(dict.fromkeys(keys + values))
-    rows = cut(rows.groupBy(*columns).agg(F.min(snapshot).alias("_s")).withColumn("_leaf", leaf_of(keys, fanout, depth)))
+    rows = cut(rows.groupBy(*columns).agg(F.min(snapshot).alias("_s")))
+    depth = depth_for(rows.count(), fanout, leaf_rows)
+    rows = rows.withColumn("_leaf", leaf_of(keys, fanout, depth))
     trees = cut(snapshot_trees(rows, columns, fanout, depth))
     numbers = trees.where("level = 0").select("_s")  # a row a snapshot
     steps = numbers.select("_s", F.lag("_s").over(Window.orderBy("_s")).alias("_before"))
     before = trees.withColumnRenamed("_s", "_before").join(F.broadcast(steps), "_before").drop("_before")
-    leaves = F.broadcast(changed_leaves(before, trees, fanout, depth, ("_s",)).withColumnRenamed("node", "_leaf"))  # at most a row a leaf and snapshot, however many rows
+    leaves = changed_leaves(before, trees, fanout, depth, ("_s",)).withColumnRenamed("node", "_leaf")
+    # A changed leaf of snapshot s holds rows up to s, in the one before up to the number before s. No number lies
+    # between the two, so what it holds beyond the one before are its rows of just this number.
     return rows.join(leaves, ["_s", "_leaf"], "left_semi").drop("_leaf").withColumnRenamed("_s", snapshot)
 
 
@@ -165,7 +181,7 @@ def commit_statements(repos: DataFrame, staleness: DataFrame) -> DataFrame:
     return whole.unionByName(spelt_out).select("remote", "ref_name", "commit_sha", "at", "seen")
 
 
-def commit_history(repos: DataFrame, staleness: DataFrame, period: str = "month", fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+def commit_history(repos: DataFrame, staleness: DataFrame, period: str = "month", fanout: int = FANOUT, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """``remote, ref_name, commit_sha, valid_from, valid_to, known_in``: which commit was the indexed one from when to when.
 
     Snapshots are what had been seen up to the end of each ``period``; ``known_in`` is the one that brought the
@@ -174,7 +190,7 @@ def commit_history(repos: DataFrame, staleness: DataFrame, period: str = "month"
     """
     rows = commit_statements(repos, staleness).withColumn("known_in", F.date_trunc(period, F.coalesce("seen", "at")).cast("date"))
     keys = ["remote", "ref_name"]
-    added = appended_by_snapshot(rows, keys, ["at", "commit_sha", "seen"], "known_in", fanout, depth)
+    added = appended_by_snapshot(rows, keys, ["at", "commit_sha", "seen"], "known_in", fanout, leaf_rows)
     holds = added.groupBy(*keys, "at").agg(F.max_by(F.struct("commit_sha", "known_in"), F.struct("seen", "commit_sha")).alias("_h"))
     stated = holds.select(*keys, "at", "_h.commit_sha", "_h.known_in")
     return versions(stated, keys, "commit_sha", "at")

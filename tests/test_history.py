@@ -111,3 +111,23 @@ def test_snapshots_are_compared_tree_by_tree(spark, monkeypatch):
     found = {(r["_s"], r.node) for r in compared[0].collect()}
     assert found == {(r["_s"], r["_leaf"]) for r in placed.collect()}
     assert len({n for s, n in found if s == 5}) < len({n for s, n in found if s == 1})
+
+
+def test_unchanged_branches_are_not_descended(spark):
+    # Trees whose hashes disagree with what lies below: a leaf differs under a node that does not.
+    schema = "level int, node long, hash long"
+    old = spark.createDataFrame([(0, 0, 1), (1, 0, 10), (1, 1, 11), (2, 0, 20), (2, 1, 21), (2, 2, 22), (2, 3, 23)], schema)
+    new = spark.createDataFrame([(0, 0, 2), (1, 0, 10), (1, 1, 99), (2, 0, 77), (2, 1, 21), (2, 2, 88), (2, 3, 23)], schema)
+    assert [r.node for r in H.changed_leaves(old, new, 2, 2).collect()] == [2]  # leaf 0 differs too, but is never reached
+
+
+def test_rows_of_unchanged_leaves_are_not_compared(spark):
+    old = spark.range(200).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    new = old.withColumn("v", F.when(F.col("k").isin(3, 150), "b").otherwise(F.col("v")))
+    kept = H.merkle_tree(old, ["k"], ["v"]), H.merkle_tree(old.withColumn("v", F.when(F.col("k") == 3, "b").otherwise(F.col("v"))), ["k"], ["v"])
+    got = {(r.k, r.v, r.change) for r in H.changed_rows(old, new, ["k"], ["v"], trees=kept).collect()}
+    assert got == {(3, "a", "removed"), (3, "b", "added")}  # the trees don't know of 150
+
+
+def test_leaves_grow_with_the_rows():
+    assert [H.depth_for(n) for n in (0, 128, 129, 2049, 10_000_000)] == [1, 1, 2, 3, 6]
