@@ -115,6 +115,25 @@ def go_calls(sources: DataFrame, key: str) -> DataFrame:
     return _over_sources(sources, key, f"{key} string, caller string, callee string, line int, offset int", each)
 
 
+def go_units(sources: DataFrame, key: str, longest: int = 200) -> DataFrame:
+    """Functions and calls of Go sources from one parse: rows with a null ``callee`` are functions ``symbol, start_line, end_line``, the
+    others the calls of the function ``symbol`` with ``callee, line, offset``. Functions longer than ``longest`` lines, or without a letter
+    or digit, aren't listed, their calls are."""
+
+    def each(path: str, text: str) -> Iterator[tuple]:
+        source = golang.Source(text) if path.endswith(".go") and text.strip() else None
+        if source is None or not source.whole:
+            return
+        lines = text.removesuffix("\n").split("\n")
+        for kind, symbol, a, b, _, _ in golang.declarations(source) or []:
+            if kind == "func" and b - a < longest and any(c.isalnum() for x in lines[a - 1 : b] for c in x):
+                yield symbol, a, b, None, None, None
+        for caller, callee, line, offset in golang.calls(source):
+            yield caller, None, None, callee, line, offset
+
+    return _over_sources(sources, key, f"{key} string, symbol string, start_line int, end_line int, callee string, line int, offset int", each)
+
+
 def strip_doc_comments(sources: DataFrame, key: str) -> DataFrame:
     """Texts without documentation comments, line for line; a Go source that doesn't parse is left out, others stay."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.ids import content_id
+from millrace.operators.skew import hot_keys, salted_join
 from millrace.session import cut
 
 PROVENANCES = ("resolved", "syntactic")
@@ -34,12 +35,13 @@ def callers(edges: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
     """
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"depth is 1 to {MOST_DEPTH}")
-    calls = cut(edges.where(F.col("to_id").isNotNull()).select("from_id", "to_id", F.col("path").alias("_p"), F.col("line").alias("_l")))
+    calls = edges.where(F.col("to_id").isNotNull()).select("from_id", F.col("to_id").alias("node"), F.col("path").alias("_p"), F.col("line").alias("_l"))
+    hot = cut(hot_keys(calls, ["node"]))  # a callee with a share of all calls is cut by its callers
     frontier = targets.select("target", F.col("target").alias("node")).distinct()
     seen: DataFrame | None = None
     for level in range(1, depth + 1):
         site = F.min(F.struct("_p", "_l"))
-        step = frontier.join(calls, F.col("node") == F.col("to_id")).groupBy("target", F.col("from_id").alias("id")).agg(site.alias("_s"))
+        step = salted_join(calls, frontier, ["node"], F.col("from_id"), hot=hot).groupBy("target", F.col("from_id").alias("id")).agg(site.alias("_s"))
         if level > 1:
             step = step.where(F.col("id") != F.col("target")).join(seen.select("target", "id"), ["target", "id"], "left_anti")
         step = cut(step.select("target", "id", F.lit(level).alias("depth"), F.col("_s._p").alias("call_path"), F.col("_s._l").alias("call_line")))

@@ -1,8 +1,8 @@
 """Ranked retrieval for many questions at once: vectors, weighted terms, fusion, decision, assembly.
 
-Questions are a stated set; corpora are not bounded. The vector arm sends the questions' matrix to every block of the
-corpus and keeps the best of each block; the lexical arm joins postings with the questions' terms. Ranks are total:
-distance or score, then path, first line and id.
+Questions are a stated set; corpora are not bounded. Each arm broadcasts the questions of a pass and scans the corpus;
+a task keeps the best of each question over all its rows, so that at most questions x limit x tasks rows are
+shuffled. Ranks are total: distance or score, then path, first line and id.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -129,39 +130,78 @@ def vector_topk(corpus: DataFrame, questions: DataFrame, limit: int) -> DataFram
     return ranked.select("query_id", "rank", "id", F.col("similarity").cast("float").cast("double").alias("similarity"))
 
 
+class _Best:
+    """The best ``limit`` rows of each question seen so far: the smallest ``far``, then path, first line and id."""
+
+    def __init__(self, questions: int, limit: int) -> None:
+        self.limit, self.edge = limit, np.full(questions, np.inf)
+        self.held: list[pa.Table] = []
+        self.most = 2 * max(questions * limit, 10_000)
+        self.size = 0
+
+    def add(self, question: np.ndarray, far: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> None:
+        """Rows ``at`` of a batch (id, path and first line in its columns 1 to 3); those beyond ``edge`` need not come."""
+        if not len(question):
+            return
+        where = pa.array(at)
+        self.held.append(pa.table([pa.array(question), pa.array(far), *(batch.column(c).take(where) for c in (1, 2, 3))], names=["question", "far", "id", "path", "start_line"]))
+        self.size += len(question)
+        if self.size > self.most:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        rows = pa.concat_tables(self.held)
+        order = pc.sort_indices(rows, [(c, "ascending") for c in ("question", "far", "path", "start_line", "id")], null_placement="at_start")
+        question = rows["question"].to_numpy()[order.to_numpy()]
+        place = np.arange(len(question)) - np.searchsorted(question, question, "left")
+        rows = rows.take(pc.filter(order, pa.array(place < self.limit))).combine_chunks()
+        last = place == self.limit - 1
+        self.edge[question[last]] = rows["far"].to_numpy()[last[place < self.limit]]
+        self.held, self.size = [rows], rows.num_rows
+
+    def rows(self) -> pa.Table | None:
+        if self.held:
+            self._shrink()
+        return self.held[0] if self.held else None
+
+
 def _vector_pass(corpus: DataFrame, questions: DataFrame, asked: list[tuple], limit: int) -> DataFrame:
     groups: dict[tuple, list[tuple]] = {}
     for q, tenant, v in asked:
         groups.setdefault((tenant, len(v)), []).append((q, v))
-    matrices = {g: ([q for q, _ in rows], np.array([v for _, v in rows], np.float64)) for g, rows in groups.items()}
+    shared = corpus.sparkSession.sparkContext.broadcast({g: ([q for q, _ in rows], np.array([v for _, v in rows], np.float64)) for g, rows in groups.items()})
     kinds = dict(corpus.dtypes)
     query_kind = dict(questions.dtypes)["query_id"]
     query_type = to_arrow_type(questions.schema["query_id"].dataType)
     schema = f"query_id {query_kind}, id {kinds['id']}, path string, start_line int, similarity double"
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrices, best = shared.value, {}
         for batch in batches:
             tenants, widths = batch.column(0).to_pylist(), batch.column(4).value_lengths().to_pylist()
             keys: dict[tuple, list[int]] = {}
             for i, g in enumerate(zip(tenants, widths)):
                 if g in matrices:
                     keys.setdefault(g, []).append(i)
-            for g, at in keys.items():
+            for g, rows in keys.items():
                 ids, q = matrices[g]
-                block = batch.column(4).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1).astype(np.float64)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sim = (q @ block.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((block * block).sum(1))[None, :])
-                far = np.where(np.isnan(sim), np.inf, 1 - sim)
-                if limit < len(at):
-                    edge = np.partition(far, limit - 1, axis=1)[:, limit - 1]
-                    row, col = np.nonzero(far <= edge[:, None])  # all that tie with the last one
-                else:
-                    row, col = (x.ravel() for x in np.indices(far.shape))
-                where = pa.array(np.array(at)[col])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[r] for r in row], query_type), batch.column(1).take(where), batch.column(2).take(where), batch.column(3).take(where), pa.array(sim[row, col])],
-                    ["query_id", "id", "path", "start_line", "similarity"],
-                )
+                own = best.setdefault(g, _Best(len(ids), limit))
+                for lo in range(0, len(rows), step := max(1, 4_000_000 // len(ids))):
+                    at = np.array(rows[lo : lo + step])
+                    block = batch.column(4).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1).astype(np.float64)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sim = (q @ block.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((block * block).sum(1))[None, :])
+                    far = np.where(np.isnan(sim), np.inf, 1 - sim)
+                    edge = np.minimum(own.edge, np.partition(far, limit - 1, axis=1)[:, limit - 1]) if limit < len(at) else own.edge
+                    row, col = np.nonzero(far <= edge[:, None])  # ties with the last one stay until all are in order
+                    own.add(row, far[row, col], at[col], batch)
+        for g, own in best.items():
+            if (rows := own.rows()) is not None:
+                ids = matrices[g][0]
+                far = rows["far"].to_numpy()
+                similarity = pa.array(np.where(np.isinf(far), np.nan, 1 - far))
+                out = pa.table([pa.array([ids[i] for i in rows["question"].to_pylist()], query_type), rows["id"], rows["path"], rows["start_line"], similarity], names=["query_id", "id", "path", "start_line", "similarity"])
+                yield from out.to_batches(max_chunksize=10_000)
 
     rows = corpus.where(F.col("embedding").isNotNull() & F.col("id").isNotNull()).select("tenant", "id", "path", F.col("start_line").cast("int"), "embedding")
     return rows.mapInArrow(nearest, schema)
@@ -201,8 +241,8 @@ SCORES_A_BLOCK = 4_000_000
 def lexical_scan(corpus: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     """What :func:`lexical_topk` gives, by one scan of ``corpus`` (``tenant, id, path, start_line, symbol, text``) without an index.
 
-    The questions' terms go to every block, each block keeps the best of each question and all that tie with the last of
-    them; nothing is shuffled but those. For a stated set of questions this saves the join in which frequent terms meet.
+    The questions' terms go to every task, each keeps the best of each question over all its rows; nothing is shuffled but
+    those. For a stated set of questions this saves the join in which frequent terms meet.
     """
     passes = max(1, -(-asked.select("query_id").distinct().count() // QUESTIONS_A_PASS))
     out = None
@@ -214,56 +254,66 @@ def lexical_scan(corpus: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", (F.col("tenths") / 10).alias("score"))
 
 
-def _asked(rows: list[tuple]) -> tuple[list, dict[str, int], list[np.ndarray]]:
-    """(questions, number of each term, numbers of the questions that ask for it) of (question, term) rows."""
+def _asked(rows: list[tuple]) -> tuple[list, list[str], np.ndarray, np.ndarray]:
+    """(questions, terms, where each term's questions begin, their numbers) of (question, term) rows."""
     queries = sorted({q for q, _ in rows}, key=repr)
     number = {q: i for i, q in enumerate(queries)}
     askers: dict[str, list[int]] = {}
     for q, term in rows:
         askers.setdefault(term, []).append(number[q])
-    return queries, {t: i for i, t in enumerate(askers)}, [np.array(v, np.int64) for v in askers.values()]
+    counts = [len(x) for x in askers.values()]
+    return queries, list(askers), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.array([q for x in askers.values() for q in x], np.int64)
 
 
 def _lexical_pass(corpus: DataFrame, asked: DataFrame, wanted: list[tuple], limit: int) -> DataFrame:
     grouped: dict[object, list[tuple]] = {}
     for q, tenant, term in wanted:
         grouped.setdefault(tenant, []).append((q, term))
-    of_tenant = {t: _asked(rows) for t, rows in grouped.items()}
+    shared = corpus.sparkSession.sparkContext.broadcast({t: _asked(rows) for t, rows in grouped.items()})
     kinds = dict(corpus.dtypes)
     query_type = to_arrow_type(asked.schema["query_id"].dataType)
     schema = f"query_id {dict(asked.dtypes)['query_id']}, id {kinds['id']}, path string, start_line int, tenths long"
 
+    def scores(batch: pa.RecordBatch, at: np.ndarray, terms: pa.Array, starts: np.ndarray, askers: np.ndarray, queries: int) -> np.ndarray:
+        """(row, question) scores of some rows: every occurrence of a term adds its weight to the questions that ask for it."""
+        out = np.zeros(len(at) * queries)
+        for column, weight in ((4, SYMBOL_TENTHS), (5, TEXT_TENTHS)):
+            words = batch.column(column).take(pa.array(at))
+            term = pc.index_in(words.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(at)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[term >= 0]
+            pair, times = np.unique(row * len(terms) + term[term >= 0], return_counts=True)
+            row, term = pair // len(terms), pair % len(terms)
+            n = starts[term + 1] - starts[term]
+            first = np.repeat(starts[term] - (np.cumsum(n) - n), n)
+            question = askers[first + np.arange(int(n.sum()))]
+            out += np.bincount(np.repeat(row, n) * queries + question, weights=np.repeat(times, n) * weight, minlength=len(out))
+        return out.astype(np.int64).reshape(len(at), queries)
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_tenant, kept = shared.value, {}
         for batch in batches:
             rows_of: dict[object, list[int]] = {}
             for i, tenant in enumerate(batch.column(0).to_pylist()):
                 if tenant in of_tenant:
                     rows_of.setdefault(tenant, []).append(i)
-            texts = [(batch.column(c), weight) for c, weight in ((4, SYMBOL_TENTHS), (5, TEXT_TENTHS))]
             for tenant, rows in rows_of.items():
-                queries, terms, askers = of_tenant[tenant]
-                lengths = np.array([len(x) for x in askers], np.int64)
-                step = max(1, SCORES_A_BLOCK // len(queries))
-                for lo in range(0, len(rows), step):
-                    at = rows[lo : lo + step]
-                    scores = np.zeros((len(at), len(queries)), np.int64)
-                    for column, weight in texts:
-                        for i, row in enumerate(at):
-                            found = [t for w in column[row].as_py() or () if (t := terms.get(w)) is not None]
-                            if found:
-                                which, times = np.unique(found, return_counts=True)
-                                scores[i] += np.bincount(np.concatenate([askers[t] for t in which]), weights=np.repeat(times, lengths[which]) * weight, minlength=len(queries)).astype(np.int64)
-                    if limit < len(scores):
-                        edge = np.maximum(-np.partition(-scores, limit - 1, axis=0)[limit - 1], 1)
-                    else:
-                        edge = np.ones(len(queries), np.int64)
-                    row, col = np.nonzero(scores >= edge[None, :])
-                    if len(row):
-                        where = pa.array(np.array(at)[row])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([queries[c] for c in col], query_type), *(batch.column(c).take(where) for c in (1, 2, 3)), pa.array(scores[row, col])],
-                            ["query_id", "id", "path", "start_line", "tenths"],
-                        )
+                queries, terms, starts, askers = of_tenant[tenant]
+                own = kept.setdefault(tenant, _Best(len(queries), limit))
+                terms = pa.array(terms, pa.string())
+                for lo in range(0, len(rows), step := max(1, SCORES_A_BLOCK // len(queries))):
+                    at = np.array(rows[lo : lo + step])
+                    found = scores(batch, at, terms, starts, askers, len(queries))
+                    edge = np.maximum(1, np.where(np.isinf(own.edge), 1, -own.edge))
+                    if limit < len(found):
+                        edge = np.maximum(edge, -np.partition(-found, limit - 1, axis=0)[limit - 1])
+                    row, col = np.nonzero(found >= edge[None, :])
+                    own.add(col, -found[row, col].astype(np.float64), at[row], batch)
+        for tenant, own in kept.items():
+            if (rows := own.rows()) is not None:
+                queries = of_tenant[tenant][0]
+                tenths = pa.array(-rows["far"].to_numpy()).cast(pa.int64())
+                out = pa.table([pa.array([queries[i] for i in rows["question"].to_pylist()], query_type), rows["id"], rows["path"], rows["start_line"], tenths], names=["query_id", "id", "path", "start_line", "tenths"])
+                yield from out.to_batches(max_chunksize=10_000)
 
     words = lambda c: F.transform(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"([\p{L}\p{Nd}]+)"), 1), F.lower)
     return corpus.where(F.col("id").isNotNull()).select("tenant", "id", "path", F.col("start_line").cast("int"), words("symbol").alias("symbol"), words("text").alias("text")).mapInArrow(best, schema)

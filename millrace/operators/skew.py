@@ -20,12 +20,13 @@ def hot_keys(df: DataFrame, keys: list[str], least: int = 100_000) -> DataFrame:
     return counted.where(hot).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_salts"))
 
 
-def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], spread: Column, how: str = "inner", least: int = 100_000) -> DataFrame:
-    """``big`` joined to ``unique`` (one row a key) on ``keys``, hot keys of ``big`` cut into salts.
+def salted_join(big: DataFrame, unique: DataFrame, keys: list[str], spread: Column, how: str = "inner", least: int = 100_000, hot: DataFrame | None = None) -> DataFrame:
+    """``big`` joined to ``unique`` (few rows a key) on ``keys``, hot keys of ``big`` cut into salts.
 
-    ``spread`` is a column of ``big`` whose hash chooses the salt. Nulls in the keys match nothing.
+    ``spread`` is a column of ``big`` whose hash chooses the salt; ``hot`` are the :func:`hot_keys` of ``big`` where they are
+    known. Nulls in the keys match nothing.
     """
-    hot = F.broadcast(hot_keys(big.select(*keys), keys, least))
+    hot = F.broadcast(hot_keys(big.select(*keys), keys, least) if hot is None else hot)  # HOT_SHARE rows at most
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
     right = unique.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")

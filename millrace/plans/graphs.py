@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 
 from millrace.operators import chunking, graph
+from millrace.session import cut
 from millrace.sources.tables import table
 
 
-
 def symbols(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     return o.select(F.lit("r").alias("repo_id"), F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("path"), F.concat("o_orderpriority", F.lit("."), "o_orderkey").alias("name"), F.col("o_orderpriority").alias("pkg"), F.col("o_orderkey").cast("int").alias("start_line"))
@@ -87,9 +87,11 @@ def span_for(spark: SparkSession, sf: str) -> DataFrame:
 def source_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Edges of the call graph of all Go spans; a call is resolved where its file defines the name."""
     s = table(spark, sf, "spans").where("text IS NOT NULL").select("id", "repo_id", "file_id", "path", "text").distinct()
-    decl = chunking.declaration_chunks(s, "id").where("kind = 'func'").join(s.select("id", "repo_id", "path"), "id")
-    defs = decl.select("repo_id", F.concat("path", F.lit("#"), "id").alias("path"), F.col("symbol").alias("name"), F.lit("").alias("pkg"), "kind", "start_line", "end_line")
-    made = chunking.go_calls(s, "id").join(decl.select("id", "repo_id", "path", F.col("symbol").alias("caller"), F.col("start_line").alias("from_start")), ["id", "caller"])
+    units = cut(chunking.go_units(s, "id"))  # parsed once for definitions and calls
+    decl = units.where("callee IS NULL").join(s.select("id", "repo_id", "path"), "id")
+    defs = decl.select("repo_id", F.concat("path", F.lit("#"), "id").alias("path"), F.col("symbol").alias("name"), F.lit("").alias("pkg"), F.lit("func").alias("kind"), "start_line", "end_line")
+    made = units.where("callee IS NOT NULL").select("id", F.col("symbol").alias("caller"), "callee", "line", "offset")
+    made = made.join(decl.select("id", "repo_id", "path", F.col("symbol").alias("caller"), F.col("start_line").alias("from_start")), ["id", "caller"])
     calls = made.select("repo_id", F.concat("path", F.lit("#"), "id").alias("path"), "offset", "from_start", F.col("callee").alias("to_name"), "line")
     first = defs.groupBy("repo_id", "path", F.substring_index("name", ".", -1).alias("to_name")).agg(F.min("start_line").alias("target_line"))
     targets = calls.join(first, ["repo_id", "path", "to_name"]).select("repo_id", "path", "offset", F.col("path").alias("target_path"), "target_line")
