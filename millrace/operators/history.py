@@ -162,12 +162,13 @@ def commit_statements(repos: DataFrame, staleness: DataFrame) -> DataFrame:
     repos, staleness = only(repos, "id", "remote", "ref_name", "commit_sha", "indexed_at", "seen_at"), only(staleness, "repo_id", "checked_at", "newer_commit", "newer_indexed_at")
     commit = lambda c: F.lower(F.trim(c))
     log = repos.select("id", remote_key(F.col("remote")).alias("remote"), "ref_name", commit(F.col("commit_sha")).alias("c"), F.col("indexed_at").alias("at"), F.col("seen_at").alias("seen"))
-    log = log.where(F.col("remote").isNotNull() & F.col("ref_name").isNotNull()).distinct()
+    log = cut(log.where(F.col("remote").isNotNull() & F.col("ref_name").isNotNull()).distinct())  # read and spelled out once for all uses
     places = log.where(F.col("id").isNotNull()).select(F.col("id").alias("repo_id"), "remote", "ref_name").distinct()
     checks = staleness.where(F.col("newer_commit").isNotNull() & F.col("newer_indexed_at").isNotNull()).select("repo_id", commit(F.col("newer_commit")).alias("c"), F.col("newer_indexed_at").alias("at"), F.col("checked_at").alias("seen")).distinct()
     checks = checks.join(places, "repo_id").drop("repo_id")
     log = log.withColumn("holds", ~F.coalesce(F.col("at") > F.col("seen"), F.lit(False)))
     said = log.where(F.col("c").isNotNull()).drop("id").unionByName(checks.withColumn("holds", F.lit(True))).where(F.col("c").rlike("^[0-9a-f]{4,40}$"))
+    said = cut(said)
     full = said.where(F.length("c") == 40).select("remote", "ref_name", F.col("c").alias("commit_sha"), F.left("c", F.lit(4)).alias("head")).distinct()
     short = said.where(F.length("c") < 40).select("remote", "ref_name", "c", F.left("c", F.lit(4)).alias("head")).distinct()
     meant = (
