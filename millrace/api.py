@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from millrace.functions import cite
 from millrace.operators import admission, corpus, graph, queue
 from millrace.operators import retrieval as R
+from millrace.session import bounded
 
+#: Deepest walk to callers that is answered.
+MOST_CALLER_DEPTH = 3
 
 @dataclass
 class Engine:
@@ -26,6 +29,7 @@ class Engine:
     budget: R.Budget = field(default_factory=R.Budget)
     floor: float = -1.0
     candidates: int = 40
+    timeout_s: float = 60.0
 
     def list_repos(self, limit: int = 50) -> DataFrame:
         """Used last first."""
@@ -44,11 +48,13 @@ class Engine:
         one = self.spans.where((F.col("repo_id") == repo) & (F.col("id") == span))
         return self._cited(one)
 
-    def _cited(self, spans: DataFrame) -> DataFrame:
-        r = self.repos.select(F.col("id").alias("repo_id"), "remote_key", "commit_sha")
-        part = F.split("remote_key", "/")
-        link = cite.permalink(part[0], part[1], part[2], F.col("commit_sha"), F.col("path"), F.col("start_line"), F.col("end_line"))
-        return spans.join(r, "repo_id").withColumn("permalink", link)
+    def _cited(self, spans: DataFrame, now: str | None = None) -> DataFrame:
+        """The spans with ``citation`` and its ``permalink``."""
+        r = self.repos.select("id", "remote_key", "ref_name", "commit_sha", "indexed_at")
+        r = r.join(corpus.newer_commits(r), "id", "left").withColumnRenamed("id", "repo_id")
+        spans = spans if "digest" in spans.columns else spans.withColumn("digest", F.lit(None).cast("string"))
+        cited = spans.join(r, "repo_id").withColumn("citation", cite.citation(F.lit(now).cast("timestamp") if now else F.current_timestamp()))
+        return cited.withColumn("permalink", F.col("citation.permalink"))
 
     def _corpus(self) -> DataFrame:
         return self.spans.withColumn("tenant", F.col("repo_id"))
@@ -57,6 +63,8 @@ class Engine:
         """Ranked spans for ``query_id, tenant`` (a repository), ``q`` and, for the vector arm, ``embedding``."""
         R.check_search(mode, self.candidates, limit)
         spans = self._corpus()
+        if mode != "lexical":
+            self._check_embedder(questions)
         empty_v = questions.sparkSession.createDataFrame([], f"query_id {dict(questions.dtypes)['query_id']}, rank int, id string, similarity double")
         empty_l = questions.sparkSession.createDataFrame([], f"query_id {dict(questions.dtypes)['query_id']}, rank int, id string, score double")
         vector = R.vector_topk(spans, questions, self.candidates) if mode != "lexical" else empty_v
@@ -65,6 +73,18 @@ class Engine:
             lexical = R.lexical_scan(spans, R.question_terms(questions), self.candidates)
         return R.fuse(vector, lexical, spans.select("id", "path", "start_line"), self.fusion, limit)
 
+    def _check_embedder(self, questions: DataFrame) -> None:
+        """Refuses questions whose vectors are of another width, or of another ``embed_model`` where they name one, than those of the spans searched."""
+        asked = questions.where(F.col("embedding").isNotNull())
+        width, model = F.size("embedding").alias("dim"), (F.col("embed_model") if "embed_model" in questions.columns else F.lit(None).cast("string")).alias("model")
+        wanted = asked.select(F.col("tenant").alias("repo_id"), width, model).distinct()
+        here = self.spans.where(F.col("embedding").isNotNull())
+        own = F.col("embed_model") if "embed_model" in self.spans.columns else F.lit(None).cast("string")
+        there = here.join(wanted.select("repo_id").distinct(), "repo_id", "left_semi").groupBy("repo_id").agg(F.collect_set(F.size("embedding")).alias("dims"), F.collect_set(own).alias("models"))
+        wrong = wanted.join(there, "repo_id").where(~F.array_contains("dims", F.col("dim")) | (F.size("dims") > 1) | (F.size("models") > 1) | ((F.size("models") == 1) & F.col("model").isNotNull() & ~F.array_contains("models", F.col("model"))))
+        if bad := wrong.limit(1).collect():
+            raise ValueError(f"questions and spans of {bad[0]['repo_id']} are of different embedders")
+
     def ask(self, questions: DataFrame, limit: int = 10, mode: str = "hybrid") -> DataFrame:
         """``query_id, outcome, reason, answer, cited, dropped``: refused where nothing good enough was found."""
         hits = self.search(questions, limit, mode)
@@ -82,11 +102,20 @@ class Engine:
         return self.symbols.where((F.col("repo_id") == repo) & (F.col("id") == symbol))
 
     def callers(self, repo: str, symbol: str, depth: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame]:
-        """(resolved callers, callers by the symbol's last name): two tables, never one."""
+        """(resolved callers, callers by the symbol's last name): two tables, never one; depth 1 to 3, within ``timeout_s``.
+
+        Resolved callers carry the ``citation`` of their span, null for one whose span is not there.
+        """
+        if not 1 <= depth <= MOST_CALLER_DEPTH:
+            raise ValueError(f"depth is 1 to {MOST_CALLER_DEPTH}")
         edges = self.edges.where(F.col("repo_id") == repo)
         own = self.get_symbol(repo, symbol)
-        reached = graph.callers(edges, own.select(F.col("id").alias("target")), depth)
+        # Walking runs a job a level; it ends at the deadline.
+        reached = bounded(edges.sparkSession, self.timeout_s, lambda: graph.callers(edges, own.select(F.col("id").alias("target")), depth))
         precise = reached.join(self.symbols.where(F.col("repo_id") == repo), "id").orderBy("depth", "path", "start_line", "id").limit(limit)
+        if "span_id" in precise.columns:
+            cited = self._cited(self.spans.where(F.col("repo_id") == repo)).select(F.col("id").alias("span_id"), "citation")
+            precise = precise.join(cited, "span_id", "left")
         names = own.select("repo_id", F.substring_index("name", ".", -1).alias("name"))
         return precise, graph.approximate_callers(edges, self.symbols, names, limit)
 

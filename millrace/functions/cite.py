@@ -43,7 +43,7 @@ def permalink(host: Column, owner: Column, name: Column, commit: Column, path: C
     return out
 
 
-def staleness(commit: Column, ref: Column, indexed_at: Column, newer_commit: Column, now: Column) -> Column:
+def staleness(commit: Column, ref: Column, indexed_at: Column, newer_commit: Column, now: Column, newer_at: Column | None = None) -> Column:
     """State of a citation: ``superseded`` where a later commit of the ref is indexed, else ``unknown``: nobody asked the forge."""
     base = F.concat(F.lit("Indexed at "), short_commit(commit), F.lit(", "), age_phrase(indexed_at, now), F.lit(" ago. "))
     newer = F.concat(base, ref, F.lit(" is indexed at the later commit "), short_commit(newer_commit), F.lit(" too."))
@@ -51,9 +51,21 @@ def staleness(commit: Column, ref: Column, indexed_at: Column, newer_commit: Col
         F.when(newer_commit.isNotNull(), "superseded").otherwise("unknown").alias("state"),
         F.lit(False).alias("forge_checked"),
         F.when(newer_commit.isNotNull(), newer).otherwise(F.concat(base, F.lit("Whether "), ref, F.lit(" moved since was not checked."))).alias("note"),
+        indexed_at.cast("timestamp").alias("indexed_at"),
+        newer_commit.alias("newer_commit"),
+        (F.lit(None) if newer_at is None else F.when(newer_commit.isNotNull(), newer_at)).cast("timestamp").alias("newer_indexed_at"),
     )
 
 
+def citation(now: Column, forges: dict[str, str] | None = None) -> Column:
+    """What identifies a span to a reader, of a row with the columns of a span and of its repository (``remote_key, ref_name,
+    commit_sha, indexed_at, newer_commit, newer_at``)."""
+    part = F.split("remote_key", "/")
+    link = permalink(part[0], part[1], part[2], F.col("commit_sha"), F.col("path"), F.col("start_line"), F.col("end_line"), forges)
+    state = staleness(F.col("commit_sha"), F.col("ref_name"), F.col("indexed_at"), F.col("newer_commit"), now, F.col("newer_at"))
+    return F.struct("repo_id", F.col("remote_key").alias("remote"), F.col("commit_sha").alias("commit"), F.col("ref_name").alias("ref"), "path", "start_line", "end_line", "digest", link.alias("permalink"), state.alias("staleness"))
+
+
 def wire_number(x: Column) -> Column:
     """NaN becomes null; JSON has no NaN."""
     return F.when(~F.isnan(x), x)

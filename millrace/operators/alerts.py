@@ -64,3 +64,18 @@ def rolling_spend(events: DataFrame, key: str, ts: str, amount: str, seconds: in
     both = events.withColumn("_s", second).withColumn("_own", own).withColumn("_stretch", F.explode(F.array("_own", F.col("_own") + 1)))
     frame = Window.partitionBy(key, "_stretch").orderBy("_s").rangeBetween(-seconds, 0)
     return both.withColumn("spent", F.sum(amount).over(frame)).where(F.col("_own") == F.col("_stretch")).drop("_s", "_own", "_stretch")
+
+
+def count_rule(events: DataFrame, bad: Column, ts: str, width: str, least: int) -> DataFrame:
+    """``at, bad, firing`` of tumbling windows: more than ``least`` bad events. Windows without a bad event don't occur."""
+    counted = events.where(bad).groupBy(F.window(ts, width)["end"].alias("at")).agg(F.count(F.lit(1)).alias("bad"))
+    return counted.withColumn("firing", F.col("bad") > least)
+
+
+def gauge_rule(samples: DataFrame, label: str, ts: str, value: str, width: str, below: float, tie: str) -> DataFrame:
+    """``at, label, value, firing``: the last sample of each label in a window is below a bound, or is no number.
+
+    ``up == 0`` is ``below=1``. Of samples at one time the greatest ``tie`` is the last.
+    """
+    last = samples.groupBy(F.window(ts, width)["end"].alias("at"), label).agg(F.max_by(value, F.struct(ts, tie)).alias("value"))
+    return last.withColumn("firing", F.col("value").isNull() | F.isnan("value") | (F.col("value") < below))

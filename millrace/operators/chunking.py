@@ -103,6 +103,27 @@ def golden_cases(sources: DataFrame, key: str) -> DataFrame:
     return _over_sources(sources, key, f"{key} string, symbol string, kind string, doc_of string, question string, start_line int, end_line int, raw_start int, raw_end int, grouped boolean", each)
 
 
+def golden_ledger(sources: DataFrame, key: str) -> DataFrame:
+    """``reason, n`` for each source: documented declarations that gave a case (``case``), that are not exported, or whose comment has
+    no word; a Go source that doesn't parse counts once."""
+
+    def each(path: str, text: str) -> Iterator[tuple[str, int]]:
+        if not path.endswith(".go"):
+            return
+        source = golang.Source(text)
+        if not source.whole:
+            yield "unparsed", 1
+            return
+        counts: dict[str, int] = {}
+        for _, symbol, _, question, *_ in golang.documented(source):
+            exported = symbol and all(p[:1].isupper() for p in symbol.split("."))
+            reason = "case" if exported and any(c.isalpha() for c in question) else "empty" if exported else "unexported"
+            counts[reason] = counts.get(reason, 0) + 1
+        yield from counts.items()
+
+    return _over_sources(sources, key, f"{key} string, reason string, n int", each)
+
+
 def go_calls(sources: DataFrame, key: str) -> DataFrame:
     """``caller, callee, line, offset`` of the calls in Go sources that parse."""
 

@@ -23,21 +23,40 @@ def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_l")).select(*keys, *[F.col(f"_l.{c}").alias(c) for c in rest])
 
 
-def page(df: DataFrame, key: str, after: str | None, limit: int) -> DataFrame:
-    """The next ``limit`` rows by key; a short page ends the scan."""
+def page(df: DataFrame, key: str | list[str], after: str | tuple | None, limit: int) -> DataFrame:
+    """The next ``limit`` rows by the key columns behind the key values ``after``; a short page ends the scan."""
     if limit < 1:
         raise ValueError("a page has at least one row")
-    rows = df if after is None else df.where(F.col(key) > after)
-    return rows.orderBy(key).limit(limit)
+    keys = [key] if isinstance(key, str) else key
+    rows = df
+    if after is not None:
+        values = (after,) if isinstance(key, str) else after
+        rows = df.where(F.struct(*keys) > F.struct(*[F.lit(v).cast(dict(df.dtypes)[k]).alias(k) for k, v in zip(keys, values)]))
+    return rows.orderBy(*keys).limit(limit)
 
 
-def repo_stats(repos: DataFrame, files: DataFrame, spans: DataFrame) -> DataFrame:
-    """Counts for each repository, zeros where there is nothing."""
+def next_cursor(rows: DataFrame, key: str | list[str], limit: int) -> tuple | None:
+    """What to pass as ``after`` for the page behind this one, None where it was short: the last one."""
+    keys = [key] if isinstance(key, str) else key
+    last = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*keys)).alias("last")).first()
+    return tuple(last["last"]) if last.n == limit else None
+
+
+def repo_stats(repos: DataFrame, files: DataFrame, spans: DataFrame, symbols: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Counts for each repository, zeros where there is nothing; those of the call graph where it is given.
+
+    Each provenance is counted by its own name, so that another one would show as a difference from ``edges``.
+    """
     f = files.groupBy("repo_id").agg(F.countDistinct("id").alias("files"), F.sum("n_lines").alias("n_lines"))
     s = spans.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("spans"), F.countDistinct("file_id").alias("files_with_spans"), F.count("embedding").alias("vectors"), F.count_if(F.col("kind") == "func").alias("functions"), F.count_if(F.col("text").isNull()).alias("without_text")
     )
     out = repos.select(F.col("id").alias("repo_id")).distinct().join(f, "repo_id", "left").join(s, "repo_id", "left")
+    if symbols is not None:
+        out = out.join(symbols.groupBy("repo_id").agg(F.count(F.lit(1)).alias("symbols")), "repo_id", "left")
+    if edges is not None:
+        counts = [F.count_if(F.col("provenance") == p).alias(f"edges_{p}") for p in ("resolved", "syntactic")]
+        out = out.join(edges.groupBy("repo_id").agg(F.count(F.lit(1)).alias("edges"), *counts), "repo_id", "left")
     return out.na.fill(0)
 
 
@@ -130,3 +149,34 @@ def first_disagreement(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
     why = F.when(F.col("_l").isNull(), "only right").when(F.col("_r").isNull(), "only left").when(~F.col("_a").eqNullSafe(F.col("_b")), "other bytes")
     first = met.withColumn("why", why).where(F.col("why").isNotNull())
     return first.groupBy(*keys).agg(F.min("path").alias("path"), F.min_by("why", "path").alias("why"), F.count(F.lit(1)).alias("disagreements"))
+
+
+def _differing(left: DataFrame, right: DataFrame) -> DataFrame:
+    return first_disagreement(left, right, ["repo_id"]).select("repo_id", F.struct("path", "why").alias("d"))
+
+
+def verified(a: tuple[DataFrame, DataFrame, DataFrame], b: tuple[DataFrame, DataFrame, DataFrame], source: DataFrame) -> DataFrame:
+    """Whether two arms hold one corpus: ``repo_id, refused, path, files_a, files_b, spans_a, spans_b, shared_ids``.
+
+    An arm is (repos ``repo_id, database, commit_sha``; files ``repo_id, path, blob``; spans ``repo_id, id``); ``source`` holds the files the
+    questions came from. The first rule that fails is named, most specific first: ``same_database, commits, files, source,
+    identical_spans``; ``path`` is the first one in dispute. Only repositories of both arms are judged.
+    """
+    (ra, fa, sa), (rb, fb, sb) = a, b
+    both = ra.select("repo_id", F.col("database").alias("_da"), F.col("commit_sha").alias("_ca")).join(rb.select("repo_id", F.col("database").alias("_db"), F.col("commit_sha").alias("_cb")), "repo_id")
+    count = lambda df, name: df.groupBy("repo_id").agg(F.count(F.lit(1)).alias(name))
+    ids_a, ids_b = sa.select("repo_id", "id").distinct(), sb.select("repo_id", "id").distinct()
+    parts = [
+        count(fa.select("repo_id", "path").distinct(), "files_a"), count(fb.select("repo_id", "path").distinct(), "files_b"), count(ids_a, "spans_a"), count(ids_b, "spans_b"),
+        count(ids_a.join(ids_b, ["repo_id", "id"]), "shared_ids"), _differing(fa, fb).withColumnRenamed("d", "_files"), _differing(source, fa).withColumnRenamed("d", "_source"),
+    ]
+    for part in parts:
+        both = both.join(part, "repo_id", "left")
+    both = both.na.fill(0, ["files_a", "files_b", "spans_a", "spans_b", "shared_ids"])
+    same = (F.col("spans_a") == F.col("spans_b")) & (F.col("shared_ids") == F.col("spans_a"))
+    refused = (
+        F.when(F.col("_da").eqNullSafe(F.col("_db")), "same_database").when(~F.col("_ca").eqNullSafe(F.col("_cb")), "commits").when(F.col("_files").isNotNull(), "files")
+        .when(F.col("_source").isNotNull(), "source").when(same, "identical_spans")
+    )
+    path = F.when(refused == "files", F.col("_files.path")).when(refused == "source", F.col("_source.path"))
+    return both.select("repo_id", refused.alias("refused"), path.alias("path"), "files_a", "files_b", "spans_a", "spans_b", "shared_ids")

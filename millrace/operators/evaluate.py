@@ -186,3 +186,11 @@ def golden_ledger(cases: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("cases"), F.count_if(F.col("grouped")).alias("grouped"), F.count_if(F.col("start_line") != F.col("raw_start")).alias("moved"), F.count_if(F.coalesce(F.trim("question"), F.lit("")) == "").alias("empty"),
         (F.count("question") - F.countDistinct("question")).alias("duplicates"),
     )
+
+
+def merged_ledger(ledgers: DataFrame, keys: list[str], cases: DataFrame) -> DataFrame:
+    """One ledger of several for each key: counters are added, duplicates counted again over all ``cases``, as a question may occur in two of them."""
+    counters = [c for c, kind in ledgers.dtypes if c not in keys and kind in ("int", "bigint") and c != "duplicates"]
+    total = ledgers.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters])
+    again = cases.groupBy(*keys).agg((F.count("question") - F.countDistinct("question")).alias("duplicates"))
+    return total.join(again, keys, "left").na.fill(0, ["duplicates"])

@@ -75,3 +75,8 @@ def sweep(jobs: DataFrame, now: Column, hours: int) -> DataFrame:
     """Jobs that stay: ended ones older than ``hours`` go, active ones never do."""
     ended = F.col("status").isin("done", "failed") & (F.col("updated_at") < now - F.make_interval(hours=F.lit(hours)))
     return jobs.where(~F.coalesce(ended, F.lit(False)))
+
+
+def abandoned(attempts: DataFrame, touched: str, now: Column, deadline_s: int) -> DataFrame:
+    """Attempts nobody touched for longer than a worker can hold a job: twice the deadline and a minute. Never touched ones stay."""
+    return attempts.where(F.col(touched) < now - F.make_dt_interval(secs=F.lit(2 * deadline_s + 60)))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import evaluation, graphs, lifecycle, loops, search, texts
+from millrace.plans import evaluation, graphs, lifecycle, loops, search, service, texts
 
 FLAGSHIP = "rrf_hybrid_topk"
 
-_MODULES = (lifecycle, texts, search, graphs, evaluation, loops)
+_MODULES = (lifecycle, texts, search, graphs, evaluation, loops, service)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}

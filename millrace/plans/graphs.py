@@ -84,8 +84,8 @@ def span_for(spark: SparkSession, sf: str) -> DataFrame:
     return graph.span_for(_cases(spark, sf), _ranges(spark, sf), ["repo_id", "path"], "case_id")
 
 
-def source_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges of the call graph of all Go spans; a call is resolved where its file defines the name."""
+def source_units(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What :func:`graph.build` takes, of all Go spans; a call is resolved where its file defines the name."""
     s = table(spark, sf, "spans").where("text IS NOT NULL").select("id", "repo_id", "file_id", "path", "text").distinct()
     units = cut(chunking.go_units(s, "id"))  # parsed once for definitions and calls
     decl = units.where("callee IS NULL").join(s.select("id", "repo_id", "path"), "id")
@@ -96,7 +96,12 @@ def source_graph(spark: SparkSession, sf: str) -> DataFrame:
     first = defs.groupBy("repo_id", "path", F.substring_index("name", ".", -1).alias("to_name")).agg(F.min("start_line").alias("target_line"))
     targets = calls.join(first, ["repo_id", "path", "to_name"]).select("repo_id", "path", "offset", F.col("path").alias("target_path"), "target_line")
     spans = s.select("repo_id", F.concat("path", F.lit("#"), "id").alias("path"), "id", F.lit(1).alias("start_line"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("end_line"))
-    return graph.build(defs, calls, spans, targets)[1]
+    return defs, calls, spans, targets
+
+
+def source_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of the call graph of all Go spans."""
+    return graph.build(*source_units(spark, sf))[1]
 
 
 _Q = (callers_bfs_depth3, callers_cte_depth3, callers_with_symbols, callers_approximate, definitions_exact, definitions_suffix, most_specific_span, first_overlapping_span, span_for, source_graph)

@@ -82,7 +82,24 @@ def stream_queue(spark: SparkSession, sf: str) -> DataFrame:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old) if old else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-_Q = (bounded_loops, stream_error_windows, stream_queue)
+def stream_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as requests of 50 clients for tokens: an even one asks, the next odd one of the same number settles it; reservations
+    that nobody settles expire."""
+    e = _event_stream(spark, sf)
+    even = F.pmod("event_id", F.lit(2)) == 0
+    events = e.select(
+        F.pmod("user_id", F.lit(50)).cast("string").alias("key"), "event_id", F.when(even, "ask").otherwise("done").alias("kind"), F.floor(F.col("event_id") / 2).cast("string").alias("request"),
+        F.ceil(F.coalesce("value", F.lit(1.0))).cast("long").alias("tokens"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at"),
+    )
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
+    try:
+        return _drained(stateful.run_budget(events, 300), "update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old) if old else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+_Q = (bounded_loops, stream_error_windows, stream_queue, stream_budget)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _Q}
 SQL: dict[str, str] = {
     "stream_error_windows": """

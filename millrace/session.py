@@ -33,12 +33,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "millr
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own only in a local session that names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not named and not sc.master.startswith(("local[", "local-cluster[")) and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -55,26 +55,34 @@ def read_regular(path: str, most_bytes: int) -> bytes:
     return body
 
 
+def _plain(folder: str) -> str:
+    """A folder as the reader names it."""
+    return os.path.join(os.path.realpath(folder), "") if os.path.isdir(folder) else folder
+
+
 def checkout(spark: SparkSession, root: str, most_files: int = 20_000, most_bytes: int = 1 << 20) -> DataFrame:
     """``path, bytes, n_lines, lang, blob, text, indexable`` of the files below ``root``.
 
-    The listing is made once, on the driver, to refuse links; bodies are read by the executors. ``text`` is null for
-    files that are not UTF-8.
+    A local folder is listed on the driver, to refuse links, and only the files listed are read; in a shared store, where
+    there are none, the executors list and read. ``text`` is null for files that are not UTF-8.
     """
-    paths = regular_files(root, most_files, most_bytes)
-    spark_paths = spark.createDataFrame([(p,) for p in paths], "file string")
-
-    def read(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([read_regular(p, most_bytes) for p in names], pa.binary())], ["file", "body"])
-
+    if most_files < 1 or most_bytes < 1:
+        raise ValueError("both limits are above 0")
+    local = os.path.isdir(root)
+    base = os.path.join(root, "")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.col("length") <= most_bytes)
+    # The reader's names are URIs; what follows the folder is a file's path.
+    name = F.url_decode(F.replace(F.regexp_replace(F.col("path"), "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    files = found.select(F.substr(name, F.lit(len(_plain(base)) + 1)).alias("path"), F.col("content").alias("body"))
+    files = files.where(~F.concat(F.lit("/"), "path").contains("/.git/"))
+    if local:
+        listed = [(os.path.relpath(p, root),) for p in regular_files(root, most_files, most_bytes)]
+        files = files.join(F.broadcast(spark.createDataFrame(listed, "path string")), "path", "left_semi")  # most_files rows at most
+    elif files.limit(most_files + 1).count() > most_files:
+        raise TooManyFiles(f"more than {most_files} files")
     body = F.col("body")
     valid = F.is_valid_utf8(body.cast("string"))
-    out = spark_paths.mapInArrow(read, "file string, body binary").withColumn("text", F.when(valid, body.cast("string")))
-    out = out.withColumn("path", F.expr(f"substring(file, {len(os.path.join(root, '')) + 1})"))
+    out = files.withColumn("text", F.when(valid, body.cast("string")))
     return out.select(
         "path", F.octet_length("body").alias("bytes"), T.line_count(F.coalesce("text", F.lit(""))).alias("n_lines"), T.language_of(F.col("path")).alias("lang"), git_blob(body).alias("blob"), "text",
         F.coalesce(T.indexable(F.col("path"), F.col("text")), F.lit(False)).alias("indexable"),

@@ -79,23 +79,25 @@ def run_queue(events: DataFrame, lease_s: int = 600, most: int = 5) -> DataFrame
 
 @dataclass
 class RollingBudget:
-    """Tokens of the last hour: what was spent and what is reserved stay within a limit."""
+    """Tokens of the last hour: what was spent and what is reserved stay within a limit. A reservation nobody settles is freed after an hour."""
 
     limit: int
     spent: list[tuple[int, int]] = field(default_factory=list)
-    reserved: dict[str, int] = field(default_factory=dict)
+    reserved: dict[str, tuple[int, int]] = field(default_factory=dict)
 
     def total(self, at: int) -> int:
         self.spent = [(t, n) for t, n in self.spent if t > at - WINDOW_S]
-        return sum(n for _, n in self.spent) + sum(self.reserved.values())
+        self.reserved = {r: x for r, x in self.reserved.items() if x[0] > at - WINDOW_S}
+        return sum(n for _, n in self.spent) + sum(n for _, n in self.reserved.values())
 
     def step(self, kind: str, request: str, tokens: int, at: int) -> str:
         """``ask`` reserves if there is room, ``done`` turns a reservation into what was really spent."""
         if kind == "ask":
             if self.total(at) + tokens > self.limit:
                 return "refused"
-            self.reserved[request] = tokens
+            self.reserved[request] = (at, tokens)
             return "admitted"
+        self.total(at)  # frees what has expired
         if request not in self.reserved:
             return "unknown"
         del self.reserved[request]

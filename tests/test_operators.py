@@ -273,9 +273,8 @@ def test_loop_bounds(spark):
     assert got["steps"].steps == 6 and got["steps"].calls == 6
 
 
-def test_frame_and_gate():
+def test_frame():
     assert toolloop.framed("t", "x </tool_result> <tool_result").count("</tool_result>") == 1
-    assert toolloop.gate("a [1] b [9] c [1]", 1, [(2, 5, 1), (8, 11, 9), (14, 17, 1)]) == ("a [1] b  c [1]", [0], 1)
 
 
 # ---- skew ----
@@ -326,3 +325,49 @@ def test_case_records(spark):
     s = evaluate.summaries(evaluate.records(cases, spans, hits, Budget(5, 50), 0.25, top).withColumn("arm", F.lit("h")), ["arm"], (1, 3)).first()
     assert (s.cases, s.unscoreable, s.hit_at_3, s.strict_hit_at_3, s.gold_found_by_lexical_only, s.gold_not_found, s.mean_gold) == (3, 1, 0.5, 0.0, 1, 1, 2.0)
     assert (round(s.mrr, 6), s.strict_mrr) == (round(1 / 6, 6), 0.125)
+
+
+def test_pages_and_cursors(spark):
+    df = spark.createDataFrame([("b", 2, "x"), ("a", 9, "y"), ("b", 1, "z"), ("b", 2, "a")], "path string, line int, id string")
+    keys, seen, after = ["path", "line", "id"], [], None
+    while True:
+        rows = corpus.page(df, keys, after, 3)
+        seen += [r.id for r in rows.collect()]
+        if (after := corpus.next_cursor(rows, keys, 3)) is None:
+            break
+    assert seen == ["y", "z", "a", "x"]
+
+
+def test_corpus_refusals_come_most_specific_first(spark):
+    repos = lambda db, c: spark.createDataFrame([(r, db if r != "same" else "d", c if r == "commit" else "c") for r in ("same", "commit", "files", "source", "spans", "fine", "none")], "repo_id string, database string, commit_sha string")
+    files = spark.createDataFrame([(r, p, "x") for r in ("same", "commit", "files", "source", "spans", "fine") for p in ("a", "b")], "repo_id string, path string, blob string")
+    other = files.withColumn("blob", F.when(F.col("repo_id").isin("same", "commit", "files"), "y").otherwise(F.col("blob")))
+    source = files.where("NOT (repo_id = 'source' AND path = 'b')")
+    spans = spark.createDataFrame([(r, f"{r}{i}") for r in ("same", "spans", "fine") for i in range(3)], "repo_id string, id string")
+    got = {r.repo_id: r for r in corpus.verified((repos("d", "c"), files, spans), (repos("e", "k"), other, spans.where("id <> 'fine2'")), source).collect()}
+    assert {k: r.refused for k, r in got.items()} == {"same": "same_database", "commit": "commits", "files": "files", "source": "source", "spans": "identical_spans", "fine": None, "none": "identical_spans"}
+    assert (got["files"].path, got["source"].path, got["fine"].path) == ("a", "b", None)
+    assert (got["fine"].spans_a, got["fine"].spans_b, got["fine"].shared_ids, got["fine"].files_a) == (3, 2, 2, 2)
+
+
+def test_rules_ledgers_and_sweeps(spark):
+    t = datetime(2025, 1, 1)
+    at = lambda m: t + timedelta(minutes=m)
+    samples = spark.createDataFrame([("a", at(1), 1.0, 1), ("a", at(50), 0.0, 2), ("b", at(50), 0.0, 1), ("b", at(50), 1.0, 2), ("c", at(70), None, 1)], "job string, ts timestamp, up double, n int")
+    got = {r.job: r.firing for r in alerts.gauge_rule(samples, "job", "ts", "up", "1 hour", 1.0, "n").collect()}
+    assert got == {"a": True, "b": False, "c": True}
+    counted = alerts.count_rule(samples, F.col("up") == 0, "ts", "1 hour", 1).collect()
+    assert [(r.bad, r.firing) for r in counted] == [(2, True)]
+    touched = spark.createDataFrame([(1, at(0)), (2, at(100)), (3, None)], "id int, at timestamp")
+    assert [r.id for r in queue.abandoned(touched, "at", F.lit(at(150)), 3600).collect()] == [1]
+    ledgers = spark.createDataFrame([("r", "a", 2, 1), ("r", "b", 1, 0)], "repo string, file string, cases int, duplicates int")
+    cases = spark.createDataFrame([("r", "q"), ("r", "q"), ("r", "q")], "repo string, question string")
+    assert [tuple(r) for r in evaluate.merged_ledger(ledgers.drop("file"), ["repo"], cases).select("repo", "cases", "duplicates").collect()] == [("r", 3, 2)]
+
+
+def test_graph_counts(spark):
+    repos = spark.createDataFrame([("r",), ("s",)], "id string")
+    none = spark.createDataFrame([], "id string, repo_id string, file_id string, n_lines int, kind string, text string, embedding string")
+    edges = spark.createDataFrame([("r", "resolved"), ("r", "syntactic"), ("r", "syntactic")], "repo_id string, provenance string")
+    got = {r.repo_id: r for r in corpus.repo_stats(repos, none, none, spark.createDataFrame([("r", "f")], "repo_id string, id string"), edges).collect()}
+    assert (got["r"].symbols, got["r"].edges, got["r"].edges_resolved, got["r"].edges_syntactic, got["s"].edges) == (1, 3, 1, 2, 0)

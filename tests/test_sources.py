@@ -65,3 +65,19 @@ def test_replace(spark, tmp_path):
 def test_report(tmp_path):
     out = sinks.write_report(str(tmp_path), "o-n", "mechanics", "bow", {"mrr": 0.5})
     assert out.read_text().startswith('{\n  "quality": "mechanics"') and out.parent.name == "bow"
+
+
+def test_replace_graph_and_widths(spark, tmp_path):
+    symbols = spark.createDataFrame([("a", "f"), ("a", "g")], "repo_id string, id string")
+    edge = lambda *rows: spark.createDataFrame(list(rows), "repo_id string, id string, from_id string, to_id string, provenance string")
+    at = str(tmp_path / "graph")
+    sinks.replace_graph(symbols, edge(("a", "e1", "f", "g", "resolved"), ("a", "e2", "g", None, "syntactic")), at, ["a"])
+    assert spark.read.parquet(f"{at}/edges").count() == 2 and spark.read.parquet(f"{at}/symbols").count() == 2
+    with pytest.raises(ValueError, match="no caller"):
+        sinks.replace_graph(symbols, edge(("a", "e3", "gone", None, "syntactic")), at, ["a"])
+    with pytest.raises(Exception, match="disagree"):
+        sinks.replace_graph(symbols, edge(("a", "e4", "f", None, "resolved")), at, ["a"])
+    assert {r.id for r in spark.read.parquet(f"{at}/edges").collect()} == {"e1", "e2"}  # a refused write leaves the table as it was
+    vectors = spark.createDataFrame([("a", "s", [1.0, 2.0])], "repo_id string, id string, embedding array<float>")
+    with pytest.raises(ValueError, match="not 3 wide"):
+        sinks.replace_repos(vectors, str(tmp_path / "v"), ["a"], dim=3)

@@ -36,6 +36,12 @@ def test_budget_machine():
     assert b.total(3602) == 100
 
 
+def test_reservations_expire():
+    b = stateful.RollingBudget(100)
+    assert [b.step("ask", "a", 90, 0), b.step("ask", "b", 90, 3599), b.step("ask", "b", 90, 3601), b.step("done", "a", 90, 3602), b.step("done", "b", 10, 3603)] == ["admitted", "refused", "admitted", "unknown", "spent"]
+    assert b.total(3604) == 10
+
+
 def test_queue_stream(spark, tmp_path):
     rows = [("k", 1, "submit", "j1", "", 0), ("k", 2, "submit", "j2", "", 1), ("k", 3, "lease", "", "w", 2), ("k", 4, "complete", "", "w", 3), ("l", 5, "lease", "", "w", 4)]
     df = spark.createDataFrame(rows, "key string, event_id long, kind string, job_id string, worker string, at long")
