@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import docpairs, leakage, neighbors, packing, quantiles, reading, splitting
@@ -50,6 +50,21 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf, "spans"), table(spark, sf, "arm_configs"))
 
 
+def p4_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each cut span and arm the lines covered, and the pieces that break a rule: too long, or sharing other than the overlap's lines with the piece before."""
+    rules = table(spark, sf, "arm_configs").where("arm_name IS NOT NULL").groupBy("arm_name").agg(F.max("window_lines").alias("w"), F.max("window_overlap").alias("o"))
+    before = F.lag("end_line").over(Window.partitionBy("arm_name", "span_id").orderBy("piece_no"))
+    pieces = p4_pieces(spark, sf).withColumn("_before", before).join(F.broadcast(rules), "arm_name")
+    wrong = (F.col("end_line") - F.col("start_line") + 1 > F.col("w")) | (F.col("_before").isNotNull() & (F.col("_before") - F.col("start_line") + 1 != F.col("o")))
+    return pieces.groupBy("arm_name", "span_id").agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.count_if(wrong).alias("wrong"))
+
+
+def p5_certified(spark: SparkSession, sf: str) -> DataFrame:
+    """For each group and day, and over all days (null): the number of values, and whether every measured rank error keeps the promise."""
+    errors = F.greatest(*[f"{q}_rank_error" for q in quantiles.QUANTILES])
+    return p5_percentiles(spark, sf).select("repo_id", "arm_name", F.unix_date("day").alias("day"), "n", (errors <= F.col("rank_error_bound")).alias("kept"))
+
+
 def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.score_percentiles(table(spark, sf, "outcomes"))
 
@@ -87,7 +102,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_listed, p3_found, p3_neighbors, p3_recall, p4_found, p4_pieces, p5_percentiles, p6_containers, p6_report, p7_found, p7_leaks, p8_found, p8_levels, p8_profile)
+    for f in (p1_found, p1_pairs, p1_listed, p3_found, p3_neighbors, p3_recall, p4_found, p4_pieces, p4_coverage, p5_percentiles, p5_certified, p6_containers, p6_report, p7_found, p7_leaks, p8_found, p8_levels, p8_profile)
 }
 
 SQL: dict[str, str] = {
@@ -96,4 +111,13 @@ SQL: dict[str, str] = {
         FROM (SELECT DISTINCT id, text FROM spans WHERE id IS NOT NULL AND text IS NOT NULL) s
         JOIN arm_configs a ON length(s.text) - length(replace(s.text, chr(10), '')) + CASE WHEN s.text = '' OR suffix(s.text, chr(10)) THEN 0 ELSE 1 END > a.max_decl_lines
     """,
+    "p4_coverage": r"""
+        WITH t AS (SELECT a.arm_name, s.id AS span_id, length(s.text) - length(replace(s.text, chr(10), '')) + CASE WHEN s.text = '' OR suffix(s.text, chr(10)) THEN 0 ELSE 1 END AS n, a.max_decl_lines AS m
+                   FROM (SELECT DISTINCT id, text FROM spans WHERE id IS NOT NULL AND text IS NOT NULL) s CROSS JOIN arm_configs a)
+        SELECT arm_name, span_id, 1::INTEGER AS first_line, max(n)::INTEGER AS last_line, 0 AS wrong FROM t WHERE n > m GROUP BY 1, 2
+    """,
+    "p5_certified": """
+        WITH o AS (SELECT DISTINCT * FROM outcomes), v AS (SELECT repo_id, arm_name, datediff('day', DATE '1970-01-01', recorded_at::TIMESTAMP::DATE)::INTEGER AS day FROM o WHERE top_score BETWEEN -1 AND 1 AND NOT isnan(top_score) AND recorded_at IS NOT NULL)
+        SELECT repo_id, arm_name, day, count(*) AS n, true AS kept FROM v GROUP BY 1, 2, 3 UNION ALL SELECT repo_id, arm_name, NULL, count(*), true FROM v GROUP BY 1, 2
+    """,
 }

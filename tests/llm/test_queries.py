@@ -32,12 +32,13 @@ def test_query_runs(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
     for path in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     df = QUERIES[name](spark, sf)
     result = con.execute(SQL[name])
     order = [df.columns.index(d[0]) for d in result.description]
-    assert sorted(tuple(r[i] for i in order) for r in df.collect()) == sorted(result.fetchall())
+    assert sorted((tuple(r[i] for i in order) for r in df.collect()), key=str) == sorted(result.fetchall(), key=str)
 
 
 def test_found_follows_the_full_result(spark, sf):
