@@ -57,9 +57,9 @@ def changed_leaves(old: DataFrame, new: DataFrame, fanout: int = FANOUT, depth:
 
 
 def depth_for(rows: int, fanout: int = FANOUT, leaf_rows: int = LEAF_ROWS) -> int:
-    """Levels below the root, so that leaves keep about ``leaf_rows`` rows however many there are."""
+    """Levels below the root, so that a leaf keeps between ``leaf_rows`` and ``fanout`` times as many rows however many there are."""
     depth = 1
-    while fanout**depth * leaf_rows < rows:
+    while fanout ** (depth + 1) * leaf_rows <= rows:
         depth += 1
     return depth
 
@@ -142,6 +142,7 @@ def versions(statements: DataFrame, keys: list[str], value: str, at: str) -> Dat
 
 def remote_key(remote: Column) -> Column:
     """host/owner/project in lower case, of the spellings of a remote with scheme, user, port, ``.git`` or slashes."""
+    plain = remote.rlike(r"^[a-z0-9.-]+(/[a-z0-9_~.-]+)+$") & ~remote.endswith(".git")  # most need no further work
     r = F.lower(F.regexp_replace(remote, r"\s", ""))
     r = F.regexp_replace(r, r"^[a-z][a-z0-9+.-]*://", "")
     r = F.regexp_replace(r, r"^[^/@]*@", "")
@@ -149,7 +150,7 @@ def remote_key(remote: Column) -> Column:
     r = F.regexp_replace(r, r"^([^/:]+):", "$1/")
     r = F.regexp_replace(r, r"[?#].*$", "")
     r = F.regexp_replace(r, r"/+", "/")
-    return F.regexp_replace(r, r"(\.git|/)+$", "")
+    return F.when(plain, remote).otherwise(F.regexp_replace(r, r"(\.git|/)+$", ""))
 
 
 def commit_statements(repos: DataFrame, staleness: DataFrame) -> DataFrame:

@@ -130,4 +130,10 @@ def test_rows_of_unchanged_leaves_are_not_compared(spark):
 
 
 def test_leaves_grow_with_the_rows():
-    assert [H.depth_for(n) for n in (0, 128, 129, 2049, 10_000_000)] == [1, 1, 2, 3, 6]
+    assert [H.depth_for(n) for n in (0, 2047, 2048, 40_000, 10_000_000)] == [1, 1, 2, 3, 5]
+
+
+def test_plain_and_other_spellings_of_a_remote(spark):
+    spellings = ["host.example/own/name", "https://Host.example/own/name.git", "git@host.example:own/name", "ssh://git@host.example:22/own//name/", " host.example/own/name", "host.example/own/name.git", "HOST.example/own/name"]
+    got = spark.createDataFrame([(x,) for x in spellings], "r string").select(H.remote_key(F.col("r")).alias("k")).distinct().collect()
+    assert [r.k for r in got] == ["host.example/own/name"]
