@@ -51,7 +51,7 @@ def usable_vectors(spans: DataFrame, configs: DataFrame) -> DataFrame:
     return (
         spans.where(F.col("id").isNotNull() & v.isNotNull())
         .select("embed_model", "id", "embedding")
-        .join(wanted, "embed_model")
+        .join(F.broadcast(wanted), "embed_model")  # a row a model
         .where((F.size(v) == F.col("_dim")) & finite & F.exists(v, lambda x: x != 0))
         .groupBy("embed_model", "id", "nearest_k")
         .agg(F.min("embedding").alias("embedding"))
