@@ -106,7 +106,7 @@ def test_snapshots_are_compared_tree_by_tree(spark, monkeypatch):
         return compared[-1]
 
     monkeypatch.setattr(H, "changed_leaves", watched)
-    got = H.appended_by_snapshot(df.unionByName(df), ["k"], ["v"], "s", 4, 3)
+    got = H.appended_by_snapshot(df.unionByName(df), ["k"], ["v"], "s", 4, leaf_rows=1)  # 68 rows: three levels
     assert sorted((r.k, r.v, r.s) for r in got.collect()) == sorted(rows)
     found = {(r["_s"], r.node) for r in compared[0].collect()}
     assert found == {(r["_s"], r["_leaf"]) for r in placed.collect()}
