@@ -1,8 +1,9 @@
 """Ranked retrieval for many questions at once: vectors, weighted terms, fusion, decision, assembly.
 
-Questions are a stated set; corpora are not bounded. Each arm broadcasts the questions of a pass and scans the corpus;
-a task keeps the best of each question over all its rows, so that at most questions x limit x tasks rows are
-shuffled. Ranks are total: distance or score, then path, first line and id.
+Corpora are not bounded. Each arm broadcasts a stated set of questions and scans the corpus; a task keeps the best of each
+question over all its rows, so that at most questions x limit x tasks rows are shuffled. Sets of more than
+``MOST_BROADCAST`` questions meet the rows of their tenants (:mod:`millrace.operators.tenants`). Ranks are total: distance or
+score, then path, first line and id.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.functions import text as T
+from millrace.operators import tenants
+from millrace.session import cut
 
 #: Weights of a term in a symbol and in a text (fixed values).
 SYMBOL_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
 SYMBOL_TENTHS, TEXT_TENTHS = 10, 4
-#: Questions of one pass; more are asked in several passes.
-QUESTIONS_A_PASS = 20_000
+#: Questions that are broadcast; more meet the rows by tenant.
+MOST_BROADCAST = 20_000
 
 
 @dataclass(frozen=True)
@@ -117,13 +120,13 @@ def vector_topk(corpus: DataFrame, questions: DataFrame, limit: int) -> DataFram
     ``corpus``: ``tenant, id, path, start_line, embedding``; ``questions``: ``query_id, tenant, embedding``. Rows without a vector
     or with another width are no candidates; a zero vector has no direction: its distance is NaN and comes last.
     """
-    total = questions.where(F.col("embedding").isNotNull()).count()
-    passes = max(1, -(-total // QUESTIONS_A_PASS))
-    out = None
-    for i in range(passes):
-        part = questions.where(F.col("embedding").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)).collect()
-        one = _vector_pass(corpus, questions, [(r.query_id, r.tenant, r.embedding) for r in part], limit)
-        out = one if out is None else out.unionByName(one)
+    asked = questions.where(F.col("embedding").isNotNull() & F.col("tenant").isNotNull()).select("query_id", "tenant", "embedding")
+    if asked.count() > MOST_BROADCAST:
+        rows = corpus.where(F.col("embedding").isNotNull() & F.col("id").isNotNull()).select("tenant", F.size("embedding").alias("width"), "id", "path", F.col("start_line").cast("int").alias("start_line"), "embedding")
+        schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(corpus.dtypes)['id']}, path string, start_line int, similarity double"
+        out = tenants.by_tenant(rows, asked.withColumn("width", F.size("embedding")), tenants.cosine_score, limit, schema)
+    else:
+        out = _vector_pass(corpus, questions, [(r.query_id, r.tenant, r.embedding) for r in asked.collect()], limit)
     far = F.when(F.isnan("similarity"), float("inf")).otherwise(1 - F.col("similarity"))
     order = Window.partitionBy("query_id").orderBy(far, "path", "start_line", "id")
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
@@ -207,12 +210,16 @@ def _vector_pass(corpus: DataFrame, questions: DataFrame, asked: list[tuple], li
     return rows.mapInArrow(nearest, schema)
 
 
+def _words(column: str) -> Column:
+    """Letter and digit runs in lower case."""
+    return F.transform(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(r"([\p{L}\p{Nd}]+)"), 1), F.lower)
+
+
 def postings(spans: DataFrame, keys: list[str], symbol: str, text: str) -> DataFrame:
     """``keys, term, weight, tf``: letter and digit runs in lower case, of symbol and text; no stop words, no stems."""
-    words = lambda c: F.transform(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"([\p{L}\p{Nd}]+)"), 1), F.lower)
     both = F.concat(
-        F.transform(words(symbol), lambda w: F.struct(w.alias("term"), F.lit(SYMBOL_WEIGHT).alias("weight"))),
-        F.transform(words(text), lambda w: F.struct(w.alias("term"), F.lit(TEXT_WEIGHT).alias("weight"))),
+        F.transform(_words(symbol), lambda w: F.struct(w.alias("term"), F.lit(SYMBOL_WEIGHT).alias("weight"))),
+        F.transform(_words(text), lambda w: F.struct(w.alias("term"), F.lit(TEXT_WEIGHT).alias("weight"))),
     )
     return spans.select(*keys, F.explode(both).alias("_p")).groupBy(*keys, "_p.term", "_p.weight").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -242,14 +249,18 @@ def lexical_scan(corpus: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     """What :func:`lexical_topk` gives, by one scan of ``corpus`` (``tenant, id, path, start_line, symbol, text``) without an index.
 
     The questions' terms go to every task, each keeps the best of each question over all its rows; nothing is shuffled but
-    those. For a stated set of questions this saves the join in which frequent terms meet.
+    those. For a stated set of questions this saves the join in which frequent terms meet; a larger set meets the rows
+    of its tenants.
     """
-    passes = max(1, -(-asked.select("query_id").distinct().count() // QUESTIONS_A_PASS))
-    out = None
-    for i in range(passes):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).select("query_id", "tenant", "term").distinct().collect()
-        one = _lexical_pass(corpus, asked, [tuple(r) for r in rows], limit)
-        out = one if out is None else out.unionByName(one)
+    questions = asked.where(F.col("tenant").isNotNull() & (F.col("term") != "")).groupBy("query_id", "tenant").agg(F.collect_set("term").alias("terms"))
+    few = questions.limit(MOST_BROADCAST + 1).collect()
+    if len(few) > MOST_BROADCAST:
+        text = lambda c: F.array_join(_words(c), " ").alias(c)
+        rows = corpus.where(F.col("id").isNotNull()).select("tenant", F.lit(0).alias("width"), "id", "path", F.col("start_line").cast("int").alias("start_line"), text("symbol"), text("text"))
+        schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(corpus.dtypes)['id']}, path string, start_line int, tenths long"
+        out = tenants.by_tenant(rows, cut(questions.withColumn("width", F.lit(0))), tenants.terms_score({"symbol": SYMBOL_TENTHS, "text": TEXT_TENTHS}), limit, schema)
+    else:
+        out = _lexical_pass(corpus, asked, [(r.query_id, r.tenant, term) for r in few for term in r.terms], limit)
     order = Window.partitionBy("query_id").orderBy(F.desc("tenths"), "path", "start_line", "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", (F.col("tenths") / 10).alias("score"))
 
@@ -315,8 +326,7 @@ def _lexical_pass(corpus: DataFrame, asked: DataFrame, wanted: list[tuple], limi
                 out = pa.table([pa.array([queries[i] for i in rows["question"].to_pylist()], query_type), rows["id"], rows["path"], rows["start_line"], tenths], names=["query_id", "id", "path", "start_line", "tenths"])
                 yield from out.to_batches(max_chunksize=10_000)
 
-    words = lambda c: F.transform(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"([\p{L}\p{Nd}]+)"), 1), F.lower)
-    return corpus.where(F.col("id").isNotNull()).select("tenant", "id", "path", F.col("start_line").cast("int"), words("symbol").alias("symbol"), words("text").alias("text")).mapInArrow(best, schema)
+    return corpus.where(F.col("id").isNotNull()).select("tenant", "id", "path", F.col("start_line").cast("int"), _words("symbol").alias("symbol"), _words("text").alias("text")).mapInArrow(best, schema)
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, places: DataFrame, fusion: Fusion, limit: int) -> DataFrame:

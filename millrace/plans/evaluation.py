@@ -57,11 +57,11 @@ def gold_lenient_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cases, spans, terms asked)"""
+    """(cases, spans, terms asked); cases and spans are grouped once, as they are read several times."""
     spans = table(spark, sf, "spans").where("start_line BETWEEN 1 AND end_line AND text IS NOT NULL").groupBy("id").agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "symbol", "start_line", "end_line", "text")])
     whole = table(spark, sf, "cases").where("raw_start BETWEEN 1 AND raw_end AND question IS NOT NULL")
     cases = whole.groupBy(F.col("id").alias("query_id")).agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "symbol", "doc_of", "question")], F.max("grouped").alias("grouped"), F.min("raw_start").alias("start_line"), F.min("raw_end").alias("end_line"), F.min("start_line").alias("_from"))
-    cases = cases.withColumn("moved", F.col("_from") != F.col("start_line")).drop("_from")
+    cases, spans = cut(cases.withColumn("moved", F.col("_from") != F.col("start_line")).drop("_from")), cut(spans)
     return cases, spans, R.question_terms(cases.select("query_id", F.col("repo_id").alias("tenant"), F.col("question").alias("q")))
 
 
