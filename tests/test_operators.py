@@ -73,6 +73,17 @@ def test_breadth_first_equals_recursion(spark, seed, depth):
     assert rows(graph.callers(table, targets, depth)) == rows(graph.callers_recursive(table, targets, depth))
 
 
+def test_recursive_callers_have_no_row_limit(spark):
+    table, targets = edge_table(spark, [(f"n{i}", "n0", "p", i) for i in range(1, 9)]), spark.createDataFrame([("n0",)], "target string")
+    most = spark.conf.get(graph.ROW_LIMIT)
+    spark.conf.set(graph.ROW_LIMIT, "5")
+    try:
+        assert graph.callers_recursive(table, targets, 2).count() == 8
+        assert spark.conf.get(graph.ROW_LIMIT) == "5"
+    finally:
+        spark.conf.set(graph.ROW_LIMIT, most)
+
+
 def test_edges_are_checked(spark):
     bad = spark.createDataFrame([("1", None, "resolved")], "id string, to_id string, provenance string")
     with pytest.raises(Exception, match="edge 1"):
