@@ -329,18 +329,20 @@ def _lexical_pass(corpus: DataFrame, asked: DataFrame, wanted: list[tuple], limi
     return corpus.where(F.col("id").isNotNull()).select("tenant", "id", "path", F.col("start_line").cast("int"), _words("symbol").alias("symbol"), _words("text").alias("text")).mapInArrow(best, schema)
 
 
-def fuse(vector: DataFrame, lexical: DataFrame, places: DataFrame, fusion: Fusion, limit: int) -> DataFrame:
+def fuse(vector: DataFrame, lexical: DataFrame, places: DataFrame | None, fusion: Fusion, limit: int) -> DataFrame:
     """Weighted reciprocal-rank fusion: ``query_id, rank, id, score, vector_score, vector_rank, lexical_rank``.
 
     An arm that did not return a span adds nothing and has rank 0; a weight of 0 keeps the arm's rows. ``places``: ``id, path,
-    start_line`` for the ties.
+    start_line`` for the ties; without them ties go by id.
     """
     v = vector.select("query_id", "id", F.col("rank").alias("vector_rank"), F.col("similarity").alias("vector_score"))
     lex = lexical.select("query_id", "id", F.col("rank").alias("lexical_rank"))
     share = lambda w, r: F.when(F.col(r).isNull(), 0.0).otherwise(F.lit(w) / (F.lit(fusion.k) + F.col(r)))
-    both = v.join(lex, ["query_id", "id"], "full").withColumn("score", share(fusion.vector, "vector_rank") + share(fusion.lexical, "lexical_rank"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line", "id")
-    ranked = both.join(places, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    arms = v.unionByName(lex, allowMissingColumns=True).repartition("query_id")  # for the span and for the rank, in one
+    both = arms.groupBy("query_id", "id").agg(*[F.max(c).alias(c) for c in ("vector_rank", "vector_score", "lexical_rank")])
+    both = both.withColumn("score", share(fusion.vector, "vector_rank") + share(fusion.lexical, "lexical_rank"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *(["id"] if places is None else ["path", "start_line", "id"]))
+    ranked = (both if places is None else both.join(places, "id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return ranked.select("query_id", "rank", "id", "score", "vector_score", F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), F.coalesce("lexical_rank", F.lit(0)).alias("lexical_rank"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import alerts, evaluate, queue
@@ -79,28 +79,44 @@ def case_records(spark: SparkSession, sf: str) -> DataFrame:
     return found.orderBy("path", "start_line", "symbol", "doc_of", "query_id").select(*RECORD)
 
 
-def _hybrid_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by both arms; texts and questions are embedded by hashed words, whatever vectors are stored."""
-    cases, spans, asked = _recorded(spark, sf)
+def _both_arms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases, spans, hits of both arms); texts and questions are embedded by hashed words, whatever vectors are stored.
+
+    Hits are those of the fused or of the lexical order within ``LIMIT``, with the best similarity of their question,
+    ``top_score``. Spans are numbered in the order of path, first line and id, so that every tie goes by their number, and
+    cases are numbered too: only numbers are sent about between the arms.
+    """
+    cases, spans, _ = _recorded(spark, sf)
+    numbered = cut(spans.where("id IS NOT NULL").orderBy("path", "start_line", "id").withColumn("n", F.monotonically_increasing_id()))
+    asked = cut(cases.select("query_id", F.monotonically_increasing_id().alias("q"), F.col("repo_id").alias("tenant"), "question"))
     embed = hashed_bow(64)
-    corpus = cut(spans.withColumns({"tenant": F.col("repo_id"), "embedding": embed(F.concat_ws(" ", "symbol", "text"))}))
-    questions = cases.select("query_id", F.col("repo_id").alias("tenant"), embed("question").alias("embedding"))
-    vector, lexical = cut(R.vector_topk(corpus, questions, DEPTH)), cut(R.lexical_scan(corpus, asked, DEPTH))
-    hits = R.fuse(vector, lexical, corpus.select("id", "path", "start_line"), R.Fusion(), LIMIT)
-    top = vector.where("rank = 1").select("query_id", F.col("similarity").alias("top_score"))
-    return evaluate.records(cases, spans, hits, R.Budget(), FLOOR, top)
+    corpus = numbered.select(F.col("n").alias("id"), F.col("repo_id").alias("tenant"), F.lit("").alias("path"), F.lit(0).alias("start_line"), "symbol", "text")
+    vectors = corpus.withColumn("embedding", embed(F.concat_ws(" ", "symbol", "text")))
+    questions = asked.select(F.col("q").alias("query_id"), "tenant", embed("question").alias("embedding"))
+    terms = R.question_terms(asked.select(F.col("q").alias("query_id"), "tenant", F.col("question").alias("q")))
+    both = R.fuse(R.vector_topk(vectors, questions, DEPTH), R.lexical_scan(corpus, terms, DEPTH), None, R.Fusion(), 2 * DEPTH)
+    top = F.max(F.when(F.col("vector_rank") == 1, F.col("vector_score"))).over(Window.partitionBy("query_id"))
+    # The best similarity is null where the vector arm found nothing.
+    hits = both.withColumn("top_score", top).where((F.col("rank") <= LIMIT) | F.col("lexical_rank").between(1, LIMIT)).select(F.col("query_id").alias("q"), F.col("id").alias("n"), "rank", "vector_rank", "lexical_rank", "top_score")
+    hits = hits.join(numbered.select("n", "id"), "n").join(asked.select("q", "query_id"), "q")
+    return cases, spans, cut(hits.drop("n", "q"))
+
+
+def _hybrid_records(cases: DataFrame, spans: DataFrame, hits: DataFrame) -> DataFrame:
+    top = hits.where("rank = 1 AND top_score IS NOT NULL").select("query_id", "top_score")
+    return evaluate.records(cases, spans, hits.where(F.col("rank") <= LIMIT).drop("top_score"), R.Budget(), FLOOR, top)
 
 
 def case_records_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid_records(spark, sf).select(*RECORD, "gold_vector_rank", "gold_lexical_rank", "top_score", "vector_ran")
+    return _hybrid_records(*_both_arms(spark, sf)).select(*RECORD, "gold_vector_rank", "gold_lexical_rank", "top_score", "vector_ran")
 
 
 def arm_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """One run of both arms over all cases: the summary of each with lenient and strict scores and who found the gold."""
-    hybrid = _hybrid_records(spark, sf)
-    cases, spans, asked = _recorded(spark, sf)
-    hits = R.lexical_scan(spans.withColumn("tenant", F.col("repo_id")), asked, LIMIT).select("query_id", "rank", "id", F.lit(0).alias("vector_rank"), F.col("rank").alias("lexical_rank"))
-    alone = evaluate.records(cases, spans, hits, R.Budget(), FLOOR)
+    cases, spans, hits = _both_arms(spark, sf)
+    hybrid = _hybrid_records(cases, spans, hits)
+    lexical = hits.where(F.col("lexical_rank").between(1, LIMIT)).select("query_id", F.col("lexical_rank").alias("rank"), "id", F.lit(0).alias("vector_rank"), "lexical_rank")
+    alone = evaluate.records(cases, spans, lexical, R.Budget(), FLOOR)
     both = alone.withColumn("mode", F.lit("lexical")).unionByName(hybrid.withColumn("mode", F.lit("hybrid")))
     return evaluate.summaries(both, ["mode"]).withColumn("floor_applicable", F.col("mode") != "lexical")
 

@@ -35,3 +35,15 @@ def test_terms(spark, parts, seed):
         expected = rows(R.lexical_topk(index, terms, limit))
         assert expected and rows(R.lexical_scan(spans, terms, limit)) == expected
     assert R.lexical_scan(spans.where(F.lit(False)), terms, 4).count() == 0
+
+
+def test_vectors(spark, parts):
+    r = random.Random(3)
+    vectors = [[1.0, 0.0], [0.0, 0.0], [0.6, 0.8], [3.0, 4.0], [-1.0, 0.5], [1.0], None]
+    rows = [(r.choice(["t", "t", "u", None]), f"s{i:02}", r.choice(["a", None]), r.randrange(3), r.choice(vectors)) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "tenant string, id string, path string, start_line int, embedding array<float>")
+    asked = spark.createDataFrame([(q, r.choice(["t", "u", "none", None]), r.choice(vectors)) for q in range(20)], "query_id int, tenant string, embedding array<float>")
+    met = {limit: sorted((*x[:3], repr(round(x[3], 6))) for x in R.vector_topk(corpus, asked, limit).collect()) for limit in (1, 5, 50)}
+    R.MOST_BROADCAST = 100  # put back by the fixture
+    for limit, found in met.items():
+        assert found and found == sorted((*x[:3], repr(round(x[3], 6))) for x in R.vector_topk(corpus, asked, limit).collect())
