@@ -47,3 +47,15 @@ def test_vectors(spark, parts):
     R.MOST_BROADCAST = 100  # put back by the fixture
     for limit, found in met.items():
         assert found and found == sorted((*x[:3], repr(round(x[3], 6))) for x in R.vector_topk(corpus, asked, limit).collect())
+
+
+def test_arms_compared(spark, sf, monkeypatch):
+    from millrace.plans import evaluation
+
+    scans = []
+    scan = R.lexical_scan
+    monkeypatch.setattr(R, "lexical_scan", lambda *a: scans.append(1) or scan(*a))
+    got = {r["mode"]: r for r in evaluation.arm_comparison(spark, sf).collect()}
+    assert len(scans) == 1  # both summaries from one scan
+    alone = evaluation.case_records(spark, sf).selectExpr("count(*) AS cases", "count_if(answer_has_gold AND scoreable) AS good", "count_if(scoreable AND gold_rank > 0) AS found").first()
+    assert (got["lexical"].cases, got["lexical"].answers_with_gold, got["lexical"].gold_found_by_lexical_only) == tuple(alone) and got["hybrid"].cases == alone.cases
