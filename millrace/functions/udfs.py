@@ -30,23 +30,24 @@ def hashed_bow(dim: int):
     if dim < 1:
         raise ValueError("dim must be at least 1")
 
+    class Buckets(dict):
+        def __missing__(self, word: str) -> int:
+            self[word] = at = fnv1a(word.encode()) % dim
+            return at
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-        out = []
-        for t in texts:
-            tokens = TOKEN.findall(t.lower()) if t is not None else []
-            if not tokens:
-                out.append(None)
-                continue
-            v = np.zeros(dim, np.float32)
-            for w in tokens:
-                at = known.get(w)
-                if at is None:
-                    at = known[w] = fnv1a(w.encode()) % dim
-                v[at] += 1
-            out.append(v / np.float32(np.sqrt(np.float64((v.astype(np.float64) ** 2).sum()))))
-        return pd.Series(out)
+        bucket = Buckets().__getitem__
+        out: list[np.ndarray | None] = []
+        for first in range(0, len(texts), 1_000):
+            tokens = [TOKEN.findall(t.lower()) if t is not None else [] for t in texts.iloc[first : first + 1_000]]
+            length = np.array([len(x) for x in tokens])
+            at = np.fromiter((bucket(w) for x in tokens for w in x), np.int64, int(length.sum()))
+            v = np.bincount(np.repeat(np.arange(len(tokens)) * dim, length) + at, minlength=len(tokens) * dim).reshape(-1, dim)
+            norm = np.sqrt((v.astype(np.float64) ** 2).sum(1)).astype(np.float32)
+            unit = v.astype(np.float32) / np.where(length, norm, 1)[:, None].astype(np.float32)
+            out += [u if n else None for u, n in zip(unit, length)]
+        return pd.Series(out, dtype=object)
 
     return embed
 

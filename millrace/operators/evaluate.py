@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -96,29 +96,48 @@ def records(cases: DataFrame, spans: DataFrame, hits: DataFrame, budget: Budget,
     the other's rank 0; ``top``: ``query_id, top_score`` of cases whose vector arm ran. A case that no span meets is not
     scoreable. A hit counts as gold if it meets the case's lines (lenient) or is the one that shares most of them (strict).
     """
+    out = scored(cases, spans, hits, budget)
+    out = out.join(top.withColumn("vector_ran", F.lit(True)), "query_id", "left").withColumn("vector_ran", F.coalesce("vector_ran", F.lit(False))) if top is not None else out.withColumns({"top_score": F.lit(None).cast("double"), "vector_ran": F.lit(False)})
+    return decide(out, floor)
+
+
+def scored(cases: DataFrame, spans: DataFrame, hits: DataFrame, budget: Budget, modes: dict[str, Column] | None = None) -> DataFrame:
+    """:func:`records` without the decision.
+
+    With ``modes``, structs of ``rank, vector_rank, lexical_rank`` over ``hits``, there is a record for each case and ``mode``, of
+    the hits whose rank there is above 0. Hits are sent to their case once, however many modes there are.
+    """
     ranges = spans.select("repo_id", "path", "id", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
     met = overlapping(cases.select("query_id", "repo_id", "path", "start_line", "end_line"), ranges, ["repo_id", "path"]).dropDuplicates(["query_id", "id"])
     shared = F.least("end_line", "r_end") - F.greatest("start_line", "r_start") + 1
-    of_case = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold"), F.min(F.struct((-shared).alias("s"), F.col("r_start").alias("a"), F.col("r_end").alias("b"), "id")).alias("_best"))
-    ranked = hits.join(met.select("query_id", "id", F.lit(True).alias("_g")), ["query_id", "id"], "left").join(of_case.select("query_id", F.col("_best.id").alias("_strict")), "query_id", "left")
-    ranked = ranked.join(spans.select("id", F.octet_length("text").alias("_size")), "id", "left")
-    by_rank = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    of_case = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold"), F.min(F.struct((-shared).alias("s"), F.col("r_start").alias("a"), F.col("r_end").alias("b"), "id")).alias("_best"), F.collect_list("id").alias("_met"))
+    sized = hits.join(spans.where("id IS NOT NULL").select("id", F.octet_length("text").alias("_size")), "id", "left")
+    ranked = sized.join(of_case.select("query_id", "_met", F.col("_best.id").alias("_strict")), "query_id", "left")
+    ranked = ranked.withColumn("_g", F.coalesce(F.array_contains("_met", F.col("id")), F.lit(False))).drop("_met")
+    by = ["query_id"]
+    if modes:
+        by.append("mode")
+        runs = F.array(*[F.struct(F.lit(mode).alias("mode"), *[at[c].alias(c) for c in ("rank", "vector_rank", "lexical_rank")]) for mode, at in modes.items()])
+        ranked = ranked.withColumn("_r", F.explode(F.filter(runs, lambda r: r["rank"] > 0))).select("query_id", "id", "_size", "_g", "_strict", "_r.*")
+    by_rank = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     there = F.col("_size").isNotNull()
     ranked = ranked.withColumns({"_n": F.count("_size").over(by_rank), "_total": F.sum(F.coalesce("_size", F.lit(0))).over(by_rank)})
     over = there & (F.col("_n") > 1) & ((F.col("_n") > budget.spans) | (F.col("_total") > budget.size))
     ranked = ranked.withColumn("_cited", there & (F.coalesce(F.max(over.cast("int")).over(by_rank), F.lit(0)) == 0))
-    gold, strict = F.coalesce("_g", F.lit(False)), F.coalesce(F.col("id") == F.col("_strict"), F.lit(False))
-    first = F.min(F.when(gold, F.struct("rank", "vector_rank", "lexical_rank")))
-    found = ranked.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("hits"), first.alias("_first"), F.min(F.when(strict, F.col("rank"))).alias("gold_rank_strict"), F.count_if(gold).alias("gold_found"),
-        F.coalesce(F.max(gold & F.col("_cited")), F.lit(False)).alias("answer_has_gold"), F.count_if("_cited").alias("citations"),
+    strict = F.coalesce(F.col("id") == F.col("_strict"), F.lit(False))
+    first = F.min(F.when(F.col("_g"), F.struct("rank", "vector_rank", "lexical_rank")))
+    found = ranked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("hits"), first.alias("_first"), F.min(F.when(strict, F.col("rank"))).alias("gold_rank_strict"), F.count_if("_g").alias("gold_found"),
+        F.coalesce(F.max(F.col("_g") & F.col("_cited")), F.lit(False)).alias("answer_has_gold"), F.count_if("_cited").alias("citations"),
     )
-    out = cases.join(found, "query_id", "left").join(of_case.drop("_best"), "query_id", "left")
+    out = cases.join(of_case.select("query_id", "gold"), "query_id", "left")
+    if modes:
+        out = out.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    out = out.join(found, by, "left")
     for c in ("rank", "vector_rank", "lexical_rank"):
         out = out.withColumn(f"gold_{c}", F.coalesce(F.col(f"_first.{c}"), F.lit(0)))
-    out = out.drop("_first").na.fill(0, ["hits", "gold_rank_strict", "gold_found", "citations", "gold"]).withColumns({"answer_has_gold": F.coalesce("answer_has_gold", F.lit(False)), "scoreable": F.col("gold") > 0})
-    out = out.join(top.withColumn("vector_ran", F.lit(True)), "query_id", "left").withColumn("vector_ran", F.coalesce("vector_ran", F.lit(False))) if top is not None else out.withColumns({"top_score": F.lit(None).cast("double"), "vector_ran": F.lit(False)})
-    return decide(out, floor)
+    out = out.drop("_first").na.fill(0, ["hits", "gold_rank_strict", "gold_found", "citations", "gold"])
+    return out.withColumns({"answer_has_gold": F.coalesce("answer_has_gold", F.lit(False)), "scoreable": F.col("gold") > 0})
 
 
 def order_statistics(values: DataFrame, keys: list[str], value: str, ranks: dict[str, float], low: float, high: float) -> DataFrame:

@@ -26,6 +26,7 @@ from millrace.session import cut
 #: Weights of a term in a symbol and in a text (fixed values).
 SYMBOL_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
 SYMBOL_TENTHS, TEXT_TENTHS = 10, 4
+TENTHS = {"symbol": SYMBOL_TENTHS, "text": TEXT_TENTHS}
 #: Questions that are broadcast; more meet the rows by tenant.
 MOST_BROADCAST = 20_000
 
@@ -127,9 +128,13 @@ def vector_topk(corpus: DataFrame, questions: DataFrame, limit: int) -> DataFram
         out = tenants.by_tenant(rows, asked.withColumn("width", F.size("embedding")), tenants.cosine_score, limit, schema)
     else:
         out = _vector_pass(corpus, questions, [(r.query_id, r.tenant, r.embedding) for r in asked.collect()], limit)
+    return _nearest(out, limit, "path", "start_line", "id")
+
+
+def _nearest(found: DataFrame, limit: int, *ties: str) -> DataFrame:
     far = F.when(F.isnan("similarity"), float("inf")).otherwise(1 - F.col("similarity"))
-    order = Window.partitionBy("query_id").orderBy(far, "path", "start_line", "id")
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    order = Window.partitionBy("query_id").orderBy(far, *ties)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return ranked.select("query_id", "rank", "id", F.col("similarity").cast("float").cast("double").alias("similarity"))
 
 
@@ -215,6 +220,11 @@ def _words(column: str) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(r"([\p{L}\p{Nd}]+)"), 1), F.lower)
 
 
+def _spaced(column: str) -> Column:
+    """The words between single spaces."""
+    return F.array_join(_words(column), " ").alias(column)
+
+
 def postings(spans: DataFrame, keys: list[str], symbol: str, text: str) -> DataFrame:
     """``keys, term, weight, tf``: letter and digit runs in lower case, of symbol and text; no stop words, no stems."""
     both = F.concat(
@@ -255,14 +265,17 @@ def lexical_scan(corpus: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     questions = asked.where(F.col("tenant").isNotNull() & (F.col("term") != "")).groupBy("query_id", "tenant").agg(F.collect_set("term").alias("terms"))
     few = questions.limit(MOST_BROADCAST + 1).collect()
     if len(few) > MOST_BROADCAST:
-        text = lambda c: F.array_join(_words(c), " ").alias(c)
-        rows = corpus.where(F.col("id").isNotNull()).select("tenant", F.lit(0).alias("width"), "id", "path", F.col("start_line").cast("int").alias("start_line"), text("symbol"), text("text"))
+        rows = corpus.where(F.col("id").isNotNull()).select("tenant", F.lit(0).alias("width"), "id", "path", F.col("start_line").cast("int").alias("start_line"), _spaced("symbol"), _spaced("text"))
         schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(corpus.dtypes)['id']}, path string, start_line int, tenths long"
-        out = tenants.by_tenant(rows, cut(questions.withColumn("width", F.lit(0))), tenants.terms_score({"symbol": SYMBOL_TENTHS, "text": TEXT_TENTHS}), limit, schema)
+        out = tenants.by_tenant(rows, cut(questions.withColumn("width", F.lit(0))), tenants.terms_score(TENTHS), limit, schema)
     else:
         out = _lexical_pass(corpus, asked, [(r.query_id, r.tenant, term) for r in few for term in r.terms], limit)
-    order = Window.partitionBy("query_id").orderBy(F.desc("tenths"), "path", "start_line", "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", (F.col("tenths") / 10).alias("score"))
+    return _most(out, limit, "path", "start_line", "id")
+
+
+def _most(found: DataFrame, limit: int, *ties: str) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("tenths"), *ties)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", (F.col("tenths") / 10).alias("score"))
 
 
 def _asked(rows: list[tuple]) -> tuple[list, list[str], np.ndarray, np.ndarray]:
@@ -346,6 +359,38 @@ def fuse(vector: DataFrame, lexical: DataFrame, places: DataFrame | None, fusion
     return ranked.select("query_id", "rank", "id", "score", "vector_score", F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), F.coalesce("lexical_rank", F.lit(0)).alias("lexical_rank"))
 
 
+def both_arms(corpus: DataFrame, questions: DataFrame, depth: int, fusion: Fusion, limit: int) -> DataFrame:
+    """``query_id, id, rank, vector_rank, lexical_rank, top_score`` of what is within ``limit`` of the fused or of the lexical order.
+
+    Both arms go ``depth`` deep; ``top_score`` is the best similarity of the question, null where the vector arm found nothing.
+    ``corpus``: ``tenant, id, symbol, text, embedding`` with numbers as ids, whose order decides ties; ``questions``: ``query_id,
+    tenant, q, embedding``, all vectors of one width. Many questions meet the rows of their tenant once for both arms.
+    """
+    asked = questions.where(F.col("tenant").isNotNull() & F.col("query_id").isNotNull())
+    rows = corpus.where(F.col("id").isNotNull()).withColumns({"path": F.lit(""), "start_line": F.lit(0)})
+
+    def leading(vector: DataFrame, lexical: DataFrame) -> DataFrame:
+        top = F.max(F.when(F.col("vector_rank") == 1, F.col("vector_score"))).over(Window.partitionBy("query_id"))
+        both = fuse(vector, lexical, None, fusion, 2 * depth).withColumn("top_score", top)
+        return both.where((F.col("rank") <= limit) | F.col("lexical_rank").between(1, limit)).select("query_id", "id", "rank", "vector_rank", "lexical_rank", "top_score")
+
+    if asked.count() <= MOST_BROADCAST:
+        return cut(leading(vector_topk(rows, asked, depth), lexical_scan(rows, question_terms(asked), depth)))
+    terms = F.filter(T.terms(F.col("q"), True), lambda w: w != "").alias("terms")
+    width = F.lit(0).alias("width")
+    schema = "query_id long, id long, whole boolean, rank int, vector_rank int, lexical_rank int, top_score double, similarity double, tenths long"
+    met = cut(tenants.by_tenant(
+        rows.select("tenant", width, F.col("id").cast("long").alias("id"), "path", "start_line", _spaced("symbol"), _spaced("text"), "embedding"),
+        asked.select("tenant", width, F.col("query_id").cast("long").alias("query_id"), terms, "embedding"),
+        tenants.arms_score(TENTHS, depth, fusion.k, fusion.vector, fusion.lexical), limit, schema, (tenants.QUESTIONS_OF_ARMS, tenants.ROWS_OF_ARMS),
+    ))
+    done, parts = met.where("whole").drop("whole", "similarity", "tenths"), met.where("NOT whole")
+    if not parts.limit(1).count():
+        return done
+    vector, lexical = _nearest(parts.where("similarity IS NOT NULL"), depth, "id"), _most(parts.where("tenths IS NOT NULL"), depth, "id")
+    return done.unionByName(cut(leading(vector, lexical)))
+
+
 def decide(summary: DataFrame, floor: float) -> DataFrame:
     """``outcome, reason`` for rows with ``hits, top_score, vector_ran``; a score on the floor is good enough."""
     top = F.col("top_score").cast("float").cast("double")

@@ -19,6 +19,10 @@ from millrace.session import cut
 
 #: Questions and rows of one part of a large tenant, rows of a group of small ones.
 QUESTIONS_A_PART, ROWS_A_PART, ROWS_A_GROUP = 16_000, 32_000, 8_000
+#: The same where both arms are asked at once: they are fused where they meet unless the rows of a tenant are cut.
+QUESTIONS_OF_ARMS, ROWS_OF_ARMS = 8_000, 128_000
+#: Rows whose words are looked up at once.
+ROWS_A_BLOCK = 16_000
 #: Scores held at once.
 SCORES_A_BLOCK = 4_000_000
 #: A term that this share of all pairs has is multiplied as a matrix, a rarer one is added where it occurs.
@@ -27,22 +31,28 @@ DENSE_SHARE = 0.001
 MARGIN = 1e-4
 
 Score = Callable[[pa.Table, pa.Table, int], pa.Table]
+#: (question, row, value) of the best of one tenant, of where its questions and its rows are and how many.
+Best = Callable[[int, int, int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def by_tenant(corpus: DataFrame, questions: DataFrame, score: Score, limit: int, schema: str) -> DataFrame:
+def by_tenant(corpus: DataFrame, questions: DataFrame, score: Score, limit: int, schema: str, parts: tuple[int, int] | None = None) -> DataFrame:
     """What ``score(questions, rows, limit)`` gives of each group. Both frames have ``tenant, width``, which must agree in a pair.
 
-    ``corpus`` has ``id``, ``questions`` ``query_id``. A question of a large tenant is answered once for each part of its rows.
+    ``corpus`` has ``id``, ``questions`` ``query_id``. A question of a large tenant is answered once for each part of its rows;
+    the rows that ``score`` gets have ``whole``, false where they are only a part of their tenant's. ``parts``: most questions
+    and rows of a part.
     """
+    most_questions, most_rows = parts or (QUESTIONS_A_PART, ROWS_A_PART)
     counts = corpus.groupBy("tenant").agg(F.count(F.lit(1)).alias("_n"))
     groups = max(1, -(-(counts.agg(F.sum("_n")).first()[0] or 0) // ROWS_A_GROUP))
     asked = questions.groupBy("tenant").agg(F.count(F.lit(1)).alias("_q"))
-    large = asked.join(counts, "tenant").where((F.col("_q") > QUESTIONS_A_PART) | (F.col("_n") > ROWS_A_PART))
+    large = asked.join(counts, "tenant").where((F.col("_q") > most_questions) | (F.col("_n") > most_rows))
     # At most one for each part's worth of questions or rows.
-    large = F.broadcast(cut(large.select("tenant", F.ceil(F.col("_q") / QUESTIONS_A_PART).alias("_qs"), F.ceil(F.col("_n") / ROWS_A_PART).alias("_rs"))))
+    large = F.broadcast(cut(large.select("tenant", F.ceil(F.col("_q") / most_questions).alias("_qs"), F.ceil(F.col("_n") / most_rows).alias("_rs"))))
 
     def placed(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         met = df.join(large, "tenant", "left").withColumns({
+            "whole": F.coalesce("_rs", F.lit(1)) == 1,
             "_g": F.when(F.col("_qs").isNull(), F.pmod(F.xxhash64("tenant"), F.lit(groups))).otherwise(F.xxhash64("tenant")),
             f"{own}_part": F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))),
         })
@@ -130,29 +140,37 @@ def terms_score(weights: dict[str, int]) -> Score:
 
     def score(questions: pa.Table, rows: pa.Table, limit: int) -> pa.Table:
         questions, rows, pairs = _pairs(questions, rows)
-        lists = _flat(questions, "terms")
-        words = lists.flatten()
-        vocabulary = pc.unique(words)
-        asked = pc.index_in(words, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        size, met, weight = max(1, len(vocabulary)), [], []
+        best = _terms(questions, rows, weights)
+        return _table(questions, rows, [best(*at, limit) for at in pairs], "tenths", pa.int64())
+
+    return score
+
+
+def _terms(questions: pa.Table, rows: pa.Table, weights: dict[str, int]) -> Best:
+    lists = _flat(questions, "terms")
+    words = lists.flatten()
+    vocabulary = pc.unique(words)
+    asked = pc.index_in(words, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    size, held = max(1, len(vocabulary)), []
+    for first in range(0, max(1, rows.num_rows), ROWS_A_BLOCK):
+        met, weight = [], []
         for column, w in weights.items():
-            split = pc.split_pattern(_flat(rows, column), " ")
+            split = pc.split_pattern(_flat(rows.slice(first, ROWS_A_BLOCK), column), " ")
             term = pc.index_in(split.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(split)), split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(first, first + len(split)), split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             met.append((row * size + term)[term >= 0])
             weight.append(np.full(len(met[-1]), w, np.float64))
         pair, at = np.unique(np.concatenate(met), return_inverse=True)
-        weight = np.bincount(at, weights=np.concatenate(weight), minlength=len(pair))
-        row, term = pair // size, pair % size
-        found = []
-        for qa, qb, ra, rb in pairs:
-            lo, hi = np.searchsorted(row, (ra, rb))
-            q, r, value = _best_terms(asked[ends[qa] : ends[qb]], np.diff(ends[qa : qb + 1]), row[lo:hi] - ra, term[lo:hi], weight[lo:hi], rb - ra, limit)
-            found.append((q + qa, r + ra, value))
-        return _table(questions, rows, found, "tenths", pa.int64())
+        held.append(((pair // size).astype(np.int32), (pair % size).astype(np.int32), np.bincount(at, weights=np.concatenate(weight), minlength=len(pair))))
+    row, term, weight = (np.concatenate(x) for x in zip(*held))
 
-    return score
+    def best(qa: int, qb: int, ra: int, rb: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lo, hi = np.searchsorted(row, (ra, rb))
+        q, r, value = _best_terms(asked[ends[qa] : ends[qb]], np.diff(ends[qa : qb + 1]), row[lo:hi] - ra, term[lo:hi], weight[lo:hi], rb - ra, limit)
+        return q + qa, r + ra, value
+
+    return best
 
 
 def _best_terms(asked: np.ndarray, lengths: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,12 +214,16 @@ def _best_terms(asked: np.ndarray, lengths: np.ndarray, row: np.ndarray, term: n
 def cosine_score(questions: pa.Table, rows: pa.Table, limit: int) -> pa.Table:
     """Cosine of ``embedding``, ``width`` wide; NaN, which comes last, where one has no direction."""
     questions, rows, pairs = _pairs(questions, rows)
-    found = []
-    for qa, qb, ra, rb in pairs:
-        (q, q_norm, q_unit), (v, v_norm, v_unit) = (_vectors(t, a, b) for t, a, b in ((questions, qa, qb), (rows, ra, rb)))
-        best = _Top(qb - qa, limit)
-        for first in range(0, rb - ra, step := max(64, SCORES_A_BLOCK // (qb - qa))):
-            near = np.nan_to_num(q_unit @ v_unit[first : first + step].T, nan=-3.0)
+    best = _cosines(questions, rows)
+    return _table(questions, rows, [best(*at, limit) for at in pairs], "similarity", pa.float64())
+
+
+def _cosines(questions: pa.Table, rows: pa.Table) -> Best:
+    def nearest(qa: int, qb: int, ra: int, rb: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (q_at, q, q_norm, q_unit), (v_at, v, v_norm, v_unit) = (_vectors(t, a, b) for t, a, b in ((questions, qa, qb), (rows, ra, rb)))
+        best = _Top(len(q_at), limit)
+        for first in range(0, len(v_at) if len(q_at) else 0, step := max(64, SCORES_A_BLOCK // max(1, len(q_at)))):
+            near = np.nan_to_num(q_unit @ v_unit[first : first + step].T, copy=False, nan=-3.0)
             question, r = _chosen(near, (1 + best.edge - MARGIN).astype(np.float32), limit, MARGIN)
             for at in range(0, len(question), 100_000):  # each pair by itself, so that equal vectors are equally far
                 i, j = question[at : at + 100_000], r[at : at + 100_000] + first
@@ -209,13 +231,61 @@ def cosine_score(questions: pa.Table, rows: pa.Table, limit: int) -> pa.Table:
                     far = 1 - (q[i] * v[j]).sum(1) / (q_norm[i] * v_norm[j])
                 best.add(i, j, -np.where(np.isnan(far), np.inf, far))
         i, j, value = best.rows()
-        found.append((i + qa, j + ra, np.where(np.isinf(value), np.nan, 1 + value)))
-    return _table(questions, rows, found, "similarity", pa.float64())
+        return q_at[i], v_at[j], np.where(np.isinf(value), np.nan, 1 + value)
+
+    return nearest
 
 
-def _vectors(table: pa.Table, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vectors, their norms, unit vectors in single precision) of some rows."""
-    v = _flat(table.slice(first, last - first), "embedding").flatten().to_numpy(zero_copy_only=False).reshape(last - first, -1).astype(np.float64)
+def _vectors(table: pa.Table, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(where one is, vectors, their norms, unit vectors in single precision) of some rows."""
+    lists = _flat(table.slice(first, last - first), "embedding")
+    at = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+    v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    v = v.reshape(len(at), len(v) // max(1, len(at)))
     norm = np.sqrt((v * v).sum(1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        return v, norm, (v / norm[:, None]).astype(np.float32)
+        return at + first, v, norm, (v / norm[:, None]).astype(np.float32)
+
+
+def arms_score(weights: dict[str, int], depth: int, k: float, vector: float, lexical: float) -> Score:
+    """Both arms, ``depth`` deep: what is within ``limit`` of the fused or of the lexical order, as :func:`retrieval.fuse` orders it.
+
+    Of rows that are not ``whole`` everything that an arm found, to be ranked when all parts are there. Questions have ``terms,
+    embedding``, rows ``whole, embedding`` and the columns of ``weights``; their order decides ties.
+    """
+
+    def score(questions: pa.Table, rows: pa.Table, limit: int) -> pa.Table:
+        questions, rows, pairs = _pairs(questions, rows)
+        near, met = _cosines(questions, rows), _terms(questions, rows, weights)
+        found = [(*near(*at, depth), *met(*at, depth)) for at in pairs]
+        vq, vr, similarity, lq, lr, tenths = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 6
+        v_rank, l_rank = _ranks(vq, np.where(np.isnan(similarity), np.inf, 1 - similarity), vr), _ranks(lq, -tenths, lr)
+        n = max(1, rows.num_rows)
+        pair, at = np.unique(np.concatenate([vq * n + vr, lq * n + lr]), return_inverse=True)
+        question, row = pair // n, pair % n
+        in_v, in_l = at[: len(vq)], at[len(vq) :]
+        by_v, by_l, value, sums = (np.zeros(len(pair), kind) for kind in (np.int32, np.int32, np.float64, np.int64))
+        by_v[in_v], by_l[in_l], value[in_v], sums[in_l] = v_rank, l_rank, similarity, tenths
+        fused = np.where(by_v > 0, vector / (k + by_v), 0.0) + np.where(by_l > 0, lexical / (k + by_l), 0.0)
+        rank = _ranks(question, -fused, row)
+        top, ran = np.zeros(questions.num_rows), np.zeros(questions.num_rows, bool)
+        top[vq[v_rank == 1]], ran[vq] = similarity[v_rank == 1], True
+        whole = _flat(rows, "whole").to_numpy(zero_copy_only=False)[row]
+        kept = ~whole | (rank <= limit) | ((by_l > 0) & (by_l <= limit))
+        question, row, by_v, by_l = question[kept], row[kept], by_v[kept], by_l[kept]
+        masked = lambda x, missing: pa.array(x, mask=missing, from_pandas=False)
+        return pa.table({
+            "query_id": questions["query_id"].take(pa.array(question)), "id": rows["id"].take(pa.array(row)), "whole": pa.array(whole[kept]), "rank": pa.array(rank[kept]), "vector_rank": pa.array(by_v), "lexical_rank": pa.array(by_l),
+            "top_score": masked(top[question].astype(np.float32).astype(np.float64), ~ran[question]), "similarity": masked(value[kept], by_v == 0), "tenths": masked(sums[kept], by_l == 0),
+        })
+
+    return score
+
+
+def _ranks(question: np.ndarray, value: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Ranks within a question from 1 on: the least value, then the first row."""
+    order = np.lexsort((row, value, question))
+    sorted_question = question[order]
+    out = np.empty(len(order), np.int32)
+    out[order] = np.arange(len(order)) - np.searchsorted(sorted_question, sorted_question, "left") + 1
+    return out

@@ -56,12 +56,17 @@ def gold_lenient_strict(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.gold(_cases(spark, sf), _ranges(spark, sf), ["repo_id", "path"])
 
 
-def _recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cases, spans, terms asked); cases and spans are grouped once, as they are read several times."""
+def _grouped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(cases, spans), one row an id."""
     spans = table(spark, sf, "spans").where("start_line BETWEEN 1 AND end_line AND text IS NOT NULL").groupBy("id").agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "symbol", "start_line", "end_line", "text")])
     whole = table(spark, sf, "cases").where("raw_start BETWEEN 1 AND raw_end AND question IS NOT NULL")
     cases = whole.groupBy(F.col("id").alias("query_id")).agg(*[F.min(c).alias(c) for c in ("repo_id", "path", "symbol", "doc_of", "question")], F.max("grouped").alias("grouped"), F.min("raw_start").alias("start_line"), F.min("raw_end").alias("end_line"), F.min("start_line").alias("_from"))
-    cases, spans = cut(cases.withColumn("moved", F.col("_from") != F.col("start_line")).drop("_from")), cut(spans)
+    return cases.withColumn("moved", F.col("_from") != F.col("start_line")).drop("_from"), spans
+
+
+def _recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases, spans, terms asked); cases and spans are grouped once, as they are read several times."""
+    cases, spans = map(cut, _grouped(spark, sf))
     return cases, spans, R.question_terms(cases.select("query_id", F.col("repo_id").alias("tenant"), F.col("question").alias("q")))
 
 
@@ -84,40 +89,31 @@ def _both_arms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
 
     Hits are those of the fused or of the lexical order within ``LIMIT``, with the best similarity of their question,
     ``top_score``. Spans are numbered in the order of path, first line and id, so that every tie goes by their number, and
-    cases are numbered too: only numbers are sent about between the arms.
+    cases are numbered too, with their own id in ``case``: only numbers are sent about.
     """
-    cases, spans, _ = _recorded(spark, sf)
-    numbered = cut(spans.where("id IS NOT NULL").orderBy("path", "start_line", "id").withColumn("n", F.monotonically_increasing_id()))
-    asked = cut(cases.select("query_id", F.monotonically_increasing_id().alias("q"), F.col("repo_id").alias("tenant"), "question"))
+    cases, spans = _grouped(spark, sf)
+    own = lambda c, n: F.when(F.col(c).isNotNull(), n)
+    spans = cut(spans.orderBy("path", "start_line", "id").withColumn("id", own("id", F.monotonically_increasing_id())))
+    cases = cut(cases.withColumnRenamed("query_id", "case").withColumn("query_id", own("case", F.monotonically_increasing_id())))
     embed = hashed_bow(64)
-    corpus = numbered.select(F.col("n").alias("id"), F.col("repo_id").alias("tenant"), F.lit("").alias("path"), F.lit(0).alias("start_line"), "symbol", "text")
-    vectors = corpus.withColumn("embedding", embed(F.concat_ws(" ", "symbol", "text")))
-    questions = asked.select(F.col("q").alias("query_id"), "tenant", embed("question").alias("embedding"))
-    terms = R.question_terms(asked.select(F.col("q").alias("query_id"), "tenant", F.col("question").alias("q")))
-    both = R.fuse(R.vector_topk(vectors, questions, DEPTH), R.lexical_scan(corpus, terms, DEPTH), None, R.Fusion(), 2 * DEPTH)
-    top = F.max(F.when(F.col("vector_rank") == 1, F.col("vector_score"))).over(Window.partitionBy("query_id"))
-    # The best similarity is null where the vector arm found nothing.
-    hits = both.withColumn("top_score", top).where((F.col("rank") <= LIMIT) | F.col("lexical_rank").between(1, LIMIT)).select(F.col("query_id").alias("q"), F.col("id").alias("n"), "rank", "vector_rank", "lexical_rank", "top_score")
-    hits = hits.join(numbered.select("n", "id"), "n").join(asked.select("q", "query_id"), "q")
-    return cases, spans, cut(hits.drop("n", "q"))
-
-
-def _hybrid_records(cases: DataFrame, spans: DataFrame, hits: DataFrame) -> DataFrame:
-    top = hits.where("rank = 1 AND top_score IS NOT NULL").select("query_id", "top_score")
-    return evaluate.records(cases, spans, hits.where(F.col("rank") <= LIMIT).drop("top_score"), R.Budget(), FLOOR, top)
+    corpus = spans.select("id", F.col("repo_id").alias("tenant"), "symbol", "text", embed(F.concat_ws(" ", "symbol", "text")).alias("embedding"))
+    questions = cases.select("query_id", F.col("repo_id").alias("tenant"), F.col("question").alias("q"), embed("question").alias("embedding"))
+    return cases, spans, R.both_arms(corpus, questions, DEPTH, R.Fusion(), LIMIT)
 
 
 def case_records_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid_records(*_both_arms(spark, sf)).select(*RECORD, "gold_vector_rank", "gold_lexical_rank", "top_score", "vector_ran")
+    cases, spans, hits = _both_arms(spark, sf)
+    top = hits.where("rank = 1 AND top_score IS NOT NULL").select("query_id", "top_score")
+    found = evaluate.records(cases, spans, hits.where(F.col("rank") <= LIMIT).drop("top_score"), R.Budget(), FLOOR, top)
+    return found.withColumn("query_id", F.col("case")).select(*RECORD, "gold_vector_rank", "gold_lexical_rank", "top_score", "vector_ran")
 
 
 def arm_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """One run of both arms over all cases: the summary of each with lenient and strict scores and who found the gold."""
     cases, spans, hits = _both_arms(spark, sf)
-    hybrid = _hybrid_records(cases, spans, hits)
-    lexical = hits.where(F.col("lexical_rank").between(1, LIMIT)).select("query_id", F.col("lexical_rank").alias("rank"), "id", F.lit(0).alias("vector_rank"), "lexical_rank")
-    alone = evaluate.records(cases, spans, lexical, R.Budget(), FLOOR)
-    both = alone.withColumn("mode", F.lit("lexical")).unionByName(hybrid.withColumn("mode", F.lit("hybrid")))
+    within = lambda rank: F.when(F.col(rank) <= LIMIT, F.col(rank)).alias("rank")
+    modes = {"lexical": F.struct(within("lexical_rank"), F.lit(0).alias("vector_rank"), "lexical_rank"), "hybrid": F.struct(within("rank"), "vector_rank", "lexical_rank")}
+    both = evaluate.scored(cases, spans, hits.drop("top_score"), R.Budget(), modes)
     return evaluate.summaries(both, ["mode"]).withColumn("floor_applicable", F.col("mode") != "lexical")
 
 

@@ -59,3 +59,42 @@ def test_arms_compared(spark, sf, monkeypatch):
     assert len(scans) == 1  # both summaries from one scan
     alone = evaluation.case_records(spark, sf).selectExpr("count(*) AS cases", "count_if(answer_has_gold AND scoreable) AS good", "count_if(scoreable AND gold_rank > 0) AS found").first()
     assert (got["lexical"].cases, got["lexical"].answers_with_gold, got["lexical"].gold_found_by_lexical_only) == tuple(alone) and got["hybrid"].cases == alone.cases
+
+
+@pytest.mark.parametrize("rows", [10, 1000])
+def test_arms_meet_once(spark, sf, parts, monkeypatch, rows):
+    """Rows of a tenant that are cut into parts, and that are not, give what the arms give by broadcast."""
+    from millrace.plans import evaluation
+
+    met = []
+    by_tenant = tenants.by_tenant
+    monkeypatch.setattr(tenants, "by_tenant", lambda *a: met.append(1) or by_tenant(*a))
+    monkeypatch.setattr(tenants, "ROWS_OF_ARMS", rows)
+    monkeypatch.setattr(tenants, "QUESTIONS_OF_ARMS", 3)
+    monkeypatch.setattr(tenants, "ROWS_A_BLOCK", 7)
+    got = sorted(map(tuple, evaluation.arm_comparison(spark, sf).collect()))
+    assert len(met) == 1  # both arms
+    records = sorted(map(repr, evaluation.case_records_hybrid(spark, sf).collect()))
+    R.MOST_BROADCAST = 20_000  # put back by the fixture
+    assert got == sorted(map(tuple, evaluation.arm_comparison(spark, sf).collect())) and len(met) == 2
+    assert records == sorted(map(repr, evaluation.case_records_hybrid(spark, sf).collect()))
+
+
+@pytest.mark.parametrize("rows", [10, 1000])
+def test_arms_of_odd_rows(spark, parts, monkeypatch, rows):
+    r = random.Random(5)
+    vectors = [[1.0, 0.0], [0.0, 0.0], [0.6, 0.8], [3.0, 4.0], [-1.0, 0.5], None]
+    spans = spans_of(spark, r).select("tenant", F.substring("id", 2, 2).cast("long").alias("id"), "symbol", "text")
+    spans = spans.join(spark.createDataFrame([(i, r.choice(vectors)) for i in range(60)], "id long, embedding array<float>"), "id")
+    asked = [(q or None, r.choice(["t", "t", "u", "none", None]), r.choice(["", "-", "the store É", "zebra", "of x1 span"]), r.choice(vectors)) for q in range(40)]
+    questions = spark.createDataFrame(asked, "query_id long, tenant string, q string, embedding array<float>")
+    monkeypatch.setattr(tenants, "ROWS_OF_ARMS", rows)
+    monkeypatch.setattr(tenants, "QUESTIONS_OF_ARMS", 3)
+    for depth, limit in ((40, 10), (4, 2)):
+        found = []
+        for R.MOST_BROADCAST in (0, 100):  # put back by the fixture
+            both = R.both_arms(spans, questions, depth, R.Fusion(10.0, 1.0, 0.5), limit)
+            found.append(sorted((x[:5], repr(round(x[5], 6)) if x[5] is not None else None) for x in map(tuple, both.collect())))
+        assert found[0] and found[0] == found[1]
+    R.MOST_BROADCAST = 0
+    assert R.both_arms(spans.where(F.lit(False)), questions, 4, R.Fusion(), 2).count() == 0
