@@ -118,7 +118,7 @@ def scored(cases: DataFrame, spans: DataFrame, hits: DataFrame, budget: Budget,
     if modes:
         by.append("mode")
         runs = F.array(*[F.struct(F.lit(mode).alias("mode"), *[at[c].alias(c) for c in ("rank", "vector_rank", "lexical_rank")]) for mode, at in modes.items()])
-        ranked = ranked.withColumn("_r", F.explode(F.filter(runs, lambda r: r["rank"] > 0))).select("query_id", "id", "_size", "_g", "_strict", "_r.*")
+        ranked = ranked.select("query_id", "id", "_size", "_g", "_strict", F.explode(runs).alias("_r")).where("_r.rank > 0").select("*", "_r.*").drop("_r")
     by_rank = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     there = F.col("_size").isNotNull()
     ranked = ranked.withColumns({"_n": F.count("_size").over(by_rank), "_total": F.sum(F.coalesce("_size", F.lit(0))).over(by_rank)})

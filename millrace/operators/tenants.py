@@ -22,7 +22,7 @@ QUESTIONS_A_PART, ROWS_A_PART, ROWS_A_GROUP = 16_000, 32_000, 8_000
 #: The same where both arms are asked at once: they are fused where they meet unless the rows of a tenant are cut.
 QUESTIONS_OF_ARMS, ROWS_OF_ARMS = 8_000, 128_000
 #: Rows whose words are looked up at once.
-ROWS_A_BLOCK = 16_000
+ROWS_A_BLOCK = 4_000
 #: Scores held at once.
 SCORES_A_BLOCK = 4_000_000
 #: A term that this share of all pairs has is multiplied as a matrix, a rarer one is added where it occurs.
@@ -152,7 +152,7 @@ def _terms(questions: pa.Table, rows: pa.Table, weights: dict[str, int]) -> Best
     vocabulary = pc.unique(words)
     asked = pc.index_in(words, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    size, held = max(1, len(vocabulary)), []
+    size, held = max(1, len(vocabulary)), ([], [], [])
     for first in range(0, max(1, rows.num_rows), ROWS_A_BLOCK):
         met, weight = [], []
         for column, w in weights.items():
@@ -162,8 +162,10 @@ def _terms(questions: pa.Table, rows: pa.Table, weights: dict[str, int]) -> Best
             met.append((row * size + term)[term >= 0])
             weight.append(np.full(len(met[-1]), w, np.float64))
         pair, at = np.unique(np.concatenate(met), return_inverse=True)
-        held.append(((pair // size).astype(np.int32), (pair % size).astype(np.int32), np.bincount(at, weights=np.concatenate(weight), minlength=len(pair))))
-    row, term, weight = (np.concatenate(x) for x in zip(*held))
+        for column, x in zip(held, (pair // size, pair % size, np.bincount(at, weights=np.concatenate(weight), minlength=len(pair)))):
+            column.append(x.astype(np.int32))
+    row, term, weight = np.concatenate(held[0]), np.concatenate(held[1]), np.concatenate(held[2])
+    del held
 
     def best(qa: int, qb: int, ra: int, rb: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lo, hi = np.searchsorted(row, (ra, rb))
@@ -179,9 +181,11 @@ def _best_terms(asked: np.ndarray, lengths: np.ndarray, row: np.ndarray, term: n
     best, known = _Top(n, limit), np.unique(asked)
     if not len(known):
         return best.rows()
-    place = np.minimum(np.searchsorted(known, term), len(known) - 1)
-    here = known[place] == term
-    row, place, weight = row[here], place[here], weight[here]
+    place = np.full(1 + max(int(known[-1]), int(term.max(initial=0))), -1, np.int32)
+    place[known] = np.arange(len(known))
+    place = place[term]
+    if not (here := place >= 0).all():
+        row, place, weight = row[here], place[here], weight[here]
     asker, asked = np.repeat(np.arange(n), lengths), np.searchsorted(known, asked)
     askers, holders = np.bincount(asked, minlength=len(known)), np.bincount(place, minlength=len(known))
     dense = (holders > 0) & (askers * holders.astype(np.float64) >= DENSE_SHARE * n * rows) if n * rows > 100_000 else holders > 0
@@ -220,15 +224,16 @@ def cosine_score(questions: pa.Table, rows: pa.Table, limit: int) -> pa.Table:
 
 def _cosines(questions: pa.Table, rows: pa.Table) -> Best:
     def nearest(qa: int, qb: int, ra: int, rb: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (q_at, q, q_norm, q_unit), (v_at, v, v_norm, v_unit) = (_vectors(t, a, b) for t, a, b in ((questions, qa, qb), (rows, ra, rb)))
+        (q_at, q, q_norm, q_unit, q_lost), (v_at, v, v_norm, v_unit, v_lost) = (_vectors(t, a, b) for t, a, b in ((questions, qa, qb), (rows, ra, rb)))
         best = _Top(len(q_at), limit)
         for first in range(0, len(v_at) if len(q_at) else 0, step := max(64, SCORES_A_BLOCK // max(1, len(q_at)))):
-            near = np.nan_to_num(q_unit @ v_unit[first : first + step].T, copy=False, nan=-3.0)
+            near = q_unit @ v_unit[first : first + step].T
+            near[q_lost] = near[:, v_lost[(v_lost >= first) & (v_lost < first + step)] - first] = -3.0
             question, r = _chosen(near, (1 + best.edge - MARGIN).astype(np.float32), limit, MARGIN)
             for at in range(0, len(question), 100_000):  # each pair by itself, so that equal vectors are equally far
                 i, j = question[at : at + 100_000], r[at : at + 100_000] + first
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    far = 1 - (q[i] * v[j]).sum(1) / (q_norm[i] * v_norm[j])
+                    far = 1 - (q[i].astype(np.float64) * v[j].astype(np.float64)).sum(1) / (q_norm[i] * v_norm[j])
                 best.add(i, j, -np.where(np.isnan(far), np.inf, far))
         i, j, value = best.rows()
         return q_at[i], v_at[j], np.where(np.isinf(value), np.nan, 1 + value)
@@ -236,15 +241,21 @@ def _cosines(questions: pa.Table, rows: pa.Table) -> Best:
     return nearest
 
 
-def _vectors(table: pa.Table, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(where one is, vectors, their norms, unit vectors in single precision) of some rows."""
+def _vectors(table: pa.Table, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(where one is, vectors, their norms, unit vectors in single precision, which have no direction) of some rows."""
     lists = _flat(table.slice(first, last - first), "embedding")
     at = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
-    v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    v = lists.flatten().to_numpy(zero_copy_only=False)
     v = v.reshape(len(at), len(v) // max(1, len(at)))
-    norm = np.sqrt((v * v).sum(1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return at + first, v, norm, (v / norm[:, None]).astype(np.float32)
+    norm, unit = np.empty(len(v)), np.empty(v.shape, np.float32)
+    for lo in range(0, len(v), ROWS_A_BLOCK):
+        block = v[lo : lo + ROWS_A_BLOCK].astype(np.float64)
+        norm[lo : lo + len(block)] = length = np.sqrt((block * block).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit[lo : lo + len(block)] = block / length[:, None]
+    lost = np.flatnonzero(np.isnan(unit).any(1))
+    unit[lost] = 0
+    return at + first, v, norm, unit, lost
 
 
 def arms_score(weights: dict[str, int], depth: int, k: float, vector: float, lexical: float) -> Score:
@@ -256,9 +267,14 @@ def arms_score(weights: dict[str, int], depth: int, k: float, vector: float, lex
 
     def score(questions: pa.Table, rows: pa.Table, limit: int) -> pa.Table:
         questions, rows, pairs = _pairs(questions, rows)
-        near, met = _cosines(questions, rows), _terms(questions, rows, weights)
-        found = [(*near(*at, depth), *met(*at, depth)) for at in pairs]
-        vq, vr, similarity, lq, lr, tenths = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 6
+        pairs = list(pairs)
+
+        def found(best: Best) -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*[best(*at, depth) for at in pairs])] or [np.zeros(0, np.int64)] * 3
+
+        lq, lr, tenths = found(_terms(questions, rows, weights))  # one arm's arrays are freed before the other's are made
+        rows = rows.drop_columns(list(weights))
+        vq, vr, similarity = found(_cosines(questions, rows))
         v_rank, l_rank = _ranks(vq, np.where(np.isnan(similarity), np.inf, 1 - similarity), vr), _ranks(lq, -tenths, lr)
         n = max(1, rows.num_rows)
         pair, at = np.unique(np.concatenate([vq * n + vr, lq * n + lr]), return_inverse=True)
